@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import coo
+from tessera.operators import blocks as bl
 from tessera.operators import multiply as mm
+from tessera.operators import rows as rw
+from tessera.plans import chooser as ch
 from tessera.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +218,124 @@ def q_gram_coo_dense(spark, d):
     return mm.gram(tb.quantised_embeddings(spark, d))
 
 
+# ---- tiles -----------------------------------------------------------------
+TILE_BS = 256          # ragged at every scale: 2000 = 7*256 + 208
+RESULT_BS = 32
+
+
+def _shape_sp(spark, d):
+    return tb.dimension_count(spark, d, "supplier"), tb.dimension_count(spark, d, "part")
+
+
+@register("matmul_block", SP_SPT)
+def q_matmul_block(spark, d):
+    a = sp(spark, d)
+    n, m = _shape_sp(spark, d)
+    t = bl.blockify(a, n, m, TILE_BS)
+    return bl.unblockify(bl.matmul_block(t, bl.transpose_tiles(t)), TILE_BS)
+
+
+@register("matmul_block_broadcast", SP_PM)
+def q_matmul_block_broadcast(spark, d):
+    n, m = _shape_sp(spark, d)
+    ta = bl.blockify(sp(spark, d), n, m, TILE_BS)
+    tpm = bl.blockify(pm(spark, d), m, 13, TILE_BS)
+    return bl.unblockify(bl.matmul_block(ta, tpm, broadcast=True), TILE_BS)
+
+
+@register("matmul_auto", SP_SPT)
+def q_matmul_auto(spark, d):
+    a = sp(spark, d)
+    return ch.matmul(a, coo.transpose(a), strategy="auto")
+
+
+@register("gram_dense", with_views(
+    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM eq x JOIN eq y ON x.j = y.j GROUP BY 1, 2", "eq"))
+def q_gram_dense(spark, d):
+    cells = tb.quantised_embeddings(spark, d)
+    n = tb.dimension_count(spark, d, "embeddings")
+    return rw.gram_dense(cells, n, 64, bs=TILE_BS)
+
+
+@register("blockify_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
+def q_blockify_roundtrip(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.unblockify(bl.blockify(sp(spark, d), n, m, TILE_BS), TILE_BS)
+
+
+@register("block_sum", with_views(
+    "SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM sp UNION ALL SELECT i, j, CAST(v AS DOUBLE) FROM sc) "
+    "GROUP BY 1, 2", "sp", "sc"))
+def q_block_sum(spark, d):
+    n, m = _shape_sp(spark, d)
+    tiles = bl.blockify(sp(spark, d), n, m, TILE_BS).unionByName(bl.blockify(sc(spark, d), n, m, TILE_BS))
+    return bl.unblockify(bl.block_sum(tiles), TILE_BS)
+
+
+@register("result_blocks", with_views(
+    f"SELECT count(*) AS blocks FROM (SELECT DISTINCT x.i // {RESULT_BS}, y.i // {RESULT_BS} "
+    "FROM sp x JOIN sp y ON x.j = y.j)", "sp"))
+def q_result_blocks(spark, d):
+    n, m = _shape_sp(spark, d)
+    t = bl.blockify(sp(spark, d), n, m, RESULT_BS)
+    return bl.tile_count(bl.matmul_block(t, bl.transpose_tiles(t)))
+
+
+@register("block_grid",
+          f"SELECT bi, bj, CAST(least({TILE_BS}, n - bi * {TILE_BS}) AS INTEGER) AS nr, "
+          f"CAST(least({TILE_BS}, m - bj * {TILE_BS}) AS INTEGER) AS nc "
+          f"FROM (SELECT DISTINCT s_suppkey // {TILE_BS} AS bi FROM supplier), "
+          f"(SELECT DISTINCT p_partkey // {TILE_BS} AS bj FROM part), "
+          "(SELECT count(*) AS n FROM supplier), (SELECT count(*) AS m FROM part)")
+def q_block_grid(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.block_grid(spark, n, m, TILE_BS)
+
+
+@register("block_geometry", with_views(
+    f"SELECT g.bi AS bi, g.bj AS bj, g.nr AS nr, g.nc AS nc, coalesce(c.cells, 0) AS cells, "
+    "coalesce(c.cells, 0) / CAST(g.nr * g.nc AS DOUBLE) AS fill FROM ("
+    f"SELECT bi, bj, CAST(least({TILE_BS}, n - bi * {TILE_BS}) AS INTEGER) AS nr, "
+    f"CAST(least({TILE_BS}, m - bj * {TILE_BS}) AS INTEGER) AS nc "
+    f"FROM (SELECT DISTINCT s_suppkey // {TILE_BS} AS bi FROM supplier), "
+    f"(SELECT DISTINCT p_partkey // {TILE_BS} AS bj FROM part), "
+    "(SELECT count(*) AS n FROM supplier), (SELECT count(*) AS m FROM part)) g "
+    f"LEFT JOIN (SELECT i // {TILE_BS} AS bi, j // {TILE_BS} AS bj, count(*) AS cells FROM sp GROUP BY 1, 2) c "
+    "ON g.bi = c.bi AND g.bj = c.bj", "sp"))
+def q_block_geometry(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.geometry_with_counts(spark, sp(spark, d), n, m, TILE_BS)
+
+
+# ---- rows --------------------------------------------------------------------
+def _dense_rows_sql(view: str, ncols: int, value: str = "v") -> str:
+    return (f"SELECT r.i AS i, CAST(0 AS BIGINT) AS seg, CAST({ncols} AS INTEGER) AS width, "
+            f"string_agg(CAST(coalesce(x.{value}, 0) AS VARCHAR), ',' ORDER BY c.j) AS row_text, "
+            f"CAST(sum(coalesce(x.{value}, 0)) AS BIGINT) AS total "
+            f"FROM (SELECT DISTINCT i FROM {view}) r CROSS JOIN range({ncols}) c(j) "
+            f"LEFT JOIN {view} x ON x.i = r.i AND x.j = c.j GROUP BY r.i")
+
+
+@register("dense_rows", with_views(_dense_rows_sql("uh", 24), "uh"))
+def q_dense_rows(spark, d):
+    return rw.render_rows(rw.dense_rows(uh(spark, d), 24))
+
+
+@register("rows_as_maps", with_views(
+    f"SELECT i, j // {rw.DEFAULT_WIDTH} AS seg, CAST(count(*) AS INTEGER) AS n, min(j) AS min_j, max(j) AS max_j, "
+    "sum(v) AS total FROM sp GROUP BY 1, 2", "sp"))
+def q_rows_as_maps(spark, d):
+    return rw.map_row_stats(rw.rows_as_maps(sp(spark, d)))
+
+
+@register("matmul_rows_broadcast", "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", "pm")) +
+          ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
+          "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
+def q_matmul_rows_broadcast(spark, d):
+    rows = rw.matmul_rows_broadcast(sp(spark, d), pm(spark, d), 13)
+    return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
