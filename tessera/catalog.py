@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import coo
+from tessera.functions import estimate as es
+from tessera.functions import runs as rn
+from tessera.session import shared_dir
+from tessera.sources import files as fl
+from tessera.sources import generate as gen
 from tessera.operators import blocks as bl
 from tessera.operators import multiply as mm
 from tessera.operators import rows as rw
@@ -336,6 +341,211 @@ def q_matmul_rows_broadcast(spark, d):
     return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
 
 
+# ---- run-metrics analytics -------------------------------------------------
+SQL_VIEWS["runs"] = (
+    "SELECT event_id AS run_id, CASE user_id % 6 WHEN 0 THEN 'coo' WHEN 1 THEN 'coo_broadcast' "
+    "WHEN 2 THEN 'block' WHEN 3 THEN 'block_broadcast' WHEN 4 THEN 'rows_broadcast' ELSE 'auto' END AS algorithm, "
+    "CAST(CASE WHEN event_id % 9 < 3 THEN 1000 WHEN event_id % 9 < 6 THEN 3000 ELSE 5000 END AS BIGINT) AS matrix_size, "
+    "CASE event_id % 3 WHEN 0 THEN CAST(0.01 AS DOUBLE) WHEN 1 THEN CAST(0.1 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS density, "
+    "CAST(round(value * 100) AS BIGINT) AS wall_cs, CAST(2 + event_id % 4 AS BIGINT) AS stage_count, "
+    "CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Success' END AS status, props FROM events")
+
+
+def runs(spark, d):
+    return rn.runs_view(tb.table(spark, d, "events"))
+
+
+RUN_COLS = "run_id, algorithm, matrix_size, density, wall_cs, stage_count, status, props"
+
+
+@register("runs_success", with_views(f"SELECT {RUN_COLS} FROM runs WHERE status = 'Success'", "runs"))
+def q_runs_success(spark, d):
+    return rn.success(runs(spark, d))
+
+
+@register("runs_slice", with_views(
+    f"SELECT {RUN_COLS} FROM runs WHERE status = 'Success' AND density = 0.1", "runs"))
+def q_runs_slice(spark, d):
+    return rn.slice_eq(rn.success(runs(spark, d)), density=0.1)
+
+
+@register("runs_mean_by_size", with_views(
+    "SELECT matrix_size, avg(wall_cs) AS mean_wall_cs, avg(wall_cs) / 100 AS mean_wall_s, count(*) AS runs "
+    "FROM runs WHERE status = 'Success' GROUP BY 1", "runs"))
+def q_runs_mean_by_size(spark, d):
+    return rn.mean_by_size(runs(spark, d))
+
+
+@register("runs_stage_histogram", with_views(
+    "SELECT stage_count, count(*) AS runs FROM runs WHERE status = 'Success' GROUP BY 1", "runs"))
+def q_runs_stage_histogram(spark, d):
+    return rn.stage_histogram(runs(spark, d))
+
+
+@register("runs_distinct_axes", with_views(
+    "SELECT DISTINCT * FROM (SELECT 'matrix_size' AS axis, CAST(matrix_size AS DOUBLE) AS value FROM runs "
+    "UNION ALL SELECT 'density' AS axis, density AS value FROM runs) ORDER BY 1, 2", "runs"))
+def q_runs_distinct_axes(spark, d):
+    return rn.distinct_axes(runs(spark, d))
+
+
+@register("runs_first", with_views(
+    "SELECT algorithm, density, matrix_size, arg_min(wall_cs, run_id) AS first_wall_cs, min(run_id) AS first_run "
+    "FROM runs WHERE status = 'Success' GROUP BY 1, 2, 3", "runs"))
+def q_runs_first(spark, d):
+    return rn.first_per_group(runs(spark, d))
+
+
+@register("runs_pivot", with_views(
+    "SELECT algorithm, matrix_size, "
+    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 0.01), 0) AS d_0_01, "
+    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 0.1), 0) AS d_0_1, "
+    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 1.0), 0) AS d_1_0 "
+    "FROM runs WHERE status = 'Success' GROUP BY 1, 2", "runs"))
+def q_runs_pivot(spark, d):
+    return rn.pivot_size_density(runs(spark, d))
+
+
+@register("runs_delta", with_views(
+    "SELECT r.run_id AS run_id, r.wall_cs - p.wall_cs AS delta_wall_cs, r.stage_count - p.stage_count AS delta_stages, "
+    "(r.wall_cs - p.wall_cs) / 100 AS delta_wall_s FROM runs r LEFT JOIN runs p ON p.run_id + 1 = r.run_id", "runs"))
+def q_runs_delta(spark, d):
+    return rn.consecutive_delta(runs(spark, d))
+
+
+@register("runs_ratio", with_views(
+    "SELECT matrix_size, density, ratio, coalesce(ratio > 5, false) AS fast_wins FROM ("
+    "SELECT matrix_size, density, avg(wall_cs) FILTER (WHERE algorithm = 'coo') / "
+    "nullif(avg(wall_cs) FILTER (WHERE algorithm = 'auto'), 0) AS ratio "
+    "FROM runs WHERE status = 'Success' GROUP BY 1, 2)", "runs"))
+def q_runs_ratio(spark, d):
+    return rn.mode_ratio(runs(spark, d))
+
+
+@register("runs_labels", with_views(
+    "SELECT run_id, algorithm || '_Exp_' || CAST(matrix_size AS VARCHAR) || 'x' || CAST(matrix_size AS VARCHAR) "
+    "|| '_D' || CAST(CAST(floor(density * 100) AS INTEGER) AS VARCHAR) AS label, wall_cs / 100 AS wall_s, "
+    "(wall_cs + stage_count) / 2 AS mean_sample, "
+    "CASE WHEN status = 'Success' THEN 'Success' ELSE 'Failed: ' || substr(props, 1, 50) || '...' END AS note "
+    "FROM runs", "runs"))
+def q_runs_labels(spark, d):
+    return rn.labels(runs(spark, d))
+
+
+@register("runs_sorted", with_views(f"SELECT {RUN_COLS} FROM runs ORDER BY matrix_size, run_id", "runs"))
+def q_runs_sorted(spark, d):
+    return rn.sorted_runs(runs(spark, d))
+
+
+GRID_SQL = ("SELECT matrix_size, density, CASE WHEN matrix_size <= 1000 THEN 500 ELSE 1000 END AS block_size, "
+            "CAST(floor(matrix_size * matrix_size * density) AS BIGINT) AS requested_nnz, count(*) AS runs "
+            "FROM runs GROUP BY 1, 2")
+
+
+@register("experiment_grid", with_views(GRID_SQL, "runs"))
+def q_experiment_grid(spark, d):
+    return rn.experiment_grid(runs(spark, d))
+
+
+def _grid_sql(body: str) -> str:
+    return with_views(f", grid AS ({GRID_SQL}) {body}", "runs").replace(") , grid", "), grid")
+
+
+@register("shuffle_est_coo", _grid_sql(
+    "SELECT matrix_size, density, (matrix_size * matrix_size * density + matrix_size * matrix_size * density) * 8 / 1048576 AS read_mb, "
+    "(matrix_size * matrix_size * density * density + matrix_size * matrix_size * density * density) * 8 / 1048576 AS write_mb, "
+    "(matrix_size * matrix_size * density) * (matrix_size * matrix_size * density) * 8 / 1048576 * density AS naive_write_mb FROM grid"))
+def q_shuffle_est_coo(spark, d):
+    return es.shuffle_est_coo(rn.experiment_grid(runs(spark, d)))
+
+
+@register("shuffle_est_block", _grid_sql(
+    "SELECT matrix_size, density, block_size, CAST(ceil(matrix_size / block_size) AS BIGINT) AS num_blocks, "
+    "CAST(ceil(matrix_size / block_size) AS BIGINT) * (block_size * block_size * 8 * density / 1048576) * 2 AS read_mb, "
+    "CAST(ceil(matrix_size / block_size) AS BIGINT) * (block_size * block_size * 8 * density / 1048576) * 2 AS write_mb FROM grid"))
+def q_shuffle_est_block(spark, d):
+    return es.shuffle_est_block(rn.experiment_grid(runs(spark, d)))
+
+
+@register("shuffle_est_broadcast", _grid_sql(
+    "SELECT matrix_size, density, block_size, "
+    "CAST(ceil(matrix_size / block_size) AS BIGINT) * block_size * block_size * 8 * density / 1048576 AS block_write_mb, "
+    "CAST(0.0 AS DOUBLE) AS block_read_mb, matrix_size * matrix_size * density * 8 / 1048576 AS coo_write_mb FROM grid"))
+def q_shuffle_est_broadcast(spark, d):
+    return es.shuffle_est_broadcast(rn.experiment_grid(runs(spark, d)))
+
+
+# ---- generators (shape of the supplier x part matrix) ------------------------
+GEN_SEED, GEN_DENSITY = 42, 0.1
+_SHAPE = "(SELECT count(*) AS n FROM supplier) ns, (SELECT count(*) AS m FROM part) nm"
+_VAL = "('0x' || substr(md5('{seed}{tag}:' || CAST(cell AS VARCHAR)), 1, {k}))::BIGINT"
+
+
+def _val(k=8, tag=""):
+    return _VAL.format(seed=GEN_SEED, tag=tag, k=k)
+
+
+@register("gen_coo_exact",
+          f"WITH g AS (SELECT s_suppkey AS i, p_partkey AS j, s_suppkey * m + p_partkey AS cell FROM supplier, part, {_SHAPE}), "
+          f"r AS (SELECT i, j, cell, row_number() OVER (ORDER BY {_val(15)}, cell) AS rn FROM g) "
+          f"SELECT i, j, {_val()} / 4294967296.0::DOUBLE AS v FROM r "
+          f"WHERE rn <= (SELECT CAST(floor(CAST(count(*) AS DOUBLE) * {GEN_DENSITY}) AS BIGINT) FROM g)")
+def q_gen_coo_exact(spark, d):
+    n, m = _shape_sp(spark, d)
+    return gen.gen_coo_exact(spark, n, m, GEN_DENSITY, GEN_SEED)
+
+
+AFFINE_SQL = (
+    f"WITH p AS (SELECT n * m AS total, m, CAST(floor(CAST(n * m AS DOUBLE) * {GEN_DENSITY}) AS BIGINT) AS nnz FROM {_SHAPE}), "
+    f"st AS (SELECT min(x) AS a FROM p, range(CAST(floor({gen.GOLDEN} * total) AS BIGINT), "
+    f"CAST(floor({gen.GOLDEN} * total) AS BIGINT) + 100000) t(x) WHERE gcd(x, total) = 1), "
+    f"c AS (SELECT CAST((CAST(t.range AS HUGEINT) * a + {GEN_SEED} % total) % total AS BIGINT) AS cell, m "
+    f"FROM p, st, range(p.nnz) t) "
+    f"SELECT cell // m AS i, cell % m AS j, {_val()} / 4294967296.0::DOUBLE AS v FROM c")
+
+
+@register("gen_coo_affine", AFFINE_SQL)
+def q_gen_coo_affine(spark, d):
+    n, m = _shape_sp(spark, d)
+    return gen.gen_coo_affine(spark, n, m, GEN_DENSITY, GEN_SEED)
+
+
+@register("gen_coo_batched_union", AFFINE_SQL)
+def q_gen_coo_batched_union(spark, d):
+    n, m = _shape_sp(spark, d)
+    return gen.gen_coo_batched_union(spark, n, m, GEN_DENSITY, GEN_SEED)
+
+
+_BERN = (f"FROM (SELECT s_suppkey AS i, p_partkey AS j, s_suppkey * m + p_partkey AS cell FROM supplier, part, {_SHAPE}) "
+         f"WHERE {_val(tag=':m')} / 4294967296.0::DOUBLE < {GEN_DENSITY}")
+
+
+@register("gen_bernoulli", f"SELECT i, j, {_val()} / 4294967296.0::DOUBLE AS v {_BERN}")
+def q_gen_bernoulli(spark, d):
+    n, m = _shape_sp(spark, d)
+    return gen.gen_bernoulli(spark, n, m, GEN_DENSITY, GEN_SEED)
+
+
+@register("gen_rand_range", f"SELECT i, j, -1.0 + ({_val()} / 4294967296.0::DOUBLE) * 2.0 AS v {_BERN}")
+def q_gen_rand_range(spark, d):
+    n, m = _shape_sp(spark, d)
+    return gen.gen_rand_range(spark, n, m, GEN_DENSITY, -1.0, 1.0, GEN_SEED)
+
+
+@register("gen_blocks", None)
+def q_gen_blocks(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.unblockify(gen.gen_blocks(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
+
+
+# ---- files -------------------------------------------------------------------
+@register("csv_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
+def q_csv_roundtrip(spark, d):
+    path = shared_dir(spark, "csv-roundtrip")
+    fl.write_csv(sp(spark, d), path)
+    return fl.read_csv(spark, path, "i long, j long, v double")
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
