@@ -25,10 +25,10 @@ def _right(b: DataFrame) -> DataFrame:
 
 
 def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
-            target_pairs: int, budget: int) -> DataFrame:
+            target_pairs: int, budget: int, b_bytes_bound: int | None = None) -> DataFrame:
     left, right = _left(a), _right(b)
     if join == "broadcast":
-        right, _ = guard.checked_broadcast(right, budget)
+        right, _ = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
     elif join in JOIN_HINTS:
         right = right.hint(join)
     elif join not in (None, "auto"):
@@ -41,7 +41,7 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
 
 def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = False,
                target_pairs: int = skew.DEFAULT_TARGET_PAIRS,
-               budget: int = guard.DEFAULT_BUDGET) -> DataFrame:
+               budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None) -> DataFrame:
     """A·B in coordinate form (M2; M6 with ``join="broadcast"``).
 
     ``join``: None lets Catalyst/AQE choose; ``"shuffle_hash"`` / ``"merge"``
@@ -49,7 +49,7 @@ def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool =
     ``budget`` and keeps the shuffle join otherwise.  ``salt`` splits hot
     contraction keys (see :mod:`tessera.plans.skew`).
     """
-    j = _joined(a, b, join, salt, target_pairs, budget)
+    j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound)
     return j.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
 
 

@@ -45,13 +45,21 @@ class ProductStats:
 
 
 def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
-    sa = a.agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("mi"), F.max("j").alias("mj")).first()
-    sb = b.agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("mi"), F.max("j").alias("mj")).first()
-    pp = mm.partial_product_count(a, b).first()
-    # B's row space and A's column space are the same contraction axis.
-    k = max((sa.mj or -1), (sb.mi or -1)) + 1
-    return ProductStats(sa.n, sb.n, ((sa.mi or -1) + 1, k), (k, (sb.mj or -1) + 1),
-                        pp.pairs, pp.max_key_pairs)
+    """All chooser statistics in one job: per contraction key, A's cell count
+    and largest row index, B's cell count and largest column index; a full
+    outer join of the two (small) per-key tables then gives nnz, shapes,
+    P = sum ca*cb and the largest single-key share."""
+    ka = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("ca"), F.max("i").alias("mi"))
+    kb = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("cb"), F.max("j").alias("mj"))
+    pairs = F.coalesce(F.col("ca") * F.col("cb"), F.lit(0))
+    r = (ka.join(kb, "k", "full")
+           .agg(F.coalesce(F.sum("ca"), F.lit(0)).alias("na"), F.coalesce(F.sum("cb"), F.lit(0)).alias("nb"),
+                F.max("mi").alias("mi"), F.max("mj").alias("mj"), F.max("k").alias("mk"),
+                F.coalesce(F.sum(pairs), F.lit(0)).alias("p"), F.coalesce(F.max(pairs), F.lit(0)).alias("mp"))
+           .first())
+    k = (r.mk if r.mk is not None else -1) + 1
+    return ProductStats(r.na, r.nb, ((r.mi if r.mi is not None else -1) + 1, k),
+                        (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp)
 
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
@@ -79,13 +87,17 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     if strategy == "coo_salted":
         return mm.matmul_coo(a, b, salt=True)
     if strategy == "coo_broadcast":
-        return mm.matmul_coo(a, b, join="broadcast", budget=budget)
+        bound = stats.nnz_b * COO_ROW_BYTES if stats else None
+        return mm.matmul_coo(a, b, join="broadcast", budget=budget, b_bytes_bound=bound)
     if strategy in ("block", "block_broadcast"):
         stats = stats or product_stats(a, b)
         (m, k), (_, n) = stats.shape_a, stats.shape_b
         ta, tb_ = blocks.blockify(a, m, k, bs), blocks.blockify(b, k, n, bs)
+        nbi, nbk, nbj = blocks.nblocks(m, bs), blocks.nblocks(k, bs), blocks.nblocks(n, bs)
         prod = blocks.matmul_block(ta, tb_, broadcast=strategy == "block_broadcast",
-                                   split=blocks.auto_split(ta, tb_), budget=budget)
+                                   split=blocks.shape_split(nbi, nbk, nbj), budget=budget,
+                                   b_bytes_bound=blocks.tile_bytes_bound(stats.nnz_b, k, n, bs),
+                                   nbk=nbk)
         integral = all(x.schema["v"].dataType.typeName() in ("long", "integer") for x in (a, b))
         return blocks.unblockify(prod, bs, integral=integral)
     raise ValueError(f"unknown strategy {strategy!r}")

@@ -57,8 +57,20 @@ def fits(df: DataFrame, budget: int = DEFAULT_BUDGET) -> bool:
     return total <= budget
 
 
-def checked_broadcast(df: DataFrame, budget: int = DEFAULT_BUDGET) -> tuple[DataFrame, bool]:
-    """``(F.broadcast(df), True)`` if it fits the budget, else ``(df, False)``."""
-    if fits(df, budget):
+def count_at_most(df: DataFrame, limit: int) -> int | None:
+    """Row count of ``df`` if it is <= limit, else None (reads <= limit+1 rows)."""
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def checked_broadcast(df: DataFrame, budget: int = DEFAULT_BUDGET,
+                      upper_bound: int | None = None) -> tuple[DataFrame, bool]:
+    """``(F.broadcast(df), True)`` if it fits the budget, else ``(df, False)``.
+
+    ``upper_bound`` is a caller-proven byte bound (e.g. from the cell count of
+    the coordinate input a tile or row table is built from); when it is within
+    the budget the exact probe, which would build ``df`` once more, is skipped.
+    """
+    if (upper_bound is not None and upper_bound <= budget) or fits(df, budget):
         return F.broadcast(df), True
     return df, False

@@ -23,6 +23,9 @@ LIBRARY_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.sql.session.timeZone": "UTC",
 }
+# One BLAS thread per Python worker: Spark already runs one task per core.
+WORKER_ENV = {f"spark.executorEnv.{k}": "1" for k in
+              ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -32,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     if master:
         b = b.master(master)
     conf = dict(LIBRARY_CONF)
+    conf.update(WORKER_ENV)
     conf.update({
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",

@@ -1,0 +1 @@
+"""Run-metric collection from Spark event logs, batch or as a stream."""
