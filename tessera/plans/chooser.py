@@ -5,8 +5,11 @@ aggregation: per-side nnz and shape, and the exact partial-product count
 P = sum_k nnzA(k)·nnzB(k) with its largest single-key share.
 
 Rules (thresholds measured on local runs, see README):
-  * dense enough and P large          -> tiles (broadcast B's tiles when they fit);
-  * B's coordinate rows fit the budget -> coordinate join with B broadcast;
+  * P large and the dense work m*k*n within FLOPS_PER_PAIR * P
+                                       -> tiles (B's tiles broadcast when they
+                                          provably fit);
+  * B's coordinate rows fit the budget and B is much smaller than A
+                                       -> coordinate join with B broadcast;
   * otherwise                          -> shuffled coordinate join, splitting
                                           hot contraction keys when one key alone
                                           exceeds the per-task pair target.
@@ -24,7 +27,12 @@ from tessera.operators import multiply as mm
 from tessera.plans import guard, skew
 
 TILE_MIN_PAIRS = 10_000_000
-TILE_MIN_DENSITY = 0.03
+# One partial product through a Spark join + aggregation costs about as much
+# as this many multiply-adds inside a dense tile product (measured locally).
+FLOPS_PER_PAIR = 2000
+# Broadcast B only when A is at least this many times larger: for similar
+# sizes the shuffle join keeps partial products of one key in one task.
+BROADCAST_RATIO = 4
 COO_ROW_BYTES = 40
 
 
@@ -64,10 +72,11 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
            target_pairs: int = skew.DEFAULT_TARGET_PAIRS) -> str:
-    if st.pairs >= TILE_MIN_PAIRS and st.density >= TILE_MIN_DENSITY:
+    dense_work = st.shape_a[0] * st.shape_a[1] * st.shape_b[1]
+    if st.pairs >= TILE_MIN_PAIRS and dense_work <= FLOPS_PER_PAIR * st.pairs:
         tile_bytes = min(st.nnz_b * 12, st.shape_b[0] * st.shape_b[1] * 8)
         return "block_broadcast" if tile_bytes <= budget else "block"
-    if st.nnz_b * COO_ROW_BYTES <= budget:
+    if st.nnz_b * COO_ROW_BYTES <= budget and st.nnz_b * BROADCAST_RATIO <= st.nnz_a:
         return "coo_broadcast"
     return "coo_salted" if st.max_key_pairs > target_pairs else "coo"
 
