@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import coo
 from tessera.functions import estimate as es
 from tessera.functions import runs as rn
-from tessera.session import shared_dir
+from tessera.session import apply_library_conf, shared_dir
 from tessera.sources import files as fl
 from tessera.sources import generate as gen
 from tessera.operators import blocks as bl
@@ -61,7 +61,14 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 def register(name: str, sql: str | None):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = (fn, sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Sessions handed in by a cluster or driver may lack the settings
+            # the operators rely on (byte-bounded Arrow batches, AQE skew join).
+            apply_library_conf(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = (run, sql)
         return fn
     return deco
 

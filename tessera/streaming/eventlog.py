@@ -18,7 +18,7 @@ EVENT_SCHEMA = (
     "Properties map<string,string>, "
     "`Task Metrics` struct<`Shuffle Read Metrics`: struct<`Remote Bytes Read`: long, `Local Bytes Read`: long, "
     "`Total Records Read`: long>, `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: long, "
-    "`Shuffle Records Written`: long>, `Executor Run Time`: long>"
+    "`Shuffle Records Written`: long>, `Executor Run Time`: long, `JVM GC Time`: long>"
 )
 
 
@@ -36,7 +36,8 @@ def task_metrics(events: DataFrame) -> DataFrame:
                           (F.coalesce(rd.getField("Remote Bytes Read"), F.lit(0))
                            + F.coalesce(rd.getField("Local Bytes Read"), F.lit(0))).alias("read_b"),
                           F.coalesce(wr.getField("Shuffle Bytes Written"), F.lit(0)).alias("write_b"),
-                          F.coalesce(tm.getField("Executor Run Time"), F.lit(0)).alias("run_ms")))
+                          F.coalesce(tm.getField("Executor Run Time"), F.lit(0)).alias("run_ms"),
+                          F.coalesce(tm.getField("JVM GC Time"), F.lit(0)).alias("gc_ms")))
 
 
 def totals(events: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def per_description(events: DataFrame) -> DataFrame:
             .groupBy("description")
             .agg(F.countDistinct("stage_id").alias("stage_count"),
                  F.sum("read_b").alias("shuffle_read_b"), F.sum("write_b").alias("shuffle_write_b"),
-                 F.sum("run_ms").alias("task_ms")))
+                 F.sum("run_ms").alias("task_ms"), F.sum("gc_ms").alias("gc_ms")))
 
 
 def stream_totals(spark: SparkSession, path: str, sink_name: str):
