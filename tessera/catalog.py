@@ -243,22 +243,22 @@ def _shape_sp(spark, d):
 def q_matmul_block(spark, d):
     a = sp(spark, d)
     n, m = _shape_sp(spark, d)
-    t = bl.blockify(a, n, m, TILE_BS)
+    t = bl.blockify(a, n, m, TILE_BS, canonical=True)
     return bl.unblockify(bl.matmul_block(t, bl.transpose_tiles(t)), TILE_BS)
 
 
 @register("matmul_block_broadcast", SP_PM)
 def q_matmul_block_broadcast(spark, d):
     n, m = _shape_sp(spark, d)
-    ta = bl.blockify(sp(spark, d), n, m, TILE_BS)
-    tpm = bl.blockify(pm(spark, d), m, 13, TILE_BS)
+    ta = bl.blockify(sp(spark, d), n, m, TILE_BS, canonical=True)
+    tpm = bl.blockify(pm(spark, d), m, 13, TILE_BS, canonical=True)
     return bl.unblockify(bl.matmul_block(ta, tpm, broadcast=True), TILE_BS)
 
 
 @register("matmul_auto", SP_SPT)
 def q_matmul_auto(spark, d):
     a = sp(spark, d)
-    return ch.matmul(a, coo.transpose(a), strategy="auto")
+    return ch.matmul(a, coo.transpose(a), strategy="auto", canonical=True)
 
 
 @register("gram_dense", with_views(
@@ -266,13 +266,13 @@ def q_matmul_auto(spark, d):
 def q_gram_dense(spark, d):
     cells = tb.quantised_embeddings(spark, d)
     n = tb.dimension_count(spark, d, "embeddings")
-    return rw.gram_dense(cells, n, 64, bs=TILE_BS)
+    return rw.gram_dense(cells, n, 64, bs=TILE_BS, canonical=True)
 
 
 @register("blockify_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
 def q_blockify_roundtrip(spark, d):
     n, m = _shape_sp(spark, d)
-    return bl.unblockify(bl.blockify(sp(spark, d), n, m, TILE_BS), TILE_BS)
+    return bl.unblockify(bl.blockify(sp(spark, d), n, m, TILE_BS, canonical=True), TILE_BS)
 
 
 @register("block_sum", with_views(
@@ -280,7 +280,7 @@ def q_blockify_roundtrip(spark, d):
     "GROUP BY 1, 2", "sp", "sc"))
 def q_block_sum(spark, d):
     n, m = _shape_sp(spark, d)
-    tiles = bl.blockify(sp(spark, d), n, m, TILE_BS).unionByName(bl.blockify(sc(spark, d), n, m, TILE_BS))
+    tiles = bl.blockify(sp(spark, d), n, m, TILE_BS, canonical=True).unionByName(bl.blockify(sc(spark, d), n, m, TILE_BS, canonical=True))
     return bl.unblockify(bl.block_sum(tiles), TILE_BS)
 
 
@@ -289,7 +289,7 @@ def q_block_sum(spark, d):
     "FROM sp x JOIN sp y ON x.j = y.j)", "sp"))
 def q_result_blocks(spark, d):
     n, m = _shape_sp(spark, d)
-    t = bl.blockify(sp(spark, d), n, m, RESULT_BS)
+    t = bl.blockify(sp(spark, d), n, m, RESULT_BS, canonical=True)
     return bl.tile_count(bl.matmul_block(t, bl.transpose_tiles(t)))
 
 

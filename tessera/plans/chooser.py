@@ -82,8 +82,12 @@ def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
 
 
 def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.DEFAULT_BS,
-           budget: int = guard.DEFAULT_BUDGET, stats: ProductStats | None = None) -> DataFrame:
-    """A·B in coordinate form with the requested (or chosen) strategy."""
+           budget: int = guard.DEFAULT_BUDGET, stats: ProductStats | None = None,
+           canonical: bool = False) -> DataFrame:
+    """A·B in coordinate form with the requested (or chosen) strategy.
+
+    ``canonical``: both inputs hold one row per coordinate (lets the tile
+    path skip its per-coordinate pre-aggregation)."""
     if strategy == "auto":
         stats = stats or product_stats(a, b)
         strategy = choose(stats, budget)
@@ -101,7 +105,7 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     if strategy in ("block", "block_broadcast"):
         stats = stats or product_stats(a, b)
         (m, k), (_, n) = stats.shape_a, stats.shape_b
-        ta, tb_ = blocks.blockify(a, m, k, bs), blocks.blockify(b, k, n, bs)
+        ta, tb_ = blocks.blockify(a, m, k, bs, canonical), blocks.blockify(b, k, n, bs, canonical)
         nbi, nbk, nbj = blocks.nblocks(m, bs), blocks.nblocks(k, bs), blocks.nblocks(n, bs)
         prod = blocks.matmul_block(ta, tb_, broadcast=strategy == "block_broadcast",
                                    split=blocks.shape_split(nbi, nbk, nbj), budget=budget,

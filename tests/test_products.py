@@ -187,3 +187,21 @@ def test_chooser_rules():
     assert ch.choose(small_b) == "coo_broadcast"
     skewed = ch.ProductStats(10**8, 10**8, (10**6, 10**6), (10**6, 10**6), 10**9, 10**9)
     assert ch.choose(skewed, budget=1) == "coo_salted"
+
+
+def test_blockify_hot_duplicate_coordinate(spark):
+    # One coordinate repeated many times plus a few others: pre-aggregated
+    # per coordinate before packing; the tile holds the sums.
+    cells = [(1, 2, 1.0)] * 3000 + [(0, 0, 5.0), (3, 3, 2.0)]
+    D = coo_df(spark, cells)
+    out = {(r.i, r.j): r.v for r in bl.unblockify(bl.blockify(D, 4, 4, 4), 4).collect()}
+    assert out == {(1, 2): 3000.0, (0, 0): 5.0, (3, 3): 2.0}
+    plan = _plan(bl.blockify(D, 4, 4, 4))
+    assert plan.count("HashAggregate") >= 2
+
+
+def test_batched_union_plan_width(spark):
+    from tessera.sources import generate as gen
+    df = gen.gen_coo_batched_union(spark, 100, 100, 0.5, 3, batch=10)
+    assert df.count() == 5000
+    assert df._jdf.queryExecution().logical().toString().count("Range") <= gen.MAX_BATCHES
