@@ -120,6 +120,12 @@ def q_matmul_coo_broadcast(spark, d):
     return mm.matmul_coo(sp(spark, d), pm(spark, d), join="broadcast")
 
 
+@register("matmul_coo_broadcast_rows", SP_SPT)
+def q_matmul_coo_broadcast_rows(spark, d):
+    a = sp(spark, d)
+    return mm.matmul_coo(a, coo.transpose(a), join="broadcast_rows")
+
+
 @register("matmul_rect", SP_PM)
 def q_matmul_rect(spark, d):
     return mm.matmul_coo(sp(spark, d), pm(spark, d))
@@ -348,6 +354,14 @@ def q_matmul_rows_broadcast(spark, d):
     return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
 
 
+@register("matmul_rows_broadcast_partitioned", "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", "pm")) +
+          ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
+          "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
+def q_matmul_rows_broadcast_partitioned(spark, d):
+    rows = rw.matmul_rows_broadcast(sp(spark, d), pm(spark, d), 13, partition_rows=True)
+    return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
+
+
 # ---- run-metrics analytics -------------------------------------------------
 SQL_VIEWS["runs"] = (
     "SELECT event_id AS run_id, CASE user_id % 6 WHEN 0 THEN 'coo' WHEN 1 THEN 'coo_broadcast' "

@@ -24,10 +24,26 @@ def _right(b: DataFrame) -> DataFrame:
     return b.select(F.col("i").alias("k"), "j", F.col("v").alias("bv"))
 
 
+def row_partitions(spark) -> int:
+    """Partitions for row-partitioned products: the session's shuffle width,
+    at least four per core so row groups stay small per task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, 4 * spark.sparkContext.defaultParallelism)
+
+
 def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
-            target_pairs: int, budget: int, b_bytes_bound: int | None = None) -> DataFrame:
+            target_pairs: int, budget: int, b_bytes_bound: int | None = None,
+            rows_checked: bool = False) -> DataFrame:
     left, right = _left(a), _right(b)
-    if join == "broadcast":
+    if join == "broadcast_rows":
+        right, ok = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
+        parts = row_partitions(a.sparkSession)
+        if ok and (rows_checked or skew.rows_balanced(a, parts)):
+            # A hash-partitioned by output row: the (i, j) aggregation after
+            # the broadcast join is co-located, so partial products are summed
+            # in place and never shuffled.
+            left = _left(a.repartition(parts, "i"))
+    elif join == "broadcast":
         right, _ = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
     elif join in JOIN_HINTS:
         right = right.hint(join)
@@ -41,15 +57,19 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
 
 def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = False,
                target_pairs: int = skew.DEFAULT_TARGET_PAIRS,
-               budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None) -> DataFrame:
+               budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None,
+               rows_checked: bool = False) -> DataFrame:
     """A·B in coordinate form (M2; M6 with ``join="broadcast"``).
 
     ``join``: None lets Catalyst/AQE choose; ``"shuffle_hash"`` / ``"merge"``
     pin the join; ``"broadcast"`` ships B when a size probe proves it fits
-    ``budget`` and keeps the shuffle join otherwise.  ``salt`` splits hot
+    ``budget`` and keeps the shuffle join otherwise; ``"broadcast_rows"``
+    also hash-partitions A by row so the final sums need no shuffle — only
+    after a check (skipped when ``rows_checked``) that no single row holds a
+    dominant share of A; with a hot row it stays a plain broadcast join.  ``salt`` splits hot
     contraction keys (see :mod:`tessera.plans.skew`).
     """
-    j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound)
+    j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound, rows_checked)
     return j.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
 
 

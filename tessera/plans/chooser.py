@@ -8,8 +8,10 @@ Rules (thresholds measured on local runs, see README):
   * P large and the dense work m*k*n within FLOPS_PER_PAIR * P
                                        -> tiles (B's tiles broadcast when they
                                           provably fit);
-  * B's coordinate rows fit the budget and B is much smaller than A
-                                       -> coordinate join with B broadcast;
+  * B's coordinate rows fit the budget
+                                       -> coordinate join with B broadcast, A
+                                          partitioned by row (sums need no
+                                          shuffle) unless one row is hot;
   * otherwise                          -> shuffled coordinate join, splitting
                                           hot contraction keys when one key alone
                                           exceeds the per-task pair target.
@@ -29,11 +31,11 @@ from tessera.plans import guard, skew
 TILE_MIN_PAIRS = 10_000_000
 # One partial product through a Spark join + aggregation costs about as much
 # as this many multiply-adds inside a dense tile product (measured locally).
-FLOPS_PER_PAIR = 2000
-# Broadcast B only when A is at least this many times larger: for similar
-# sizes the shuffle join keeps partial products of one key in one task.
-BROADCAST_RATIO = 4
+FLOPS_PER_PAIR = 500
 COO_ROW_BYTES = 40
+# A row is "hot" when it holds more than this multiple of an even share of
+# A's cells per row partition; then A is not partitioned by row.
+HOT_ROW_FACTOR = 2
 
 
 @dataclass
@@ -44,6 +46,7 @@ class ProductStats:
     shape_b: tuple[int, int]
     pairs: int
     max_key_pairs: int
+    max_row_nnz: int = 0
 
     @property
     def density(self) -> float:
@@ -66,18 +69,24 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
                 F.coalesce(F.sum(pairs), F.lit(0)).alias("p"), F.coalesce(F.max(pairs), F.lit(0)).alias("mp"))
            .first())
     k = (r.mk if r.mk is not None else -1) + 1
+    rows = a.groupBy("i").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()
     return ProductStats(r.na, r.nb, ((r.mi if r.mi is not None else -1) + 1, k),
-                        (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp)
+                        (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp, rows.m or 0)
 
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
-           target_pairs: int = skew.DEFAULT_TARGET_PAIRS) -> str:
+           target_pairs: int = skew.DEFAULT_TARGET_PAIRS, partitions: int = 200) -> str:
     dense_work = st.shape_a[0] * st.shape_a[1] * st.shape_b[1]
     if st.pairs >= TILE_MIN_PAIRS and dense_work <= FLOPS_PER_PAIR * st.pairs:
         tile_bytes = min(st.nnz_b * 12, st.shape_b[0] * st.shape_b[1] * 8)
         return "block_broadcast" if tile_bytes <= budget else "block"
-    if st.nnz_b * COO_ROW_BYTES <= budget and st.nnz_b * BROADCAST_RATIO <= st.nnz_a:
-        return "coo_broadcast"
+    if st.nnz_b * COO_ROW_BYTES <= budget:
+        hot_row = st.max_row_nnz > HOT_ROW_FACTOR * st.nnz_a / max(1, partitions)
+        # Partial sums shuffled by a plain broadcast join: at most P, at most
+        # every task holding every result cell.  Partitioning A by row costs
+        # one shuffle of A instead and sums in place.
+        partial_rows = min(st.pairs, partitions * st.shape_a[0] * st.shape_b[1])
+        return "coo_broadcast_rows" if not hot_row and st.nnz_a < partial_rows else "coo_broadcast"
     return "coo_salted" if st.max_key_pairs > target_pairs else "coo"
 
 
@@ -90,7 +99,7 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     path skip its per-coordinate pre-aggregation)."""
     if strategy == "auto":
         stats = stats or product_stats(a, b)
-        strategy = choose(stats, budget)
+        strategy = choose(stats, budget, partitions=mm.row_partitions(a.sparkSession))
     if strategy == "coo":
         return mm.matmul_coo(a, b)
     if strategy == "coo_merge":
@@ -99,16 +108,20 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
         return mm.matmul_coo(a, b, join="shuffle_hash")
     if strategy == "coo_salted":
         return mm.matmul_coo(a, b, salt=True)
-    if strategy == "coo_broadcast":
+    if strategy in ("coo_broadcast", "coo_broadcast_rows"):
         bound = stats.nnz_b * COO_ROW_BYTES if stats else None
-        return mm.matmul_coo(a, b, join="broadcast", budget=budget, b_bytes_bound=bound)
+        join = "broadcast" if strategy == "coo_broadcast" else "broadcast_rows"
+        return mm.matmul_coo(a, b, join=join, budget=budget, b_bytes_bound=bound,
+                             rows_checked=stats is not None)
     if strategy in ("block", "block_broadcast"):
         stats = stats or product_stats(a, b)
         (m, k), (_, n) = stats.shape_a, stats.shape_b
         ta, tb_ = blocks.blockify(a, m, k, bs, canonical), blocks.blockify(b, k, n, bs, canonical)
         nbi, nbk, nbj = blocks.nblocks(m, bs), blocks.nblocks(k, bs), blocks.nblocks(n, bs)
         prod = blocks.matmul_block(ta, tb_, broadcast=strategy == "block_broadcast",
-                                   split=blocks.shape_split(nbi, nbk, nbj), budget=budget,
+                                   split=blocks.shape_split(nbi, nbk, nbj,
+                                                            min_keys=a.sparkSession.sparkContext.defaultParallelism),
+                                   budget=budget,
                                    b_bytes_bound=blocks.tile_bytes_bound(stats.nnz_b, k, n, bs),
                                    nbk=nbk)
         integral = all(x.schema["v"].dataType.typeName() in ("long", "integer") for x in (a, b))

@@ -60,3 +60,16 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     l2 = salted(left, left_spread, F.col("_split_left"))
     r2 = salted(right, right_spread, ~F.col("_split_left"))
     return l2, r2, [key, "_salt"]
+
+
+HOT_ROW_FACTOR = 2
+
+
+def rows_balanced(df: DataFrame, partitions: int, key: str = "i") -> bool:
+    """True when no single ``key`` value holds more than HOT_ROW_FACTOR times
+    an even per-partition share of the rows, i.e. partitioning by ``key``
+    cannot put a dominant share of the work in one task."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m"), F.sum("c").alias("n")).first()
+    if not r.n:
+        return True
+    return r.m <= HOT_ROW_FACTOR * r.n / max(1, partitions)

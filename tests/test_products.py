@@ -26,7 +26,8 @@ def cells_of(a):
     return [(i, j, float(a[i, j])) for i, j in zip(r, c)]
 
 
-STRATEGIES = ["coo", "coo_merge", "coo_shuffle_hash", "coo_salted", "coo_broadcast", "block", "block_broadcast"]
+STRATEGIES = ["coo", "coo_merge", "coo_shuffle_hash", "coo_salted", "coo_broadcast", "coo_broadcast_rows",
+              "block", "block_broadcast"]
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
@@ -183,8 +184,12 @@ def test_scan_pushdown(spark):
 def test_chooser_rules():
     big_dense = ch.ProductStats(10**6, 10**6, (1000, 1000), (1000, 1000), 10**9, 10**6)
     assert ch.choose(big_dense, budget=1) == "block"
-    small_b = ch.ProductStats(10**6, 100, (10**4, 10**4), (10**4, 10**4), 10**5, 10)
-    assert ch.choose(small_b) == "coo_broadcast"
+    wide = ch.ProductStats(10**6, 100, (10**4, 10**4), (10**4, 10**4), 5 * 10**6, 10, 100)
+    assert ch.choose(wide) == "coo_broadcast_rows"
+    narrow = ch.ProductStats(10**6, 100, (10**4, 10**4), (10**4, 3), 5 * 10**6, 10, 100)
+    assert ch.choose(narrow, partitions=16) == "coo_broadcast"
+    hot_row = ch.ProductStats(10**6, 100, (10**4, 10**4), (10**4, 10**4), 5 * 10**6, 10, 3 * 10**5)
+    assert ch.choose(hot_row) == "coo_broadcast"
     skewed = ch.ProductStats(10**8, 10**8, (10**6, 10**6), (10**6, 10**6), 10**9, 10**9)
     assert ch.choose(skewed, budget=1) == "coo_salted"
 
