@@ -75,3 +75,19 @@ def test_eventlog_totals(spark):
     assert (t.stage_count, t.shuffle_read_b, t.shuffle_write_b) == (2, 150, 100)
     q = eventlog.per_description(eventlog.read_events(spark, d)).first()
     assert q.description == "q1" and q.shuffle_read_b == 150
+
+
+def test_eventlog_stream_totals(spark):
+    d = tempfile.mkdtemp(prefix="evstream-")
+    with open(os.path.join(d, "app-1"), "w") as f:
+        for stage, rd, wr in ((0, 0, 100), (1, 100, 0), (1, 50, 0)):
+            f.write('{"Event":"SparkListenerTaskEnd","Stage ID":%d,"Task Metrics":{"Shuffle Read Metrics":'
+                    '{"Remote Bytes Read":0,"Local Bytes Read":%d},"Shuffle Write Metrics":'
+                    '{"Shuffle Bytes Written":%d},"Executor Run Time":5}}\n' % (stage, rd, wr))
+    q = eventlog.stream_totals(spark, d, "ev_totals_test")
+    try:
+        q.processAllAvailable()
+        r = spark.sql("SELECT * FROM ev_totals_test").first()
+        assert (r.stage_count, r.shuffle_read_b, r.shuffle_write_b) == (2, 150, 100)
+    finally:
+        q.stop()
