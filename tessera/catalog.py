@@ -559,6 +559,19 @@ def q_gen_blocks(spark, d):
     return bl.unblockify(gen.gen_blocks(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
 
 
+@register("gen_blocks_hash",
+          f"WITH g AS (SELECT s_suppkey AS i, p_partkey AS j, s_suppkey * m + p_partkey AS cell, n, m "
+          f"FROM supplier, part, {_SHAPE}), "
+          f"b AS (SELECT i, j, cell, i // {TILE_BS} AS bi, j // {TILE_BS} AS bj, "
+          f"least({TILE_BS}, n - (i // {TILE_BS}) * {TILE_BS}) * least({TILE_BS}, m - (j // {TILE_BS}) * {TILE_BS}) AS sz FROM g), "
+          f"r AS (SELECT i, j, cell, sz, row_number() OVER (PARTITION BY bi, bj ORDER BY {_val(15)}, cell) AS rn FROM b) "
+          f"SELECT i, j, {_val()} / 4294967296.0::DOUBLE AS v FROM r "
+          f"WHERE rn <= floor(sz * CAST({GEN_DENSITY} AS DOUBLE))")
+def q_gen_blocks_hash(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.unblockify(gen.gen_blocks_hash(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
+
+
 # ---- files -------------------------------------------------------------------
 @register("csv_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
 def q_csv_roundtrip(spark, d):

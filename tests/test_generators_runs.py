@@ -91,3 +91,11 @@ def test_eventlog_stream_totals(spark):
         assert (r.stage_count, r.shuffle_read_b, r.shuffle_write_b) == (2, 150, 100)
     finally:
         q.stop()
+
+
+def test_gen_blocks_hash_exact_per_block(spark):
+    t = gen.gen_blocks_hash(spark, 10, 10, 0.5, 4, seed=3)
+    got = {(r.bi, r.bj): r.nnz for r in t.collect()}
+    assert got[(0, 0)] == 8 and got[(0, 2)] == 4 and got[(2, 2)] == 2
+    again = {(r.bi, r.bj): (r.idx, r.val) for r in gen.gen_blocks_hash(spark, 10, 10, 0.5, 4, seed=3).collect()}
+    assert again == {(r.bi, r.bj): (r.idx, r.val) for r in t.collect()}
