@@ -210,3 +210,13 @@ def test_batched_union_plan_width(spark):
     df = gen.gen_coo_batched_union(spark, 100, 100, 0.5, 3, batch=10)
     assert df.count() == 5000
     assert df._jdf.queryExecution().logical().toString().count("Range") <= gen.MAX_BATCHES
+
+
+def test_rows_broadcast_segmented_path(spark):
+    rng = np.random.default_rng(4)
+    a, b = rand_sparse(rng, 5, 6, 0.6), rand_sparse(rng, 6, 5, 0.8)
+    A, B = coo_df(spark, cells_of(a)), coo_df(spark, cells_of(b))
+    got = np.zeros((5, 5))
+    for r in rw.matmul_rows_broadcast(A, B, 5, width=2).collect():
+        got[r.i, r.seg * 2: r.seg * 2 + len(r.row)] = r.row
+    np.testing.assert_allclose(got, a @ b)
