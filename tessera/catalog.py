@@ -236,6 +236,24 @@ def q_gram_coo_dense(spark, d):
     return mm.gram(tb.quantised_embeddings(spark, d))
 
 
+UH_UHT = with_views(
+    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM uh x JOIN uh y ON x.j = y.j GROUP BY 1, 2", "uh")
+
+
+@register("gram_hot_keys", UH_UHT)
+def q_gram_hot_keys(spark, d):
+    """Users active in the same hours: UH·UHᵀ contracts over 24 hour keys, so
+    every key is hot as the data grows; hot keys are split over a grid with
+    a pair target derived from the total work."""
+    return mm.gram(uh(spark, d), salt=True, target_pairs=None)
+
+
+@register("matmul_coo_hot_keys", UH_UHT)
+def q_matmul_coo_hot_keys(spark, d):
+    a = uh(spark, d)
+    return mm.matmul_coo(a, coo.transpose(a), salt=True, target_pairs=None)
+
+
 # ---- tiles -----------------------------------------------------------------
 TILE_BS = 256          # ragged at every scale: 2000 = 7*256 + 208
 RESULT_BS = 32

@@ -32,7 +32,7 @@ def row_partitions(spark) -> int:
 
 
 def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
-            target_pairs: int, budget: int, b_bytes_bound: int | None = None,
+            target_pairs: int | None, budget: int, b_bytes_bound: int | None = None,
             rows_checked: bool = False) -> DataFrame:
     left, right = _left(a), _right(b)
     if join == "broadcast_rows":
@@ -50,13 +50,14 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
     elif join not in (None, "auto"):
         raise ValueError(f"unknown join kind {join!r}")
     if salt:
-        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
+                                           partitions=row_partitions(a.sparkSession))
         return left.join(right, keys)
     return left.join(right, "k")
 
 
 def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = False,
-               target_pairs: int = skew.DEFAULT_TARGET_PAIRS,
+               target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS,
                budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None,
                rows_checked: bool = False) -> DataFrame:
     """A·B in coordinate form (M2; M6 with ``join="broadcast"``).
@@ -67,7 +68,8 @@ def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool =
     also hash-partitions A by row so the final sums need no shuffle — only
     after a check (skipped when ``rows_checked``) that no single row holds a
     dominant share of A; with a hot row it stays a plain broadcast join.  ``salt`` splits hot
-    contraction keys (see :mod:`tessera.plans.skew`).
+    contraction keys over a grid (see :mod:`tessera.plans.skew`); ``target_pairs=None``
+    derives the per-slice pair target from the total work.
     """
     j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound, rows_checked)
     return j.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
@@ -100,10 +102,12 @@ def matmul_naive(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
-               join: str | None = None) -> DataFrame:
+               join: str | None = None, salt: bool = False,
+               target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS) -> DataFrame:
     """A·Bᵀ: dot products of A's rows with B's rows over shared columns (M7).
 
-    ``eps`` drops results with |v| <= eps.
+    ``eps`` drops results with |v| <= eps; ``salt`` splits hot shared columns
+    as in :func:`matmul_coo`.
     """
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
@@ -111,20 +115,33 @@ def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
         right, _ = guard.checked_broadcast(right)
     elif join in JOIN_HINTS:
         right = right.hint(join)
-    out = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
+    keys = ["k"]
+    if salt:
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
+                                           partitions=row_partitions(a.sparkSession))
+    out = left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
     if eps is not None:
         out = out.where(F.abs("v") > F.lit(eps))
     return out
 
 
-def gram(a: DataFrame, eps: float | None = None) -> DataFrame:
+def gram(a: DataFrame, eps: float | None = None, salt: bool = False,
+         target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS) -> DataFrame:
     """A·Aᵀ using symmetry: only pairs with i <= i' are multiplied and summed,
     then each off-diagonal cell is emitted twice.  Halves the aggregation
-    input and the shuffle of the product."""
+    input and the shuffle of the product.  ``salt`` splits hot columns; a
+    column is hot on both sides of a Gram matrix, so the grid split copies
+    its cells about ``2*sqrt(s)`` times, not ``s`` times."""
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
-    upper = (left.join(right, (left.k == right.k) & (left.i <= right.j))
-                 .groupBy(left.i, right.j).agg(F.sum(F.col("av") * F.col("bv")).alias("v")))
+    keys = ["k"]
+    if salt:
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
+                                           partitions=row_partitions(a.sparkSession))
+    x, y = left.alias("x"), right.alias("y")
+    cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [F.col("x.i") <= F.col("y.j")]
+    upper = (x.join(y, cond).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j"))
+              .agg(F.sum(F.col("x.av") * F.col("y.bv")).alias("v")))
     if eps is not None:
         upper = upper.where(F.abs("v") > F.lit(eps))
     me = F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.col("v").alias("v"))

@@ -13,8 +13,9 @@ Rules (thresholds measured on local runs, see README):
                                           partitioned by row (sums need no
                                           shuffle) unless one row is hot;
   * otherwise                          -> shuffled coordinate join, splitting
-                                          hot contraction keys when one key alone
-                                          exceeds the per-task pair target.
+                                          hot contraction keys over a grid when
+                                          one key alone exceeds a fair per-task
+                                          share of P (skew.fair_target).
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
 
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
-           target_pairs: int = skew.DEFAULT_TARGET_PAIRS, partitions: int = 200) -> str:
+           target_pairs: int | None = None, partitions: int = 200) -> str:
     dense_work = st.shape_a[0] * st.shape_a[1] * st.shape_b[1]
     if st.pairs >= TILE_MIN_PAIRS and dense_work <= FLOPS_PER_PAIR * st.pairs:
         tile_bytes = min(st.nnz_b * 12, st.shape_b[0] * st.shape_b[1] * 8)
@@ -87,6 +88,8 @@ def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
         # one shuffle of A instead and sums in place.
         partial_rows = min(st.pairs, partitions * st.shape_a[0] * st.shape_b[1])
         return "coo_broadcast_rows" if not hot_row and st.nnz_a < partial_rows else "coo_broadcast"
+    if target_pairs is None:
+        target_pairs = skew.fair_target(st.pairs, partitions)
     return "coo_salted" if st.max_key_pairs > target_pairs else "coo"
 
 
@@ -97,9 +100,10 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
 
     ``canonical``: both inputs hold one row per coordinate (lets the tile
     path skip its per-coordinate pre-aggregation)."""
+    parts = mm.row_partitions(a.sparkSession)
     if strategy == "auto":
         stats = stats or product_stats(a, b)
-        strategy = choose(stats, budget, partitions=mm.row_partitions(a.sparkSession))
+        strategy = choose(stats, budget, partitions=parts)
     if strategy == "coo":
         return mm.matmul_coo(a, b)
     if strategy == "coo_merge":
@@ -107,7 +111,8 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     if strategy == "coo_shuffle_hash":
         return mm.matmul_coo(a, b, join="shuffle_hash")
     if strategy == "coo_salted":
-        return mm.matmul_coo(a, b, salt=True)
+        target = skew.fair_target(stats.pairs, parts) if stats else None
+        return mm.matmul_coo(a, b, salt=True, target_pairs=target)
     if strategy in ("coo_broadcast", "coo_broadcast_rows"):
         bound = stats.nnz_b * COO_ROW_BYTES if stats else None
         join = "broadcast" if strategy == "coo_broadcast" else "broadcast_rows"

@@ -2,13 +2,25 @@
 
 A product joins A's column k with B's row k; key k alone produces
 nnzA(k) * nnzB(k) partial products.  When one key holds a large share of
-the cells, that work would land in one task.  Here a hot key's larger side is
-split into ``s`` slices by a hash of the other index, and the smaller side is
-replicated ``s`` times, so the key's pairs spread over ``s`` join keys.  Cold
-keys get salt 0 and are not replicated.
-
-The hot-key table has at most ``total_pairs / target_pairs`` rows; it is
-broadcast only after a size check.
+the cells, that work would land in one task.  A hot key is spread over an
+``r x c`` grid of join keys: A's cells of the key are split into ``r``
+slices by a hash of their row, B's cells into ``c`` slices by a hash of
+their column, and slice pair ``(x, y)`` meets under salt ``x*c + y``.  Each
+A cell is therefore copied ``c`` times and each B cell ``r`` times, and every
+pair still meets exactly once.  ``r`` and ``c`` are picked so that
+``r*c >= s = ceil(pairs / target)`` while the copies ``c*nnzA(k) +
+r*nnzB(k)`` stay near their minimum ``2*sqrt(s*nnzA(k)*nnzB(k))``: a key hot
+on both sides (a Gram matrix, a self-join) costs ``2*sqrt(s)`` copies of its
+cells instead of ``s``; a key hot on one side only degenerates to splitting
+that side and copying the small side.  Cold keys get salt 0 and are not
+copied.
+
+The hot-key table has at most ``total_pairs / target_pairs`` rows (at most
+``2 * partitions`` under the adaptive target).  It is fetched once with a
+bounded ``limit`` and broadcast as a small literal table, so the main job
+does not recompute the key statistics; when no key is hot the join is left
+unsalted.  Past HOT_FETCH_MAX rows it stays a lazy table, broadcast only after
+a size check.
 """
 
 from __future__ import annotations
@@ -20,6 +32,12 @@ from tessera.plans.guard import checked_broadcast
 
 # Partial products one task should produce for one key slice.
 DEFAULT_TARGET_PAIRS = 20_000_000
+# Lower end of the adaptive target: below this a slice is not worth a task.
+MIN_TARGET_PAIRS = 10_000
+# Slices of work per task slot the adaptive target aims for.
+SLICES_PER_PARTITION = 2
+# Hot-key rows fetched to build a literal broadcast table (~1.5 MiB).
+HOT_FETCH_MAX = 65_536
 
 
 def key_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -29,37 +47,79 @@ def key_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return ca.join(cb, key).withColumn("pairs", F.col("ca") * F.col("cb"))
 
 
+def fair_target(total_pairs: int, partitions: int) -> int:
+    """Per-slice pair target from the total work: a key is hot when it alone
+    exceeds a fair share of the pairs per task slot, capped at
+    DEFAULT_TARGET_PAIRS and floored at MIN_TARGET_PAIRS."""
+    share = total_pairs // max(1, SLICES_PER_PARTITION * partitions)
+    return int(min(DEFAULT_TARGET_PAIRS, max(MIN_TARGET_PAIRS, share)))
+
+
+def adaptive_target(left: DataFrame, right: DataFrame, key: str, partitions: int) -> int:
+    """:func:`fair_target` of the exact pair count (one small aggregation)."""
+    total = key_pairs(left, right, key).agg(F.sum("pairs").alias("p")).first().p or 0
+    return fair_target(int(total), partitions)
+
+
 def hot_keys(left: DataFrame, right: DataFrame, key: str,
              target_pairs: int = DEFAULT_TARGET_PAIRS) -> DataFrame:
-    """Keys whose pair count exceeds ``target_pairs`` with their slice count."""
+    """Keys whose pair count exceeds ``target_pairs``, with the number of
+    slices ``_s`` and the grid ``_r`` (A slices) x ``_c`` (B slices)."""
     kp = key_pairs(left, right, key).where(F.col("pairs") > F.lit(target_pairs))
-    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.greatest("ca", "cb"))
-    return kp.select(key, s.cast("int").alias("_s"), (F.col("ca") >= F.col("cb")).alias("_split_left"))
+    ca, cb = F.col("ca"), F.col("cb")
+    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.col("pairs")).cast("long")
+    # Balanced grid: r ~ sqrt(s * ca / cb), r <= ca; c = ceil(s / r) <= cb;
+    # then r is widened again if c hit its cap.
+    r0 = F.least(F.greatest(F.round(F.sqrt(s * ca / cb)), F.lit(1)), ca)
+    c = F.least(F.greatest(F.ceil(s / r0), F.lit(1)), cb)
+    r = F.least(F.greatest(F.ceil(s / c), F.lit(1)), ca)
+    return kp.select(key, s.cast("int").alias("_s"), r.cast("int").alias("_r"), c.cast("int").alias("_c"))
 
 
 def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str],
-              right_spread: list[str], target_pairs: int = DEFAULT_TARGET_PAIRS,
-              hot: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+              right_spread: list[str], target_pairs: int | None = DEFAULT_TARGET_PAIRS,
+              hot: DataFrame | None = None,
+              partitions: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Add a ``_salt`` column to both sides; join on ``[key, "_salt"]``.
 
-    ``left_spread`` / ``right_spread`` are the columns hashed to pick a slice
-    on the side being split.
+    ``left_spread`` / ``right_spread`` are the columns hashed to pick a
+    cell's slice on each side.  ``target_pairs=None`` derives the target
+    from the total work (:func:`adaptive_target`).  With hot keys both sides
+    come back hash-partitioned on ``(key, _salt)`` into ``partitions`` parts.
     """
+    parts = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if hot is None:
+        if target_pairs is None:
+            target_pairs = adaptive_target(left, right, key, parts)
         hot = hot_keys(left, right, key, target_pairs)
-    hot_b, _ = checked_broadcast(hot)
-
-    def salted(df: DataFrame, spread: list[str], split_flag) -> DataFrame:
+    rows = hot.limit(HOT_FETCH_MAX + 1).collect()
+    if not rows:
+        return left, right, [key]
+    if len(rows) <= HOT_FETCH_MAX:
+        hot_b = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    else:
+        hot_b, _ = checked_broadcast(hot)
+
+    def spread(cols: list[str], n):
+        return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n.cast("long")).cast("int")
+
+    r, c = F.col("_r"), F.col("_c")
+    x = spread(left_spread, r)
+    left_salts = F.when(r.isNull(), F.array(F.lit(0))).otherwise(F.sequence(x * c, x * c + c - 1))
+    y = spread(right_spread, c)
+    right_salts = F.when(c.isNull(), F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), r - 1), lambda t: t * c + y))
+
+    def salted(df: DataFrame, salts) -> DataFrame:
         j = df.join(hot_b, key, "left")
-        one = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_s"))
-        salts = (F.when(F.col("_s").isNull(), F.array(F.lit(0)))
-                  .when(split_flag, F.array(one.cast("int")))
-                  .otherwise(F.sequence(F.lit(0), F.col("_s") - 1)))
-        return j.withColumn("_salt", F.explode(salts)).drop("_s", "_split_left")
-
-    l2 = salted(left, left_spread, F.col("_split_left"))
-    r2 = salted(right, right_spread, ~F.col("_split_left"))
-    return l2, r2, [key, "_salt"]
+        # The join inputs are small next to the pairs they produce, so AQE's
+        # byte-based coalescing would fold the spread keys back into a few
+        # tasks; a repartition with an explicit count is never coalesced, and
+        # the join on (key, _salt) reuses it.
+        return (j.withColumn("_salt", F.explode(salts)).drop("_s", "_r", "_c")
+                 .repartition(parts, key, "_salt"))
+
+    return salted(left, left_salts), salted(right, right_salts), [key, "_salt"]
 
 
 HOT_ROW_FACTOR = 2

@@ -116,6 +116,52 @@ def test_hot_contraction_key_is_split(spark):
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
 
 
+def test_key_holding_a_third_of_cells_is_split_on_both_sides(spark):
+    # Column 0 holds a third of all cells: 600 rows each have a cell there,
+    # plus two cells per row elsewhere.  In A·Aᵀ that column is hot on both
+    # sides (600 x 600 pairs).
+    n = 600
+    cells = [(i, 0, 1.0 + i % 3) for i in range(n)]
+    cells += [(i, 1 + (i * 7 + t) % 40, float(1 + t)) for i in range(n) for t in (0, 1)]
+    A = coo_df(spark, cells)
+    a = np.zeros((n, 41))
+    for i, j, v in cells:
+        a[i, j] += v
+    left = A.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
+    right = A.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    hot = skew.hot_keys(left, right, "k", 10_000).collect()
+    assert [h.k for h in hot] == [0]
+    h = hot[0]
+    assert h._s == 36 and h._r * h._c >= h._s
+    # Copies of the hot column: c*600 + r*600 on a grid, far fewer than the
+    # 600 + 36*600 of splitting one side and copying the other.
+    l2, r2, keys = skew.salt_join(left, right, "k", ["i"], ["j"], 10_000)
+    copies = l2.where("k = 0").count() + r2.where("k = 0").count()
+    assert copies == (h._r + h._c) * n < (1 + h._s) * n
+    # Every pair still meets exactly once, on a join key of ~10,000 pairs.
+    per_key = l2.join(r2, keys).groupBy(*keys).count().agg(F.max("count").alias("m"), F.sum("count").alias("t")).first()
+    assert per_key.t == int(((a != 0).astype(int) @ (a != 0).astype(int).T).sum())
+    assert per_key.m < 4 * 10_000
+    expect = a @ a.T
+    for out in (mm.gram(A, salt=True, target_pairs=10_000), mm.gram(A, salt=True, target_pairs=None),
+                mm.matmul_abt(A, A, salt=True, target_pairs=10_000),
+                mm.matmul_coo(A, coo.transpose(A), salt=True, target_pairs=10_000)):
+        np.testing.assert_allclose(to_dense(out, (n, n)), expect)
+    # Rectangular, hot on one side only: the grid degenerates to a split of
+    # the big side and copies of the small one.
+    B = coo_df(spark, [(0, j, 2.0) for j in range(5)] + [(k, k % 5, 1.0) for k in range(1, 41)])
+    b = to_dense(B, (41, 5))
+    hb = skew.hot_keys(left, B.select(F.col("i").alias("k"), "j"), "k", 500).collect()
+    assert [(x.k, x._c) for x in hb] == [(0, 1)]
+    np.testing.assert_allclose(to_dense(mm.matmul_coo(A, B, salt=True, target_pairs=500), (n, 5)), a @ b)
+
+
+def test_fair_target():
+    assert skew.fair_target(0, 8) == skew.MIN_TARGET_PAIRS
+    assert skew.fair_target(10**12, 8) == skew.DEFAULT_TARGET_PAIRS
+    assert skew.fair_target(64 * 10**6, 16) == 2 * 10**6
+
+
 def test_block_split_grid_equals_plain(spark):
     rng = np.random.default_rng(5)
     a, b = rand_sparse(rng, 13, 6, 0.7, signed=True), rand_sparse(rng, 6, 11, 0.7, signed=True)
