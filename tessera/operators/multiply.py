@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import guard, skew
+from tessera.plans import guard, partitions, skew
 
 JOIN_HINTS = ("shuffle_hash", "merge")
 
@@ -24,21 +24,25 @@ def _right(b: DataFrame) -> DataFrame:
     return b.select(F.col("i").alias("k"), "j", F.col("v").alias("bv"))
 
 
-def row_partitions(spark) -> int:
+def row_partitions(spark, rows: int | None = None) -> int:
     """Partitions for row-partitioned products: the session's shuffle width,
-    at least four per core so row groups stay small per task."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, 4 * spark.sparkContext.defaultParallelism)
+    at least four per core so row groups stay small per task, and enough
+    that ``rows`` coordinate rows (when known) fit the per-task byte target."""
+    return partitions.pinned_partitions(spark, None if rows is None else rows * partitions.COO_ROW_BYTES)
 
 
 def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
             target_pairs: int | None, budget: int, b_bytes_bound: int | None = None,
-            rows_checked: bool = False) -> DataFrame:
+            rows_checked: bool = False, a_rows: int | None = None) -> DataFrame:
     left, right = _left(a), _right(b)
     if join == "broadcast_rows":
         right, ok = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
-        parts = row_partitions(a.sparkSession)
-        if ok and (rows_checked or skew.rows_balanced(a, parts)):
+        balanced = True
+        if ok and not rows_checked:
+            hottest, a_rows = skew.row_counts(a)
+            balanced = skew.is_balanced(hottest, a_rows, row_partitions(a.sparkSession, a_rows))
+        parts = row_partitions(a.sparkSession, a_rows)
+        if ok and balanced:
             # A hash-partitioned by output row: the (i, j) aggregation after
             # the broadcast join is co-located, so partial products are summed
             # in place and never shuffled.
@@ -50,8 +54,7 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
     elif join not in (None, "auto"):
         raise ValueError(f"unknown join kind {join!r}")
     if salt:
-        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
-                                           partitions=row_partitions(a.sparkSession))
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
         return left.join(right, keys)
     return left.join(right, "k")
 
@@ -59,19 +62,20 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
 def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = False,
                target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS,
                budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None,
-               rows_checked: bool = False) -> DataFrame:
+               rows_checked: bool = False, a_rows: int | None = None) -> DataFrame:
     """A·B in coordinate form (M2; M6 with ``join="broadcast"``).
 
     ``join``: None lets Catalyst/AQE choose; ``"shuffle_hash"`` / ``"merge"``
     pin the join; ``"broadcast"`` ships B when a size probe proves it fits
     ``budget`` and keeps the shuffle join otherwise; ``"broadcast_rows"``
     also hash-partitions A by row so the final sums need no shuffle — only
-    after a check (skipped when ``rows_checked``) that no single row holds a
+    after a check (skipped when ``rows_checked``; ``a_rows`` is then A's
+    cell count, which sizes the partitioning) that no single row holds a
     dominant share of A; with a hot row it stays a plain broadcast join.  ``salt`` splits hot
     contraction keys over a grid (see :mod:`tessera.plans.skew`); ``target_pairs=None``
     derives the per-slice pair target from the total work.
     """
-    j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound, rows_checked)
+    j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound, rows_checked, a_rows)
     return j.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
 
 
@@ -117,8 +121,7 @@ def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
         right = right.hint(join)
     keys = ["k"]
     if salt:
-        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
-                                           partitions=row_partitions(a.sparkSession))
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
     out = left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
     if eps is not None:
         out = out.where(F.abs("v") > F.lit(eps))
@@ -136,8 +139,7 @@ def gram(a: DataFrame, eps: float | None = None, salt: bool = False,
     right = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
     keys = ["k"]
     if salt:
-        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs,
-                                           partitions=row_partitions(a.sparkSession))
+        left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
     x, y = left.alias("x"), right.alias("y")
     cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [F.col("x.i") <= F.col("y.j")]
     upper = (x.join(y, cond).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j"))

@@ -100,9 +100,10 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
 
     ``canonical``: both inputs hold one row per coordinate (lets the tile
     path skip its per-coordinate pre-aggregation)."""
-    parts = mm.row_partitions(a.sparkSession)
     if strategy == "auto":
         stats = stats or product_stats(a, b)
+    parts = mm.row_partitions(a.sparkSession, stats.nnz_a + stats.nnz_b if stats else None)
+    if strategy == "auto":
         strategy = choose(stats, budget, partitions=parts)
     if strategy == "coo":
         return mm.matmul_coo(a, b)
@@ -117,7 +118,7 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
         bound = stats.nnz_b * COO_ROW_BYTES if stats else None
         join = "broadcast" if strategy == "coo_broadcast" else "broadcast_rows"
         return mm.matmul_coo(a, b, join=join, budget=budget, b_bytes_bound=bound,
-                             rows_checked=stats is not None)
+                             rows_checked=stats is not None, a_rows=stats.nnz_a if stats else None)
     if strategy in ("block", "block_broadcast"):
         stats = stats or product_stats(a, b)
         (m, k), (_, n) = stats.shape_a, stats.shape_b
@@ -128,6 +129,7 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
                                                             min_keys=a.sparkSession.sparkContext.defaultParallelism),
                                    budget=budget,
                                    b_bytes_bound=blocks.tile_bytes_bound(stats.nnz_b, k, n, bs),
+                                   a_bytes_bound=blocks.tile_bytes_bound(stats.nnz_a, m, k, bs),
                                    nbk=nbk)
         integral = all(x.schema["v"].dataType.typeName() in ("long", "integer") for x in (a, b))
         return blocks.unblockify(prod, bs, integral=integral)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.guard import checked_broadcast
+from tessera.plans.partitions import COO_ROW_BYTES, pinned_partitions
 
 # Partial products one task should produce for one key slice.
 DEFAULT_TARGET_PAIRS = 20_000_000
@@ -55,10 +56,16 @@ def fair_target(total_pairs: int, partitions: int) -> int:
     return int(min(DEFAULT_TARGET_PAIRS, max(MIN_TARGET_PAIRS, share)))
 
 
+def work_stats(left: DataFrame, right: DataFrame, key: str) -> tuple[int, int, int]:
+    """(pairs, matched left rows, matched right rows), one small aggregation."""
+    r = key_pairs(left, right, key).agg(F.sum("pairs").alias("p"), F.sum("ca").alias("a"),
+                                        F.sum("cb").alias("b")).first()
+    return int(r.p or 0), int(r.a or 0), int(r.b or 0)
+
+
 def adaptive_target(left: DataFrame, right: DataFrame, key: str, partitions: int) -> int:
     """:func:`fair_target` of the exact pair count (one small aggregation)."""
-    total = key_pairs(left, right, key).agg(F.sum("pairs").alias("p")).first().p or 0
-    return fair_target(int(total), partitions)
+    return fair_target(work_stats(left, right, key)[0], partitions)
 
 
 def hot_keys(left: DataFrame, right: DataFrame, key: str,
@@ -73,7 +80,8 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str,
     r0 = F.least(F.greatest(F.round(F.sqrt(s * ca / cb)), F.lit(1)), ca)
     c = F.least(F.greatest(F.ceil(s / r0), F.lit(1)), cb)
     r = F.least(F.greatest(F.ceil(s / c), F.lit(1)), ca)
-    return kp.select(key, s.cast("int").alias("_s"), r.cast("int").alias("_r"), c.cast("int").alias("_c"))
+    return kp.select(key, s.cast("int").alias("_s"), r.cast("int").alias("_r"), c.cast("int").alias("_c"),
+                     ca.alias("_ca"), cb.alias("_cb"))
 
 
 def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str],
@@ -87,18 +95,27 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     from the total work (:func:`adaptive_target`).  With hot keys both sides
     come back hash-partitioned on ``(key, _salt)`` into ``partitions`` parts.
     """
-    parts = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = left.sparkSession
+    rows, parts = None, partitions
     if hot is None:
         if target_pairs is None:
-            target_pairs = adaptive_target(left, right, key, parts)
+            total, rows_l, rows_r = work_stats(left, right, key)
+            rows = rows_l + rows_r
+            parts = parts or pinned_partitions(spark, rows * COO_ROW_BYTES)
+            target_pairs = fair_target(total, parts)
         hot = hot_keys(left, right, key, target_pairs)
-    rows = hot.limit(HOT_FETCH_MAX + 1).collect()
-    if not rows:
+    fetched = hot.limit(HOT_FETCH_MAX + 1).collect()
+    if not fetched:
         return left, right, [key]
-    if len(rows) <= HOT_FETCH_MAX:
-        hot_b = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    if len(fetched) <= HOT_FETCH_MAX:
+        hot_b = F.broadcast(spark.createDataFrame(fetched, hot.schema))
+        # Extra rows the grid adds: each hot A cell is copied c times, each
+        # hot B cell r times.
+        copies = sum((h._c - 1) * h._ca + (h._r - 1) * h._cb for h in fetched)
+        parts = max(parts or 0, pinned_partitions(spark, ((rows or 0) + copies) * COO_ROW_BYTES))
     else:
         hot_b, _ = checked_broadcast(hot)
+        parts = parts or pinned_partitions(spark, rows * COO_ROW_BYTES if rows else None)
 
     def spread(cols: list[str], n):
         return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n.cast("long")).cast("int")
@@ -116,7 +133,7 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
         # byte-based coalescing would fold the spread keys back into a few
         # tasks; a repartition with an explicit count is never coalesced, and
         # the join on (key, _salt) reuses it.
-        return (j.withColumn("_salt", F.explode(salts)).drop("_s", "_r", "_c")
+        return (j.withColumn("_salt", F.explode(salts)).drop("_s", "_r", "_c", "_ca", "_cb")
                  .repartition(parts, key, "_salt"))
 
     return salted(left, left_salts), salted(right, right_salts), [key, "_salt"]
@@ -125,11 +142,18 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
 HOT_ROW_FACTOR = 2
 
 
-def rows_balanced(df: DataFrame, partitions: int, key: str = "i") -> bool:
-    """True when no single ``key`` value holds more than HOT_ROW_FACTOR times
-    an even per-partition share of the rows, i.e. partitioning by ``key``
-    cannot put a dominant share of the work in one task."""
+def row_counts(df: DataFrame, key: str = "i") -> tuple[int, int]:
+    """(rows of the largest ``key`` group, all rows), one small aggregation."""
     r = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m"), F.sum("c").alias("n")).first()
-    if not r.n:
-        return True
-    return r.m <= HOT_ROW_FACTOR * r.n / max(1, partitions)
+    return int(r.m or 0), int(r.n or 0)
+
+
+def is_balanced(hottest: int, total: int, partitions: int) -> bool:
+    """True when no single key holds more than HOT_ROW_FACTOR times an even
+    per-partition share of the rows, i.e. partitioning by that key cannot put
+    a dominant share of the work in one task."""
+    return total == 0 or hottest <= HOT_ROW_FACTOR * total / max(1, partitions)
+
+
+def rows_balanced(df: DataFrame, partitions: int, key: str = "i") -> bool:
+    return is_balanced(*row_counts(df, key), partitions)

@@ -266,3 +266,14 @@ def test_rows_broadcast_segmented_path(spark):
     for r in rw.matmul_rows_broadcast(A, B, 5, width=2).collect():
         got[r.i, r.seg * 2: r.seg * 2 + len(r.row)] = r.row
     np.testing.assert_allclose(got, a @ b)
+
+
+def test_pinned_partitions_follow_volume(spark):
+    from tessera.plans import partitions as pt
+    base = pt.pinned_partitions(spark)
+    assert base >= 4 * spark.sparkContext.defaultParallelism
+    assert pt.pinned_partitions(spark, 1000) == base
+    per = pt.partition_bytes(spark)
+    assert pt.pinned_partitions(spark, per * base * 10) == base * 10
+    # 10 TB of coordinate rows: one partition per advisory partition size.
+    assert mm.row_partitions(spark, 10**12 // pt.COO_ROW_BYTES * 10) == -(-10 * 10**12 // per)
