@@ -277,3 +277,13 @@ def test_pinned_partitions_follow_volume(spark):
     assert pt.pinned_partitions(spark, per * base * 10) == base * 10
     # 10 TB of coordinate rows: one partition per advisory partition size.
     assert mm.row_partitions(spark, 10**12 // pt.COO_ROW_BYTES * 10) == -(-10 * 10**12 // per)
+
+
+def test_salted_plan_is_pinned_and_keyed(spark):
+    uh = tb.user_hour_count(spark, MEDIUM)
+    plan = _plan(mm.gram(uh, salt=True, target_pairs=None))
+    assert "REPARTITION_BY_NUM" in plan and "_salt" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # No hot key: the join is left unsalted.
+    sp = tb.supplier_part_quantity(spark, MEDIUM)
+    assert "_salt" not in _plan(mm.matmul_coo(sp, coo.transpose(sp), salt=True))
