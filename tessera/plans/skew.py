@@ -39,6 +39,9 @@ MIN_TARGET_PAIRS = 10_000
 SLICES_PER_PARTITION = 2
 # Hot-key rows fetched to build a literal broadcast table (~1.5 MiB).
 HOT_FETCH_MAX = 65_536
+# Grid cells per key at most (keeps salts in int range; every pair still
+# meets, only the key's parallelism stops growing).
+MAX_SLICES = 1 << 20
 
 
 def key_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -74,7 +77,7 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str,
     slices ``_s`` and the grid ``_r`` (A slices) x ``_c`` (B slices)."""
     kp = key_pairs(left, right, key).where(F.col("pairs") > F.lit(target_pairs))
     ca, cb = F.col("ca"), F.col("cb")
-    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.col("pairs")).cast("long")
+    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.col("pairs"), F.lit(MAX_SLICES)).cast("long")
     # Balanced grid: r ~ sqrt(s * ca / cb), r <= ca; c = ceil(s / r) <= cb;
     # then r is widened again if c hit its cap.
     r0 = F.least(F.greatest(F.round(F.sqrt(s * ca / cb)), F.lit(1)), ca)
