@@ -60,19 +60,23 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
     """All chooser statistics in one job: per contraction key, A's cell count
     and largest row index, B's cell count and largest column index; a full
     outer join of the two (small) per-key tables then gives nnz, shapes,
-    P = sum ca*cb and the largest single-key share."""
+    P = sum ca*cb and the largest single-key share.  A's largest row comes
+    from a per-row count in the same job (a union of two one-row aggregates)."""
     ka = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("ca"), F.max("i").alias("mi"))
     kb = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("cb"), F.max("j").alias("mj"))
     pairs = F.coalesce(F.col("ca") * F.col("cb"), F.lit(0))
-    r = (ka.join(kb, "k", "full")
-           .agg(F.coalesce(F.sum("ca"), F.lit(0)).alias("na"), F.coalesce(F.sum("cb"), F.lit(0)).alias("nb"),
-                F.max("mi").alias("mi"), F.max("mj").alias("mj"), F.max("k").alias("mk"),
-                F.coalesce(F.sum(pairs), F.lit(0)).alias("p"), F.coalesce(F.max(pairs), F.lit(0)).alias("mp"))
-           .first())
+    keys = (ka.join(kb, "k", "full")
+              .agg(F.lit(0).alias("part"),
+                   F.coalesce(F.sum("ca"), F.lit(0)).alias("na"), F.coalesce(F.sum("cb"), F.lit(0)).alias("nb"),
+                   F.max("mi").alias("mi"), F.max("mj").alias("mj"), F.max("k").alias("mk"),
+                   F.coalesce(F.sum(pairs), F.lit(0)).alias("p"), F.coalesce(F.max(pairs), F.lit(0)).alias("mp")))
+    rows = (a.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+              .agg(F.lit(1).alias("part"), F.max("c").alias("mr")))
+    got = {r.part: r for r in keys.unionByName(rows, allowMissingColumns=True).collect()}
+    r, mr = got[0], got[1].mr
     k = (r.mk if r.mk is not None else -1) + 1
-    rows = a.groupBy("i").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()
     return ProductStats(r.na, r.nb, ((r.mi if r.mi is not None else -1) + 1, k),
-                        (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp, rows.m or 0)
+                        (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp, mr or 0)
 
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
