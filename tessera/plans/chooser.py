@@ -14,8 +14,8 @@ Rules (thresholds measured on local runs, see README):
                                           shuffle) unless one row is hot;
   * otherwise                          -> shuffled coordinate join, splitting
                                           hot contraction keys over a grid when
-                                          one key alone exceeds a fair per-task
-                                          share of P (skew.fair_target).
+                                          one key alone exceeds a fair share of P
+                                          per task slot (skew.fair_target).
 """
 
 from __future__ import annotations
@@ -107,8 +107,10 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     if strategy == "auto":
         stats = stats or product_stats(a, b)
     parts = mm.row_partitions(a.sparkSession, stats.nnz_a + stats.nnz_b if stats else None)
+    slots = a.sparkSession.sparkContext.defaultParallelism
     if strategy == "auto":
-        strategy = choose(stats, budget, partitions=parts)
+        strategy = choose(stats, budget, partitions=parts,
+                          target_pairs=skew.fair_target(stats.pairs, slots))
     if strategy == "coo":
         return mm.matmul_coo(a, b)
     if strategy == "coo_merge":
@@ -116,7 +118,7 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
     if strategy == "coo_shuffle_hash":
         return mm.matmul_coo(a, b, join="shuffle_hash")
     if strategy == "coo_salted":
-        target = skew.fair_target(stats.pairs, parts) if stats else None
+        target = skew.fair_target(stats.pairs, slots) if stats else None
         return mm.matmul_coo(a, b, salt=True, target_pairs=target)
     if strategy in ("coo_broadcast", "coo_broadcast_rows"):
         bound = stats.nnz_b * COO_ROW_BYTES if stats else None

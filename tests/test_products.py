@@ -160,6 +160,10 @@ def test_fair_target():
     assert skew.fair_target(0, 8) == skew.MIN_TARGET_PAIRS
     assert skew.fair_target(10**12, 8) == skew.DEFAULT_TARGET_PAIRS
     assert skew.fair_target(64 * 10**6, 16) == 2 * 10**6
+    # 24 equal keys: balanced on 8 slots, all hot on 4,000.
+    p = 24 * 2 * 10**6
+    assert 2 * 10**6 <= skew.fair_target(p, 8)
+    assert 2 * 10**6 > skew.fair_target(p, 4000)
 
 
 def test_block_split_grid_equals_plain(spark):
@@ -281,9 +285,24 @@ def test_pinned_partitions_follow_volume(spark):
 
 def test_salted_plan_is_pinned_and_keyed(spark):
     uh = tb.user_hour_count(spark, MEDIUM)
-    plan = _plan(mm.gram(uh, salt=True, target_pairs=None))
+    plan = _plan(mm.gram(uh, salt=True, target_pairs=2_000))
     assert "REPARTITION_BY_NUM" in plan and "_salt" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # 24 hour keys of ~20,000 pairs each do not straggle on this machine's
+    # task slots: the adaptive target leaves the join unsalted.
+    if spark.sparkContext.defaultParallelism <= 12:
+        assert "_salt" not in _plan(mm.gram(uh, salt=True, target_pairs=None))
     # No hot key: the join is left unsalted.
     sp = tb.supplier_part_quantity(spark, MEDIUM)
     assert "_salt" not in _plan(mm.matmul_coo(sp, coo.transpose(sp), salt=True))
+
+
+def test_forced_grid_split_on_user_hours_equals_plain(spark):
+    # The given data with every hour key split (target far below a key's
+    # ~20,000 pairs): same cells and sums as the unsplit products.
+    uh = tb.user_hour_count(spark, MEDIUM)
+    plain = mm.gram(uh)
+    for out in (mm.gram(uh, salt=True, target_pairs=2_000),
+                mm.matmul_coo(uh, coo.transpose(uh), salt=True, target_pairs=2_000)):
+        assert "_salt" in _plan(out)
+        assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0
