@@ -21,7 +21,10 @@ def _left(a: DataFrame) -> DataFrame:
 
 
 def _right(b: DataFrame) -> DataFrame:
-    return b.select(F.col("i").alias("k"), "j", F.col("v").alias("bv"))
+    # Same column order as _left (other index, contraction index, value): for
+    # B = Aᵀ both sides are then the same projection of A, and Spark reuses
+    # one shuffle of A for both sides of the join.
+    return b.select("j", F.col("i").alias("k"), F.col("v").alias("bv"))
 
 
 def row_partitions(spark, rows: int | None = None) -> int:

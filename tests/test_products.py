@@ -306,3 +306,25 @@ def test_forced_grid_split_on_user_hours_equals_plain(spark):
                 mm.matmul_coo(uh, coo.transpose(uh), salt=True, target_pairs=2_000)):
         assert "_salt" in _plan(out)
         assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0
+
+
+def test_self_product_shuffles_a_once(spark):
+    # A·Aᵀ at a scale where nothing is broadcast: both join sides are the same
+    # projection of A, so its shuffle on the contraction key is reused.
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        a = tb.supplier_part_quantity(spark, MEDIUM)
+        for q in (mm.matmul_coo(a, coo.transpose(a)), mm.gram(a), mm.matmul_abt(a, a)):
+            r = q.agg(F.count(F.lit(1)).alias("n"))
+            r.collect()
+            plan = r._jdf.queryExecution().executedPlan().toString()
+            assert "ReusedExchange" in plan and "hashpartitioning(k#" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
