@@ -103,9 +103,12 @@ def matmul_naive(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
     equi-join key, so the physical plan is the same keyed join as M2 and no
     cartesian product is executed.
     """
+    # B in (j, i, v) order, as in _right: for B = Aᵀ both sides are the same
+    # projection of A and share one shuffle.
     return spark.sql(
         "SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v "
-        "FROM {a} a, {b} b WHERE a.j = b.i GROUP BY a.i, b.j", a=a, b=b)
+        "FROM {a} a, {b} b WHERE a.j = b.i GROUP BY a.i, b.j",
+        a=a.select("i", "j", "v"), b=b.select("j", "i", "v"))
 
 
 def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,

@@ -317,7 +317,8 @@ def test_self_product_shuffles_a_once(spark):
         for k in keys:
             spark.conf.set(k, "-1")
         a = tb.supplier_part_quantity(spark, MEDIUM)
-        for q in (mm.matmul_coo(a, coo.transpose(a)), mm.gram(a), mm.matmul_abt(a, a)):
+        for q in (mm.matmul_coo(a, coo.transpose(a)), mm.gram(a), mm.matmul_abt(a, a),
+                  mm.matmul_naive(spark, a, coo.transpose(a))):
             r = q.agg(F.count(F.lit(1)).alias("n"))
             r.collect()
             plan = r._jdf.queryExecution().executedPlan().toString()
