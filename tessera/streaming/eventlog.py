@@ -62,10 +62,20 @@ def per_description(events: DataFrame) -> DataFrame:
 
 
 def stream_totals(spark: SparkSession, path: str, sink_name: str):
-    """Start a streaming query keeping :func:`totals`-style counters of the
-    event logs under ``path`` in an in-memory table ``sink_name``."""
+    """Start a streaming query over the event logs under ``path`` that keeps
+    one row per stage (summed shuffle bytes) in an in-memory table
+    ``sink_name``; :func:`stream_summary` totals it.  Per-stage rows keep the
+    stage count exact (a streaming distinct count would be approximate) and
+    are bounded by the number of stages."""
     ev = spark.readStream.schema(EVENT_SCHEMA).json(path)
-    t = task_metrics(ev).agg(F.approx_count_distinct("stage_id").alias("stage_count"),
-                             F.sum("read_b").alias("shuffle_read_b"),
-                             F.sum("write_b").alias("shuffle_write_b"))
-    return t.writeStream.outputMode("complete").format("memory").queryName(sink_name).start()
+    per_stage = task_metrics(ev).groupBy("stage_id").agg(F.sum("read_b").alias("read_b"),
+                                                          F.sum("write_b").alias("write_b"))
+    return per_stage.writeStream.outputMode("complete").format("memory").queryName(sink_name).start()
+
+
+def stream_summary(spark: SparkSession, sink_name: str) -> DataFrame:
+    """Completed-stage count and total shuffle read/write of a
+    :func:`stream_totals` sink."""
+    return spark.table(sink_name).agg(F.count(F.lit(1)).alias("stage_count"),
+                                      F.sum("read_b").alias("shuffle_read_b"),
+                                      F.sum("write_b").alias("shuffle_write_b"))

@@ -87,7 +87,7 @@ def test_eventlog_stream_totals(spark):
     q = eventlog.stream_totals(spark, d, "ev_totals_test")
     try:
         q.processAllAvailable()
-        r = spark.sql("SELECT * FROM ev_totals_test").first()
+        r = eventlog.stream_summary(spark, "ev_totals_test").first()
         assert (r.stage_count, r.shuffle_read_b, r.shuffle_write_b) == (2, 150, 100)
     finally:
         q.stop()
