@@ -354,14 +354,14 @@ def _dense_rows_sql(view: str, ncols: int, value: str = "v") -> str:
 
 @register("dense_rows", with_views(_dense_rows_sql("uh", 24), "uh"))
 def q_dense_rows(spark, d):
-    return rw.render_rows(rw.dense_rows(uh(spark, d), 24))
+    return rw.render_rows(rw.dense_rows(uh(spark, d), 24, canonical=True))
 
 
 @register("rows_as_maps", with_views(
     f"SELECT i, j // {rw.DEFAULT_WIDTH} AS seg, CAST(count(*) AS INTEGER) AS n, min(j) AS min_j, max(j) AS max_j, "
     "sum(v) AS total FROM sp GROUP BY 1, 2", "sp"))
 def q_rows_as_maps(spark, d):
-    return rw.map_row_stats(rw.rows_as_maps(sp(spark, d)))
+    return rw.map_row_stats(rw.rows_as_maps(sp(spark, d), canonical=True))
 
 
 @register("matmul_rows_broadcast", "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", "pm")) +

@@ -331,3 +331,13 @@ def test_self_product_shuffles_a_once(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_row_forms_sum_repeated_coordinates(spark):
+    # One coordinate repeated 3,000 times (a third of a larger input would
+    # behave the same): summed per coordinate before any row is collected.
+    A = coo_df(spark, [(1, 5, 1.0)] * 3000 + [(1, 0, 2.0), (0, 7, 3.0)])
+    maps = {(r.i, r.seg): dict(r.row) for r in rw.rows_as_maps(A, width=4).collect()}
+    assert maps == {(1, 1): {5: 3000.0}, (1, 0): {0: 2.0}, (0, 1): {7: 3.0}}
+    rows = {(r.i, r.seg): list(r.row) for r in rw.dense_rows(A, 100, width=64).collect()}
+    assert rows[(1, 0)][5] == 3000.0 and rows[(1, 0)][0] == 2.0 and rows[(0, 0)][7] == 3.0
