@@ -51,6 +51,12 @@ def with_views(body: str, *names: str) -> str:
 # --------------------------------------------------------------------------
 # Spark side helpers
 def sp(spark, d): return tb.supplier_part_quantity(spark, d)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Views feeding statistics jobs or broadcast probes are written once to
+    the shared checkpoint folder (see files.materialize)."""
+    return fl.materialize(df, name)
 def sc(spark, d): return tb.supplier_part_lines(spark, d)
 def pm(spark, d): return tb.part_month_cents(spark, d)
 def uh(spark, d): return tb.user_hour_count(spark, d)
@@ -94,7 +100,7 @@ def q_matmul_coo_merge(spark, d):
 
 @register("matmul_coo_salted", SP_SPT)
 def q_matmul_coo_salted(spark, d):
-    a = sp(spark, d)
+    a = written(sp(spark, d), "sp")
     return mm.matmul_coo(a, coo.transpose(a), salt=True)
 
 
@@ -117,12 +123,12 @@ def q_matmul_gram(spark, d):
 
 @register("matmul_coo_broadcast", SP_PM)
 def q_matmul_coo_broadcast(spark, d):
-    return mm.matmul_coo(sp(spark, d), pm(spark, d), join="broadcast")
+    return mm.matmul_coo(sp(spark, d), written(pm(spark, d), "pm"), join="broadcast")
 
 
 @register("matmul_coo_broadcast_rows", SP_SPT)
 def q_matmul_coo_broadcast_rows(spark, d):
-    a = sp(spark, d)
+    a = written(sp(spark, d), "sp")
     return mm.matmul_coo(a, coo.transpose(a), join="broadcast_rows")
 
 
@@ -245,12 +251,12 @@ def q_gram_hot_keys(spark, d):
     """Users active in the same hours: UH·UHᵀ contracts over 24 hour keys, so
     every key is hot as the data grows; hot keys are split over a grid with
     a pair target derived from the total work."""
-    return mm.gram(uh(spark, d), salt=True, target_pairs=None)
+    return mm.gram(written(uh(spark, d), "uh"), salt=True, target_pairs=None)
 
 
 @register("matmul_coo_hot_keys", UH_UHT)
 def q_matmul_coo_hot_keys(spark, d):
-    a = uh(spark, d)
+    a = written(uh(spark, d), "uh")
     return mm.matmul_coo(a, coo.transpose(a), salt=True, target_pairs=None)
 
 
@@ -281,7 +287,7 @@ def q_matmul_block_broadcast(spark, d):
 
 @register("matmul_auto", SP_SPT)
 def q_matmul_auto(spark, d):
-    a = sp(spark, d)
+    a = written(sp(spark, d), "sp")
     return ch.matmul(a, coo.transpose(a), strategy="auto", canonical=True)
 
 

@@ -20,3 +20,17 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet into a fresh folder under the shared
+    checkpoint directory (``spark.checkpoint.dir``) and read it back.
+
+    For a matrix view derived from a fact table, statistics jobs, bounded
+    broadcast probes and the product itself then scan the written matrix
+    instead of re-running the aggregation each time, and a lost executor
+    re-reads files instead of recomputing the lineage."""
+    from tessera.session import shared_dir
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
