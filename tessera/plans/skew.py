@@ -15,8 +15,9 @@ cells instead of ``s``; a key hot on one side only degenerates to splitting
 that side and copying the small side.  Cold keys get salt 0 and are not
 copied.
 
-The hot-key table has at most ``total_pairs / target_pairs`` rows (at most
-``2 * slots`` under the adaptive target).  It is fetched once with a
+The hot-key table has at most ``total_pairs / target_pairs`` rows (under the
+adaptive target at most ``2 * slots``, or ``P / DEFAULT_TARGET_PAIRS`` once
+the target hits its cap for very large P).  It is fetched once with a
 bounded ``limit`` and broadcast as a small literal table, so the main job
 does not recompute the key statistics; when no key is hot the join is left
 unsalted.  Past HOT_FETCH_MAX rows it stays a lazy table, broadcast only after
