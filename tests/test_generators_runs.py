@@ -99,3 +99,15 @@ def test_gen_blocks_hash_exact_per_block(spark):
     assert got[(0, 0)] == 8 and got[(0, 2)] == 4 and got[(2, 2)] == 2
     again = {(r.bi, r.bj): (r.idx, r.val) for r in gen.gen_blocks_hash(spark, 10, 10, 0.5, 4, seed=3).collect()}
     assert again == {(r.bi, r.bj): (r.idx, r.val) for r in t.collect()}
+
+
+def test_materialize_writes_under_checkpoint_dir(spark):
+    from tessera.session import checkpoint_dir
+    from tessera.sources import files
+    df = spark.createDataFrame([(0, 1, 2.0), (3, 4, 5.0)], "i long, j long, v double")
+    a, b = files.materialize(df, "m"), files.materialize(df, "m")
+    base = checkpoint_dir(spark).rstrip("/")
+    pa_, pb = a.inputFiles(), b.inputFiles()
+    assert pa_ and all(base.split(":", 1)[-1] in f for f in pa_ + pb)
+    assert set(pa_).isdisjoint(pb)
+    assert sorted(a.collect()) == sorted(df.collect())
