@@ -25,6 +25,7 @@ from tessera.operators import multiply as mm
 from tessera.operators import rows as rw
 from tessera.plans import chooser as ch
 from tessera.sources import tables as tb
+from tessera.streaming import eventlog as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -596,6 +597,15 @@ def q_gen_blocks_hash(spark, d):
     return bl.unblockify(gen.gen_blocks_hash(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
 
 
+# ---- run metrics (A14) ---------------------------------------------------------
+@register("eventlog_shuffle", None)
+def q_eventlog_shuffle(spark, d):
+    """Run metrics of SP·SPᵀ over the given tables: jobs, completed stages and
+    tasks; shuffle bytes from the event log when the session writes one."""
+    a = sp(spark, d)
+    return ev.measure(mm.matmul_coo(a, coo.transpose(a)), "SP x SP^T coordinate product")
+
+
 # ---- files -------------------------------------------------------------------
 @register("csv_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
 def q_csv_roundtrip(spark, d):

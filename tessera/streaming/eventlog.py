@@ -10,6 +10,8 @@ or REST endpoint is involved.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,46 @@ def stream_summary(spark: SparkSession, sink_name: str) -> DataFrame:
     return spark.table(sink_name).agg(F.count(F.lit(1)).alias("stage_count"),
                                       F.sum("read_b").alias("shuffle_read_b"),
                                       F.sum("write_b").alias("shuffle_write_b"))
+
+
+RUN_METRICS_SCHEMA = ("description string, result_rows long, jobs int, stage_count int, tasks long, "
+                      "failed_tasks long, shuffle_read_b long, shuffle_write_b long")
+
+
+def measure(df: DataFrame, description: str) -> DataFrame:
+    """Run ``df`` (reduced to its row count) as a tagged job group and return
+    one row of run metrics (A14): jobs, completed stages (stages AQE skipped
+    because their output was reused are not counted), completed and failed
+    tasks from Spark's status tracker, and the shuffle bytes read and written
+    from this session's event log when it writes one.  Unknown metrics are
+    NULL, never a made-up value."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    group = f"tessera-{uuid.uuid4().hex[:12]}"
+    desc = f"{description} [{group}]"
+    sc.setJobGroup(group, desc, False)
+    try:
+        rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    st = sc.statusTracker()
+    jobs = st.getJobIdsForGroup(group)
+    stage_ids = set()
+    for j in jobs:
+        info = st.getJobInfo(j)
+        if info is not None:
+            stage_ids.update(info.stageIds)
+    stages = [i for i in (st.getStageInfo(s) for s in stage_ids) if i is not None and i.numCompletedTasks > 0]
+    read_b = write_b = None
+    log_dir = spark.conf.get("spark.eventLog.dir", None)
+    if spark.conf.get("spark.eventLog.enabled", "false").lower() == "true" and log_dir:
+        try:
+            r = per_description(read_events(spark, log_dir)).where(F.col("description") == desc).first()
+            if r is not None:
+                read_b, write_b = int(r.shuffle_read_b or 0), int(r.shuffle_write_b or 0)
+        except Exception:  # unreadable or not yet flushed: leave NULL
+            pass
+    row = (description, int(rows), len(jobs), len(stages), sum(i.numCompletedTasks for i in stages),
+           sum(i.numFailedTasks for i in stages), read_b, write_b)
+    return spark.createDataFrame([row], RUN_METRICS_SCHEMA)

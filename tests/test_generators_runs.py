@@ -111,3 +111,14 @@ def test_materialize_writes_under_checkpoint_dir(spark):
     assert pa_ and all(base.split(":", 1)[-1] in f for f in pa_ + pb)
     assert set(pa_).isdisjoint(pb)
     assert sorted(a.collect()) == sorted(df.collect())
+
+
+def test_run_metrics_of_a_product(spark):
+    import __spark_entry__ as e
+    r = e.queries()["eventlog_shuffle"](spark, "/root/testdata/sf0.001").first()
+    # The measured product is SP·SPᵀ: 10 x 10 cells at sf0.001.
+    assert r.result_rows == 100 and r.jobs >= 1 and r.stage_count >= 1 and r.tasks >= r.stage_count
+    assert r.failed_tasks == 0
+    if spark.conf.get("spark.eventLog.enabled", "false") != "true":
+        # No event log in this session: bytes are unknown, so NULL (not 0).
+        assert r.shuffle_read_b is None and r.shuffle_write_b is None
