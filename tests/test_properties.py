@@ -3,7 +3,7 @@ strategy equals NumPy, including signed values that cancel, ragged tiles
 and hot keys split over a grid."""
 
 import numpy as np
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 
 from conftest import coo_df, to_dense
@@ -28,6 +28,9 @@ def cells(x):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(product_inputs())
+@example((np.zeros((2, 3)), np.ones((3, 4))))                       # A has no stored cell
+@example((np.array([[2.0]]), np.array([[-3.0]])))                    # 1 x 1
+@example((np.array([[1.0, 1.0]]), np.array([[1.0], [-1.0]])))        # products cancel to 0
 def test_every_strategy_equals_numpy(spark, ab):
     a, b = ab
     A, B = coo_df(spark, cells(a)), coo_df(spark, cells(b))
