@@ -121,20 +121,20 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
             target_pairs = fair_target(int(r.p or 0), spark.sparkContext.defaultParallelism)
         hot = hot_keys_of(kp, key, target_pairs)
     fetched = hot.limit(HOT_FETCH_MAX + 1).collect()
+    small = len(fetched) <= HOT_FETCH_MAX
+    if small and kp is not None and kp.is_cached:
+        # The fetched rows replace the per-key table; a larger, lazy hot
+        # table keeps reading it, so only then does it stay cached.
+        kp.unpersist()
     if not fetched:
-        if kp is not None and kp.is_cached:
-            kp.unpersist()
         return left, right, [key]
-    if len(fetched) <= HOT_FETCH_MAX:
-        if kp is not None and kp.is_cached:
-            kp.unpersist()
+    if small:
         hot_b = F.broadcast(spark.createDataFrame(fetched, hot.schema))
         # Extra rows the grid adds: each hot A cell is copied c times, each
         # hot B cell r times.
         copies = sum((h._c - 1) * h._ca + (h._r - 1) * h._cb for h in fetched)
         parts = max(parts or 0, pinned_partitions(spark, ((rows or 0) + copies) * COO_ROW_BYTES))
     else:
-        # A persisted per-key table stays cached: the lazy hot table reads it.
         hot_b, _ = checked_broadcast(hot)
         parts = parts or pinned_partitions(spark, rows * COO_ROW_BYTES if rows else None)
 
