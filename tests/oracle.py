@@ -2,7 +2,7 @@
 
 Mirrors the driver's gate: same row count, same column names, and the same
 multiset of rows (columns sorted by name, floats compared after rounding).
-Run as a script: ``python tests/oracle.py /root/testdata/sf0.01 [names...]``.
+Run as a script: ``python tests/oracle.py [--plain] /root/testdata/sf0.01 [names...]``.
 """
 
 from __future__ import annotations
@@ -80,11 +80,20 @@ def compare(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
 
 
 if __name__ == "__main__":
-    from tessera.session import get_session
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("local[8]", 8)
+    # --plain: a session with Spark's defaults (200 shuffle partitions, no
+    # library settings, no checkpoint dir), as a driver may hand in.
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    if "--plain" in sys.argv:
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from tessera.session import get_session
+        spark = get_session("local[8]", 8)
     import __spark_entry__ as e
-    names = sys.argv[2:] or list(e.queries())
+    names = args[1:] or list(e.queries())
     con = duck(sf)
     bad = 0
     for n in names:
