@@ -341,3 +341,21 @@ def test_row_forms_sum_repeated_coordinates(spark):
     assert maps == {(1, 1): {5: 3000.0}, (1, 0): {0: 2.0}, (0, 1): {7: 3.0}}
     rows = {(r.i, r.seg): list(r.row) for r in rw.dense_rows(A, 100, width=64).collect()}
     assert rows[(1, 0)][5] == 3000.0 and rows[(1, 0)][0] == 2.0 and rows[(0, 0)][7] == 3.0
+
+
+def test_one_hot_key_of_a_million_pairs(spark):
+    # One contraction key with 1,000 cells on each side (10^6 pairs) plus a
+    # few cold keys; target 50,000 pairs per join key.
+    A = coo_df(spark, [(i, 0, 1.0) for i in range(1000)] + [(i, 1 + i % 5, 2.0) for i in range(40)])
+    B = coo_df(spark, [(0, j, 1.0) for j in range(1000)] + [(1 + j % 5, j, 3.0) for j in range(40)])
+    left = A.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
+    right = B.select(F.col("i").alias("k"), "j", F.col("v").alias("bv"))
+    l2, r2, keys = skew.salt_join(left, right, "k", ["i"], ["j"], 50_000)
+    per_key = l2.join(r2, keys).groupBy(*keys).count()
+    stats = per_key.agg(F.max("count").alias("m"), F.sum("count").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    # Same pairs as the plain join, spread over >= 20 keys of at most ~2x target.
+    plain_pairs = left.join(right, "k").count()
+    assert stats.t == plain_pairs and stats.n >= 20 and stats.m <= 2 * 50_000
+    salted = mm.matmul_coo(A, B, salt=True, target_pairs=50_000)
+    plain = mm.matmul_coo(A, B)
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
