@@ -282,7 +282,7 @@ def q_matmul_block(spark, d):
 def q_matmul_block_broadcast(spark, d):
     n, m = _shape_sp(spark, d)
     ta = bl.blockify(sp(spark, d), n, m, TILE_BS, canonical=True)
-    tpm = bl.blockify(pm(spark, d), m, 13, TILE_BS, canonical=True)
+    tpm = bl.blockify(written(pm(spark, d), "pm"), m, 13, TILE_BS, canonical=True)
     return bl.unblockify(bl.matmul_block(ta, tpm, broadcast=True), TILE_BS)
 
 
@@ -375,7 +375,7 @@ def q_rows_as_maps(spark, d):
           ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
           "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
 def q_matmul_rows_broadcast(spark, d):
-    rows = rw.matmul_rows_broadcast(sp(spark, d), pm(spark, d), 13)
+    rows = rw.matmul_rows_broadcast(sp(spark, d), written(pm(spark, d), "pm"), 13)
     return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
 
 
@@ -383,7 +383,7 @@ def q_matmul_rows_broadcast(spark, d):
           ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
           "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
 def q_matmul_rows_broadcast_partitioned(spark, d):
-    rows = rw.matmul_rows_broadcast(sp(spark, d), pm(spark, d), 13, partition_rows=True)
+    rows = rw.matmul_rows_broadcast(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), 13, partition_rows=True)
     return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
 
 
