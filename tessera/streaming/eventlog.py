@@ -98,12 +98,14 @@ def measure(df: DataFrame, description: str) -> DataFrame:
     sc = spark.sparkContext
     group = f"tessera-{uuid.uuid4().hex[:12]}"
     desc = f"{description} [{group}]"
+    keys = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {k: sc.getLocalProperty(k) for k in keys}
     sc.setJobGroup(group, desc, False)
     try:
         rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
     finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():  # the caller's own job group, if any
+            sc.setLocalProperty(k, v)
     st = sc.statusTracker()
     jobs = st.getJobIdsForGroup(group)
     stage_ids = set()

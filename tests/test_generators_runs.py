@@ -115,7 +115,14 @@ def test_materialize_writes_under_checkpoint_dir(spark):
 
 def test_run_metrics_of_a_product(spark):
     import __spark_entry__ as e
-    r = e.queries()["eventlog_shuffle"](spark, "/root/testdata/sf0.001").first()
+    sc = spark.sparkContext
+    sc.setJobGroup("caller-group", "caller", False)
+    try:
+        r = e.queries()["eventlog_shuffle"](spark, "/root/testdata/sf0.001").first()
+        assert sc.getLocalProperty("spark.jobGroup.id") == "caller-group"
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
     # The measured product is SP·SPᵀ: 10 x 10 cells at sf0.001.
     assert r.result_rows == 100 and r.jobs >= 1 and r.stage_count >= 1 and r.tasks >= r.stage_count
     assert r.failed_tasks == 0
