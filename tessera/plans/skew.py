@@ -62,18 +62,6 @@ def fair_target(total_pairs: int, slots: int) -> int:
     return int(min(DEFAULT_TARGET_PAIRS, max(MIN_TARGET_PAIRS, share)))
 
 
-def work_stats(left: DataFrame, right: DataFrame, key: str) -> tuple[int, int, int]:
-    """(pairs, matched left rows, matched right rows), one small aggregation."""
-    r = key_pairs(left, right, key).agg(F.sum("pairs").alias("p"), F.sum("ca").alias("a"),
-                                        F.sum("cb").alias("b")).first()
-    return int(r.p or 0), int(r.a or 0), int(r.b or 0)
-
-
-def adaptive_target(left: DataFrame, right: DataFrame, key: str, slots: int) -> int:
-    """:func:`fair_target` of the exact pair count (one small aggregation)."""
-    return fair_target(work_stats(left, right, key)[0], slots)
-
-
 def hot_keys(left: DataFrame, right: DataFrame, key: str,
              target_pairs: int = DEFAULT_TARGET_PAIRS) -> DataFrame:
     """Keys whose pair count exceeds ``target_pairs``, with the number of
@@ -103,7 +91,8 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
 
     ``left_spread`` / ``right_spread`` are the columns hashed to pick a
     cell's slice on each side.  ``target_pairs=None`` derives the target
-    from the total work (:func:`adaptive_target`).  With hot keys both sides
+    from the exact pair count (:func:`fair_target`), read from the same
+    per-key table as the hot keys.  With hot keys both sides
     come back hash-partitioned on ``(key, _salt)`` into ``partitions`` parts.
     """
     spark = left.sparkSession
@@ -175,6 +164,3 @@ def is_balanced(hottest: int, total: int, partitions: int) -> bool:
     a dominant share of the work in one task."""
     return total == 0 or hottest <= HOT_ROW_FACTOR * total / max(1, partitions)
 
-
-def rows_balanced(df: DataFrame, partitions: int, key: str = "i") -> bool:
-    return is_balanced(*row_counts(df, key), partitions)
