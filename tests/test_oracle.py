@@ -4,10 +4,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from tessera import catalog
 from conftest import SMALL
 from oracle import compare, duck
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
+    rows_only = set(catalog.queries()) - set(catalog.oracle_sql())
     # Rows-only by design: S4 (its SQL twin is gen_blocks_hash) and A14 (run metrics).
     assert rows_only == {"gen_blocks", "eventlog_shuffle"}
 
