@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import urls
+from tessera.llm import neardup, urls
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -74,6 +74,12 @@ def op4(spark, d):
     return urls.filter_urls(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op9_near_duplicates")
+def op9(spark, d):
+    """Every document: its set size and near-duplicate component (3-word runs, Jaccard 0.85 or more)."""
+    return neardup.near_duplicates(table(spark, d, "documents"), words=3, percent=85)
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
