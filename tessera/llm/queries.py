@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, urls
+from tessera.llm import neardup, toxicity, urls
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -68,6 +68,12 @@ def _url_sql() -> str:
             "CASE WHEN round(distrust - trust, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM j")
 
 
+@register("op3_toxicity")
+def op3(spark, d):
+    """Every document's toxicity score, learned from labelled rows that are not held out."""
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @register("op4_url_filter", _url_sql())
 def op4(spark, d):
     """Every page of ``pages``: rule and verdict, hosts without a rule judged by propagated trust."""
