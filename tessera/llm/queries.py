@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, toxicity, urls
+from tessera.llm import decontam, neardup, packing, spans, toxicity, urls
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -68,6 +68,17 @@ def _url_sql() -> str:
             "CASE WHEN round(distrust - trust, 9) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM j")
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op2_decontamination")
+def op2(spark, d):
+    """One row per document and benchmark item that it repeats, replaced tokens allowed."""
+    return decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @register("op3_toxicity")
 def op3(spark, d):
     """Every document's toxicity score, learned from labelled rows that are not held out."""
@@ -80,6 +91,18 @@ def op4(spark, d):
     return urls.filter_urls(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op5_packing")
+def op5(spark, d):
+    """Every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(table(spark, d, "documents"), tokenizer(), keep_ids=False).drop("ids")
+
+
+@register("op6_substring_dedup")
+def op6(spark, d):
+    """The documents that lose repeated runs of sentences: the ranges, their number and the text that stays."""
+    return spans.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), only_changed=True)
+
+
 @register("op9_near_duplicates")
 def op9(spark, d):
     """Every document: its set size and near-duplicate component (3-word runs, Jaccard 0.85 or more)."""
