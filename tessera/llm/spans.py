@@ -6,10 +6,11 @@ sentence covered by a repeated run that is not the run's first occurrence is
 removed.  First is the smallest (doc_id, hash of the text, position).
 
 A sentence ends at ``. ! ? , ; :`` before white space, at a line break, and
-after a word of twelve letters or more.  The last two marks and the long words
-cut finer than grammar does: a passage copied out of running text begins and
-ends inside sentences, and has to hold whole ones to be found.  Runs are
-compared by their lower-cased words, without marks or white space.
+after a word of ten letters or more.  That cuts finer than grammar does: a
+passage copied out of running text begins and ends inside sentences, and has
+to hold whole ones to be found.  Runs are compared by their lower-cased words,
+without marks or white space, so a copy with other marks is still found where
+long words bound its runs.
 
 A task first settles the repeats among the rows it reads, and shuffles one row
 per hash, so a span that a third of the corpus shares is no hot key.
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import durable
 
-SENTENCES, WORDS = 3, 16        # of a run, at least
+SENTENCES, WORDS = 2, 16        # of a run, at least
 CHUNK = 1_000_000               # runs a task settles at a time
+CACHED_WORDS = 500_000
+LENGTH_BITS = 24                # a place is a run's start, then its length in these bits
 LAST = 2 ** 63 - 1              # stands for a null doc_id
-END = re.compile(r"[.!?,;:]+\s+|(?<=\w{12})\s+|\s*\n\s*")
+END = re.compile(r"[.!?,;:]+\s+|(?<=\w{10})\s+|\s*\n\s*")
 MARKS = ".!?,;:\"'()"
 _P = 0x9E3779B97F4A7C15
 _Q = pow(_P, -1, 2 ** 64)
@@ -66,31 +69,43 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def runs(text: str, sentences: int, words: int, powers: Powers):
+class Words(dict):
+    """Hash of each word without its marks, 0 for a word of marks alone."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        w = word.strip(MARKS)
+        h = self[word] = xxhash.xxh3_64_intdigest(w) | 1 if w else 0
+        return h
+
+
+def runs(text: str, sentences: int, words: int, powers: Powers, known: Words):
     """(start, end, hash) arrays: for each sentence the shortest run from it
     that has enough sentences and words."""
     ends = cut(text)
-    if len(ends) < sentences:
+    n = len(ends)
+    if n < sentences:
         return None
-    low = text.lower()
-    hashes, sizes, at = [], [], 0
+    low, at, ids, upto = text.lower(), 0, [], [0]
+    if len(low) != len(text):          # a few letters change length in lower case
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     for e in ends:
-        w = [x for x in (y.strip(MARKS) for y in low[at:e].split()) if x]
-        hashes.append(xxhash.xxh3_64_intdigest(" ".join(w)))
-        sizes.append(len(w))
+        ids += [h for h in map(known.__getitem__, low[at:e].split()) if h]
+        upto.append(len(ids))
         at = e
-    n = len(ends)
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    if total[-1] < words:
+    if len(ids) < words:
         return None
+    total = np.array(upto)
     stop = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(n) + sentences)
     start = np.flatnonzero(stop <= n)
     if not len(start):
         return None
     stop = stop[start]
-    up, down = powers.get(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64) * up[:n])])
-    h = (sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    up, down = powers.get(len(ids) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(ids, np.uint64) * up[:-1])])
+    a, b = total[start], total[stop]
+    h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(31)
     return start, stop, (h * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
@@ -103,19 +118,19 @@ def _settled(*parts) -> pa.RecordBatch:
     same = np.concatenate([[False], h[1:] == h[:-1]])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
     later = same & ((doc != doc[head]) | (key != key[head]) | (start != start[head]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)),
-         pa.array(stop.astype(np.int32)), pa.array(later)], ["h", "doc", "key", "start", "stop", "later"])
+    place = start << LENGTH_BITS | (stop - start)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(key), pa.array(place), pa.array(later)],
+                                      ["h", "doc", "key", "place", "later"])
 
 
 def _runs(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, known = Powers(), Words()
         parts: tuple[list, ...] = ([], [], [], [], [])
         held = 0
         for batch in batches:
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = runs(text, sentences, words, powers) if text else None
+                found = runs(text, sentences, words, powers, known) if text else None
                 if found is None:
                     continue
                 a, b, h = found
@@ -140,12 +155,13 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     """(doc, key, start, stop): every run of sentences that is not the first
     of its kind, named by doc_id (the largest long for null) and text hash."""
     d = docs.select(*_named(docs), F.col("text").cast("string").alias("text"))
-    found = durable(d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, start int, stop int, "
-                                                          "later boolean"), "runs")
-    first = W.partitionBy("h").orderBy("doc", "key", "start")
-    where = ["doc", "key", "start", "stop"]
-    across = found.where("not later").select(*where, F.rank().over(first).alias("r")).where("r > 1").select(*where)
-    return found.where("later").select(*where).unionByName(across)
+    found = durable(d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, place long, later boolean"), "runs")
+    first = W.partitionBy("h").orderBy("doc", "key", "place")
+    across = found.where("not later").select("doc", "key", "place", F.rank().over(first).alias("r")).where("r > 1")
+    both = found.where("later").select("doc", "key", "place").unionByName(across.drop("r"))
+    start = F.shiftright("place", LENGTH_BITS).cast("int")
+    size = F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+    return both.select("doc", "key", start.alias("start"), (start + size).alias("stop"))
 
 
 def covered(spans: DataFrame) -> DataFrame:
