@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, neardup, packing, spans, toxicity, urls
+from tessera.llm import decontam, neardup, packing, quality, spans, toxicity, urls
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -109,6 +109,12 @@ def op9(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"), words=3, percent=85)
 
 
+@register("op10_quality")
+def op10(spark, d):
+    """Every document's quality score, learned from labelled rows that are not held out."""
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
