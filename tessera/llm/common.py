@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +36,8 @@ def crc_of(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions for compute-heavy Python stages: four per core, and never
-    fewer than the session's shuffle width."""
-    return max(4 * spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def gapless_rank(df: DataFrame, key: Sequence[str], order: Sequence[Column], out: str,
-                 rows_per_bucket: int = 200_000, rows: int | None = None) -> DataFrame:
+                 rows: int | None = None) -> DataFrame:
     """Number the rows of each ``key`` 0, 1, 2, ... without gaps, however few
     keys there are and however many rows one of them holds.
 
@@ -53,7 +47,7 @@ def gapless_rank(df: DataFrame, key: Sequence[str], order: Sequence[Column], out
     result; rows that are equal in it get the numbers in any order."""
     from pyspark.sql import Window as W
     n = df.count() if rows is None else rows
-    buckets = max(1, -(-n // rows_per_bucket))
+    buckets = max(1, math.isqrt(n))     # as many rows a bucket as buckets
     b = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     at = [*key, "_b"]
     counts = b.groupBy(*at).agg(F.count("*").alias("_c"))
@@ -101,18 +95,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return f.select(F.col("u").alias("node"), F.col("f").alias("component"))
-
-
-def labelled(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
-    """The documents whose label may be learned: (doc_id, text, y).
-
-    ``crc32(doc_id) mod mod`` equal to ``held`` marks the held-out rows,
-    which never pass.  Null labels and null ids are dropped; several labels
-    of one document give their mean, rounded up from a half; a document id
-    that occurs several times keeps all its texts."""
-    y = (labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y"))
-         .where("_y is not null and _id is not null")
-         .groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("y")))
-    d = documents.select("doc_id", "text")
-    rest = F.pmod(crc_of(F.col("doc_id")), F.lit(mod)) == held
-    return d.where(~rest).join(y, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")

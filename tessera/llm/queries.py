@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontam, neardup, packing, quality, spans, toxicity, urls
+from tessera.llm import decontam, neardup, packing, quality, sharding, spans, topk, toxicity, urls
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -73,6 +74,21 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@register("op1_top_products", """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda k: q.e[k] * c.e[k])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+             vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+""")
+def op1(spark, d):
+    """The 20 greatest integer inner products of every 20th vector against all others."""
+    return topk.top_products(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 @register("op2_decontamination")
 def op2(spark, d):
     """One row per document and benchmark item that it repeats, replaced tokens allowed."""
@@ -103,6 +119,12 @@ def op6(spark, d):
     return spans.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), only_changed=True)
 
 
+@register("op7_sharding")
+def op7(spark, d):
+    """Every document's shard of 24, equal texts together as far as counts at most one apart allow."""
+    return sharding.shard_documents(table(spark, d, "documents"))
+
+
 @register("op9_near_duplicates")
 def op9(spark, d):
     """Every document: its set size and near-duplicate component (3-word runs, Jaccard 0.85 or more)."""
