@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, neardup, packing, quality, sharding, spans, topk, toxicity, urls
+from tessera.llm import decontam, neardup, packing, quality, sharding, spans, topk, toxicity, urls, warc
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -125,6 +125,13 @@ def op7(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+@register("op8_warc")
+def op8(spark, d):
+    """Every page, written to WARC archives and read back."""
+    return warc.archived(table(spark, d, "pages"), keep_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op9_near_duplicates")
 def op9(spark, d):
     """Every document: its set size and near-duplicate component (3-word runs, Jaccard 0.85 or more)."""
