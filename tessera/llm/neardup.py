@@ -14,11 +14,12 @@ linked if the Jaccard similarity of their sets reaches ``percent`` / 100.
 4. A candidate goes on if sizes allow the similarity and the estimate, with
    random register collisions taken off, is not hopelessly low; then the full
    sets are compared.
-5. Connected components of the links.  Groups whose classes are still in
-   several components are taken up again: first with another pivot, then each
-   class outside the group's largest component meets every other member, in
-   cells of bounded size.  So no link inside a group is lost, and no group is
-   cut off.
+5. Connected components of the links.  In groups whose classes are still in
+   several components, each class outside the group's largest component meets
+   every other member, in cells of bounded size: first sketches mark who has a
+   hopeful partner, then the marked meet with their full sets, and only links
+   leave the cell.  So no link inside a group is lost, no group is cut off,
+   and no pair is listed that is not a link.
 
 Defined results.  Null, empty or wordless texts have an empty set and no
 links; rows without a doc_id neither.  Equal texts are always linked.  Rows
@@ -41,7 +42,7 @@ from tessera.llm.common import components, durable
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
 REST = 57                      # bits of a hash below its bucket number
-CELL = 256                     # members of a cell in the last round
+CELL = 512                     # members of a cell in the last round
 CACHED_WORDS = 1_000_000       # word hashes a worker keeps before it starts anew
 # Fixed value: share of random register collisions for equal, large sets
 # (HyperMinHash paper).
@@ -171,21 +172,60 @@ def _linked(percent: int):
     return run
 
 
-def _cell_pairs(percent: int):
-    """Pairs of one cell: stragglers against members of other components."""
+def _alive(i: int, members, comp, n, sig, band: int, percent: int) -> np.ndarray:
+    """Members of a cell that the late row i has to be compared with: of
+    another component, hopeful, and not met in an earlier band already."""
+    m = members[comp[members] != comp[i]]
+    m = m[hopeful(sig[m], sig[i][None], n[m], n[i], percent)]
+    same = (sig[m].reshape(len(m), BANDS, BAND) == sig[i].reshape(BANDS, BAND)).all(2)
+    return m[same.argmax(1) == band]
+
+
+def _facts(t: pa.Table):
+    ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n"))
+    late = t.column("late").to_numpy(zero_copy_only=False)
+    return ids, comp, n, np.flatnonzero(late), np.flatnonzero(~late), _matrix(t.column("sig"))
+
+
+def _cell_marks(percent: int):
+    """Ids of a cell that have a hopeful partner in it."""
     def run(key, t):
         t = t.combine_chunks()
-        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n"))
-        late = t.column("late").to_numpy(zero_copy_only=False)
-        sig = _matrix(t.column("sig"))
+        ids, comp, n, late, members, sig = _facts(t)
+        band, hit = t.column("band")[0].as_py(), np.zeros(len(ids), bool)
+        for i in late:
+            m = _alive(i, members, comp, n, sig, band, percent)
+            hit[m] = True
+            hit[i] |= len(m) > 0
+        found = np.unique(ids[hit])
+        return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "id": pa.array(found)})
+    return run
+
+
+def _cell_links(percent: int):
+    """One link of each late row of a cell to each component that it is linked to in it."""
+    def run(key, t):
+        t = t.combine_chunks()
+        ids, comp, n, late, members, sig = _facts(t)
+        band, column = t.column("band")[0].as_py(), t.column("items")
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // 8
+        items = np.frombuffer(column.buffers()[2], np.uint64) if len(ids) else np.zeros(0, np.uint64)
         one, two = [], []
-        members = np.flatnonzero(~late)
-        for i in np.flatnonzero(late):
-            m = members[(comp[members] != comp[i])]
-            if len(m):
-                ok = m[hopeful(sig[m], sig[i][None], n[m], n[i], percent)]
-                one += np.minimum(ids[ok], ids[i]).tolist()
-                two += np.maximum(ids[ok], ids[i]).tolist()
+        for i in late:
+            m = _alive(i, members, comp, n, sig, band, percent)
+            own = items[ends[i]:ends[i + 1]]
+            seen: set[int] = set()
+            for j in m:
+                if comp[j] in seen:
+                    continue
+                other = items[ends[j]:ends[j + 1]]
+                at = np.searchsorted(own, other)
+                both = int((own[np.minimum(at, len(own) - 1)] == other).sum())
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    seen.add(comp[j])
+                    one.append(min(ids[i], ids[j]))
+                    two.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
     return run
 
@@ -209,7 +249,14 @@ class _Search:
         width = 2 * BAND
         keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                            lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
-        return self.classes.select("id", F.explode(keys).alias("key"))
+        return self.classes.select("id", F.posexplode(keys).alias("band", "key"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(id, items): full sets of the classes in ``wanted`` (id), made anew from their texts."""
+        reps = durable(self.classes.join(wanted.distinct(), "id", "left_semi").select("rep"), "wanted")
+        texts = self.docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("text")
+        return durable(texts.mapInArrow(_sets(self.words), "fp binary, items binary")
+                       .select(F.xxhash64("fp").alias("id"), "items"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked, by estimate and then full sets."""
@@ -217,29 +264,52 @@ class _Search:
         two = self.classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
         likely = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb")
                          .mapInArrow(_keep_hopeful(self.percent), "a long, b long"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        reps = wanted.join(self.classes.select("id", "rep"), "id").select("rep")
-        texts = self.docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("text")
-        sets = durable(texts.mapInArrow(_sets(self.words), "fp binary, items binary")
-                       .select(F.xxhash64("fp").alias("id"), "items"), "sets")
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("id")))
         return durable(
             likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
             .select("a", "b", "xa", "xb").mapInArrow(_linked(self.percent), "a long, b long"), "linked")
 
-    def open_members(self, members: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """(key, id, comp) in the groups that span several components."""
-        m = members.select("key", "id")
-        if comps is not None:
-            m = (m.join(comps.withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
-                 .select("key", "id", F.coalesce("component", "id").alias("comp")))
-        else:
-            m = m.select("*", F.col("id").alias("comp"))
+    def open_members(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """(key, band, id, comp) in the groups that span several components."""
+        m = (members.join(comps.withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
+             .select("key", "band", "id", F.coalesce("component", "id").alias("comp")))
         m = durable(m, "grouped")
         several = durable(m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                           .where("x <> y").select("key"), "open-keys")
         return durable(m.join(several, "key", "left_semi"), "open")
 
+    def rest(self, left: DataFrame) -> DataFrame:
+        """The links (a, b) between components inside open groups."""
+        facts = self.classes.select(F.col("id").alias("_i"), "n", "sig")
+        rows = _cells(left).join(facts, F.col("id") == F.col("_i")).drop("_i")
+        marks = durable(rows.groupBy("key", "cell").applyInArrow(_cell_marks(self.percent), "key long, id long")
+                        .distinct(), "marks")
+        left = durable(left.join(marks, ["key", "id"], "left_semi"), "marked")
+        sets = self.sets(left.select("id")).withColumnRenamed("id", "_j").dropDuplicates(["_j"])
+        rows = (_cells(left).join(facts, F.col("id") == F.col("_i")).join(sets, F.col("id") == F.col("_j"))
+                .drop("_i", "_j"))
+        return durable(rows.groupBy("key", "cell").applyInArrow(_cell_links(self.percent), "a long, b long"), "late-links")
+
+
+def _cells(left: DataFrame) -> DataFrame:
+    """Open members dealt into cells (key, cell).  The members of a group make
+    rows of CELL and those outside its largest component (``late``) columns of
+    CELL; a cell is where a row and a column meet, so it is of bounded size."""
+    per = durable(left.groupBy("key", "comp").agg(F.count("*").alias("m")), "open-sizes")
+    big = per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size"),
+                                 F.max("m").alias("most"))
+    slots = lambda c: F.ceil(c / CELL).cast("int")
+    big = durable(big.select(F.col("key").alias("_k"), "main", slots(F.col("size")).alias("g"),
+                             slots(F.col("size") - F.col("most")).alias("h")), "open-mains")
+    m = left.join(big, F.col("key") == F.col("_k")).select("key", "band", "id", "comp", "main", "g", "h")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    row = lambda late, cells: F.transform(cells, lambda c: F.struct(F.lit(late).alias("late"), c.alias("cell")))
+    member = row(False, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda c: own(F.col("g")) * F.col("h") + c))
+    late = row(True, F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda c: c * F.col("h") + own(F.col("h"))))
+    cells = F.when(F.col("comp") == F.col("main"), member).otherwise(F.concat(member, late))
+    return m.select("key", "band", "id", "comp", F.explode(cells).alias("c")).select("key", "band", "id", "comp", "c.late", "c.cell")
+
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -251,25 +321,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     document.  Rows without doc_id have no component and are kept."""
     s = _Search(docs, words, percent)
     bands = s.bands()
-    groups = durable(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other"),
+    groups = durable(bands.groupBy("key").agg(F.min("id").alias("pivot"),
                                               F.count("*").alias("c")).where("c > 1"), "groups")
-    members = durable(bands.join(groups, "key").select("key", "id", "pivot", "other"), "members")
+    members = durable(bands.join(groups, "key").select("key", "band", "id", "pivot"), "members")
     pairs = durable(members.where("id <> pivot").select(*_ordered("id", "pivot")).distinct(), "pairs")
-    tested, links = pairs, s.links(pairs)
+    links = s.links(pairs)
     comps = components(links)
-
-    left = s.open_members(members, comps)
-    for last in (False, True):
-        if not left.limit(1).count():
-            break
-        pairs = _last_pairs(s, left) if last else _second_pairs(left)
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        more = s.links(pairs)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comps = components(links)
-            left = s.open_members(left, comps)
+    more = s.rest(s.open_members(members.drop("pivot"), comps))
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
 
     # Component labels are class ids; name each by its smallest document.
     named = s.classes.join(comps.withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left")
@@ -283,34 +343,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
     return (out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-
-
-def _second_pairs(left: DataFrame) -> DataFrame:
-    """Every open member against another pivot of its group: the member
-    with the smallest hash among those outside the group's smallest component."""
-    low = left.groupBy("key").agg(F.min("comp").alias("low"))
-    low = durable(low.withColumnRenamed("key", "_k"), "lowest")
-    others = left.join(low, F.col("key") == F.col("_k")).where("comp <> low")
-    pivot = durable(others.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id")).alias("p"))
-                    .select(F.col("key").alias("_k"), F.col("p.id").alias("pid"), F.col("p.comp").alias("pcomp")),
-                    "second-pivots")
-    return (left.join(pivot, F.col("key") == F.col("_k")).where("comp <> pcomp")
-            .select(*_ordered("id", "pid")).distinct())
-
-
-def _last_pairs(s: _Search, left: DataFrame) -> DataFrame:
-    """Every open member outside its group's largest component against all
-    members, in cells of about CELL members."""
-    per = durable(left.groupBy("key", "comp").agg(F.count("*").alias("m")), "open-sizes")
-    big = durable(per.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"),
-                                         F.sum("m").alias("size"))
-                  .select(F.col("key").alias("_k"), "main", F.ceil(F.col("size") / CELL).cast("int").alias("g")), "open-mains")
-    m = left.join(big, F.col("key") == F.col("_k")).select("key", "id", "comp", "main", "g")
-    slot = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
-    members = m.select("key", "id", "comp", slot.alias("cell"), F.lit(False).alias("late"))
-    late = (m.where("comp <> main")
-            .select("key", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("cell"),
-                    F.lit(True).alias("late")))
-    facts = s.classes.select(F.col("id").alias("_i"), "n", "sig")
-    rows = members.unionByName(late).join(facts, F.col("id") == F.col("_i")).drop("_i")
-    return rows.groupBy("key", "cell").applyInArrow(_cell_pairs(s.percent), "a long, b long").distinct()
