@@ -42,8 +42,11 @@ POSITIVES, OTHERS = 6_000, 24_000   # bounds of the labelled sample, on average
 TERMS = 8_192                       # most terms of the vocabulary
 PREFIXES = range(3, 9)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 64           # examples of a block
+FIRST = 8            # blocks of the first turn
+CALIBRATED = 1_500   # examples whose leave-one-out votes are taken
 CACHED_WORDS = 500_000
+CACHED_SCORES = 100_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -164,31 +167,47 @@ class Examples:
             for a, b in zip(t.tolist(), w.tolist()):
                 lists.setdefault(a, []).append((k, b))
                 self.most[a, k // BLOCK] = max(self.most[a, k // BLOCK], b)
-        self.lists = {t: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()}
+        self.lists = {}
+        for t, p in lists.items():
+            at = np.array([k for k, _ in p])
+            self.lists[t] = (at, np.array([w for _, w in p]), at // BLOCK)
         self.units = units
 
+    def _similarity(self, t, w, blocks: np.ndarray) -> np.ndarray:
+        """Exact similarities of the examples in the marked blocks, 0 elsewhere."""
+        at, sim = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for term, weight in zip(t.tolist(), w.tolist()):
+            if term in self.lists:
+                ks, ws, bs = self.lists[term]
+                inside = blocks[bs]
+                at.append(ks[inside])
+                sim.append(weight * ws[inside])
+        return np.bincount(np.concatenate(at), np.concatenate(sim), len(self.ids))
+
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
         """(positions, similarities) of the k nearest examples with a positive
-        similarity, ties to the smaller position."""
+        similarity, ties to the smaller position.  The blocks with the highest
+        bounds come first; of the others only those follow whose bound reaches
+        the k-th similarity found."""
         bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
         at, sim = np.zeros(0, np.int64), np.zeros(0)
-        for b in order[bound[order] > 0]:
-            if len(sim) == k and bound[b] < sim[-1] - 1e-12:
-                break
-            first = b * BLOCK
-            acc = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist()):
-                if term in self.lists:
-                    ks, ws = self.lists[term]
-                    lo, hi = np.searchsorted(ks, (first, first + BLOCK))
-                    acc[ks[lo:hi] - first] += weight * ws[lo:hi]
-            if first <= skip < first + BLOCK:
-                acc[skip - first] = 0
+        todo = bound > 0
+        turn = np.zeros(len(bound), bool)
+        turn[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        while (turn & todo).any():
+            acc = self._similarity(t, w, turn & todo)
+            todo &= ~turn
+            if skip >= 0:
+                acc[skip] = 0
             hit = np.flatnonzero(acc > 0)
-            at, sim = np.concatenate([at, first + hit]), np.concatenate([sim, acc[hit]])
+            at, sim = np.concatenate([at, hit]), np.concatenate([sim, acc[hit]])
+            if len(sim) > k:
+                keep = np.argpartition(-sim, k - 1)
+                keep = np.flatnonzero(sim >= sim[keep[k - 1]] - 1e-11)
+                at, sim = at[keep], sim[keep]
             keep = np.lexsort((at, -np.round(sim, 12)))[:k]
             at, sim = at[keep], sim[keep]
+            turn = todo & (bound >= sim[-1] - 1e-12) if len(sim) == k else todo
         return at, sim
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
@@ -201,11 +220,13 @@ class Examples:
         """Slope and shift of a logistic fit of the labels on leave-one-out votes."""
         if len(self.ys) < 20 or len(set(self.ys.tolist())) < 2:
             return 1.0, 0.0
-        x = np.array([_logit(self.vote(*self.nearest(*u, skip=k))) for k, u in enumerate(self.units)])
+        some = range(0, len(self.units), max(1, len(self.units) // CALIBRATED))
+        x = np.array([_logit(self.vote(*self.nearest(*self.units[k], skip=k))) for k in some])
+        ys = self.ys[list(some)]
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([x @ (p - self.ys) + 0.1 * (a - 1), (p - self.ys).sum() + 0.1 * b])
+            g = np.array([x @ (p - ys) + 0.1 * (a - 1), (p - ys).sum() + 0.1 * b])
             v = p * (1 - p)
             h = np.array([[v @ (x * x) + 0.1, v @ x], [v @ x, v.sum() + 0.1]])
             step = np.linalg.solve(h, g)
@@ -223,19 +244,22 @@ def _logit(p: float) -> float:
 def _scores(model, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, slope, shift = model.value
+        known: dict = {}
+
+        def judge(terms, counts):
+            at, sim = index.nearest(*unit(terms, counts, index.idf))
+            z = slope * _logit(index.vote(at, sim)) + shift
+            return 1 / (1 + math.exp(-z)), index.ids[at[:evidence]].tolist(), sim[:evidence].tolist()
         for batch in batches:
             scores, ids, sims = [], [], []
             for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not terms:
-                    scores.append(index.bare)
-                    ids.append([])
-                    sims.append([])
-                    continue
-                at, sim = index.nearest(*unit(terms, counts, index.idf))
-                z = slope * _logit(index.vote(at, sim)) + shift
-                scores.append(1 / (1 + math.exp(-z)))
-                ids.append(index.ids[at[:evidence]].tolist())
-                sims.append(sim[:evidence].tolist())
+                key = (tuple(terms), tuple(counts))
+                if key not in known:
+                    if len(known) >= CACHED_SCORES:
+                        known.clear()
+                    known[key] = judge(terms, counts) if terms else (index.bare, [], [])
+                for out, x in zip((scores, ids, sims), known[key]):
+                    out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())),
                  pa.array(sims, pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "similarity"])
