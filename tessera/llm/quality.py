@@ -50,8 +50,8 @@ def word_runs(b: np.ndarray) -> np.ndarray:
         return out
     padded = np.concatenate([b, np.zeros(8, np.uint8)])
     head = np.lib.stride_tricks.sliding_window_view(padded, 8)[start]
-    size = np.minimum(np.diff(np.append(start, len(b))), 8)
-    head = np.where(np.arange(8) < size[:, None], head, 0)
+    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    head = np.where(np.arange(8) < (end - start)[:, None], head, 0)
     same = np.concatenate([[False], (head[1:] == head[:-1]).all(1)])
     at = np.arange(len(start))
     out[start] = np.minimum(at - np.maximum.accumulate(np.where(same, 0, at)), RUN) / RUN
