@@ -26,7 +26,7 @@ from tessera.llm.common import durable, gapless_rank
 
 SHARDS = 24
 ROUNDS = 8
-SLACK = 0.05             # share of its capacity by which a shard may overfill within a round
+SLACK = 0.5              # share of its capacity by which a shard may overfill within a round
 OVERHEAD = 8             # bytes a document takes beside its text
 
 
