@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import coo
-from tessera.functions import estimate as es
 from tessera.functions import runs as rn
 from tessera.session import apply_library_conf, shared_dir
 from tessera.sources import files as fl
@@ -25,7 +24,6 @@ from tessera.operators import multiply as mm
 from tessera.operators import rows as rw
 from tessera.plans import chooser as ch
 from tessera.sources import tables as tb
-from tessera.streaming import eventlog as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +36,8 @@ SQL_VIEWS = {
            "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v "
            "FROM lineitem GROUP BY 1, 2"),
     "uh": "SELECT user_id AS i, CAST(hour(ts) AS BIGINT) AS j, count(*) AS v FROM events GROUP BY 1, 2",
+    "pd": ("SELECT l_partkey AS i, CAST(dayofyear(l_shipdate) AS BIGINT) AS j, count(*) AS v FROM lineitem GROUP BY 1, 2"),
+    "hd": "SELECT CAST(hour(ts) AS BIGINT) AS i, CAST(day(ts) AS BIGINT) AS j, count(*) AS v FROM events GROUP BY 1, 2",
     "eq": ("SELECT vec_id AS i, CAST(p AS BIGINT) AS j, CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) AS v "
            "FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p "
            "FROM embeddings)"),
@@ -61,6 +61,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sc(spark, d): return tb.supplier_part_lines(spark, d)
 def pm(spark, d): return tb.part_month_cents(spark, d)
 def uh(spark, d): return tb.user_hour_count(spark, d)
+def hd(spark, d): return tb.hour_day_count(spark, d)
+def eq(spark, d): return tb.quantised_embeddings(spark, d)
 
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -81,45 +83,48 @@ def register(name: str, sql: str | None):
 
 
 # ---- products -------------------------------------------------------------
-SP_SPT = with_views(
-    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM sp x JOIN sp y ON x.j = y.j GROUP BY 1, 2", "sp")
+# Products contract over the long side, so their results stay small next to
+# their inputs: SP·PM is supplier x month, the Gram matrices month x month,
+# hour x hour and component x component.
 SP_PM = with_views(
     "SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM sp a JOIN pm b ON a.j = b.i GROUP BY 1, 2", "sp", "pm")
 
 
-@register("matmul_coo", SP_SPT)
+def _self_sql(view: str) -> str:
+    return with_views(f"SELECT x.j AS i, y.j AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM {view} x "
+                      f"JOIN {view} y ON x.i = y.i GROUP BY 1, 2", view)
+
+
+@register("matmul_coo", SP_PM)
 def q_matmul_coo(spark, d):
-    a = sp(spark, d)
-    return mm.matmul_coo(a, coo.transpose(a))
+    return mm.matmul_coo(sp(spark, d), pm(spark, d))
 
 
-@register("matmul_coo_merge", SP_SPT)
+@register("matmul_coo_merge", SP_PM)
 def q_matmul_coo_merge(spark, d):
-    a = sp(spark, d)
-    return mm.matmul_coo(a, coo.transpose(a), join="merge")
+    return mm.matmul_coo(sp(spark, d), pm(spark, d), join="merge")
 
 
-@register("matmul_coo_salted", SP_SPT)
+@register("matmul_coo_salted", SP_PM)
 def q_matmul_coo_salted(spark, d):
-    a = written(sp(spark, d), "sp")
-    return mm.matmul_coo(a, coo.transpose(a), salt=True)
+    """A low target of pairs a slice, so that keys are split on small tables too."""
+    return mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), salt=True, target_pairs=16)
 
 
-@register("matmul_naive", SP_SPT)
+@register("matmul_naive", SP_PM)
 def q_matmul_naive(spark, d):
-    a = sp(spark, d)
-    return mm.matmul_naive(spark, a, coo.transpose(a))
+    return mm.matmul_naive(spark, sp(spark, d), pm(spark, d))
 
 
-@register("matmul_abt", SP_SPT)
+@register("matmul_abt", _self_sql("pm"))
 def q_matmul_abt(spark, d):
-    a = sp(spark, d)
-    return mm.matmul_abt(a, a)
+    t = coo.transpose(pm(spark, d))
+    return mm.matmul_abt(t, t)
 
 
-@register("matmul_gram", SP_SPT)
+@register("matmul_gram", _self_sql("pm"))
 def q_matmul_gram(spark, d):
-    return mm.gram(sp(spark, d))
+    return mm.gram(coo.transpose(pm(spark, d)))
 
 
 @register("matmul_coo_broadcast", SP_PM)
@@ -127,15 +132,9 @@ def q_matmul_coo_broadcast(spark, d):
     return mm.matmul_coo(sp(spark, d), written(pm(spark, d), "pm"), join="broadcast")
 
 
-@register("matmul_coo_broadcast_rows", SP_SPT)
+@register("matmul_coo_broadcast_rows", SP_PM)
 def q_matmul_coo_broadcast_rows(spark, d):
-    a = written(sp(spark, d), "sp")
-    return mm.matmul_coo(a, coo.transpose(a), join="broadcast_rows")
-
-
-@register("matmul_rect", SP_PM)
-def q_matmul_rect(spark, d):
-    return mm.matmul_coo(sp(spark, d), pm(spark, d))
+    return mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), join="broadcast_rows")
 
 
 @register("partial_products", with_views(
@@ -160,10 +159,9 @@ def q_matmul_sum_rewrite(spark, d):
 
 
 @register("result_nnz", with_views(
-    "SELECT count(*) AS nnz FROM (SELECT x.i, y.i AS j FROM sp x JOIN sp y ON x.j = y.j GROUP BY 1, 2)", "sp"))
+    "SELECT count(*) AS nnz FROM (SELECT a.i, b.j FROM sp a JOIN pm b ON a.j = b.i GROUP BY 1, 2)", "sp", "pm"))
 def q_result_nnz(spark, d):
-    a = sp(spark, d)
-    return coo.nnz(mm.matmul_coo(a, coo.transpose(a)))
+    return coo.nnz(mm.matmul_coo(sp(spark, d), pm(spark, d)))
 
 
 # ---- single-matrix operators ---------------------------------------------
@@ -183,12 +181,12 @@ def q_coo_canonical(spark, d):
 
 
 @register("matrix_density", with_views(
-    "SELECT nrows, ncols, nnz, d AS density, CAST(floor(nrows * ncols * d) AS BIGINT) AS requested_nnz FROM ("
+    "SELECT nrows, ncols, nnz, d AS density, CAST(floor(nrows * ncols * CAST(0.1 AS DOUBLE)) AS BIGINT) AS requested_nnz FROM ("
     "SELECT coalesce(max(i), -1) + 1 AS nrows, coalesce(max(j), -1) + 1 AS ncols, count(*) AS nnz, "
     "CAST(count(*) AS DOUBLE) / CAST((coalesce(max(i), -1) + 1) * (coalesce(max(j), -1) + 1) AS DOUBLE) AS d FROM sp)",
     "sp"))
 def q_matrix_density(spark, d):
-    return coo.density(sp(spark, d))
+    return coo.density(sp(spark, d), requested=0.1)
 
 
 @register("matrix_size_mb", with_views(
@@ -198,12 +196,10 @@ def q_matrix_size_mb(spark, d):
     return coo.size_mb(sp(spark, d))
 
 
-@register("prune_small", with_views(
-    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM eq x JOIN eq y ON x.j = y.j GROUP BY 1, 2 "
-    "HAVING abs(sum(x.v * y.v)) > 1e-10", "eq"))
+@register("prune_small", _self_sql("eq") + " HAVING abs(sum(x.v * y.v)) > 1e-10")
 def q_prune_small(spark, d):
-    a = tb.quantised_embeddings(spark, d)
-    return mm.matmul_abt(a, a, eps=1e-10)
+    t = coo.transpose(eq(spark, d))
+    return mm.matmul_abt(t, t, eps=1e-10, join="merge")
 
 
 @register("mask_zero", with_views("SELECT i, j, v FROM sp WHERE v > 50", "sp"))
@@ -213,7 +209,7 @@ def q_mask_zero(spark, d):
 
 @register("linear_index", with_views(
     "SELECT i * n + j AS cell, (i * n + j) // n AS i, (i * n + j) % n AS j, v "
-    "FROM sp, (SELECT count(*) AS n FROM part)", "sp"))
+    "FROM sp, (SELECT max(p_partkey) + 1 AS n FROM part)", "sp"))
 def q_linear_index(spark, d):
     return coo.linear_index(sp(spark, d), tb.dimension_count(spark, d, "part"))
 
@@ -237,32 +233,29 @@ def q_sparse_dot(spark, d):
     return coo.row_dot(sp(spark, d), sc(spark, d))
 
 
-@register("gram_coo_dense", with_views(
-    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM eq x JOIN eq y ON x.j = y.j GROUP BY 1, 2", "eq"))
+@register("gram_coo_dense", _self_sql("eq"))
 def q_gram_coo_dense(spark, d):
-    return mm.gram(tb.quantised_embeddings(spark, d))
-
+    return mm.gram(coo.transpose(eq(spark, d)))
 
-UH_UHT = with_views(
-    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM uh x JOIN uh y ON x.j = y.j GROUP BY 1, 2", "uh")
 
-
-@register("gram_hot_keys", UH_UHT)
+@register("gram_hot_keys", _self_sql("eq"))
 def q_gram_hot_keys(spark, d):
-    """Users active in the same hours: UH·UHᵀ contracts over 24 hour keys, so
-    every key is hot as the data grows; hot keys are split over a grid with
-    a pair target derived from the total work."""
-    return mm.gram(written(uh(spark, d), "uh"), salt=True, target_pairs=None)
+    """Every vector is a contraction key with 64 x 64 pairs; a target below
+    that splits each over a grid on both sides."""
+    return mm.gram(written(coo.transpose(eq(spark, d)), "eq"), salt=True, target_pairs=1000)
 
 
-@register("matmul_coo_hot_keys", UH_UHT)
+@register("matmul_coo_hot_keys", with_views(
+    "SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM uh a JOIN hd b ON a.j = b.i GROUP BY 1, 2", "uh", "hd"))
 def q_matmul_coo_hot_keys(spark, d):
-    a = written(uh(spark, d), "uh")
-    return mm.matmul_coo(a, coo.transpose(a), salt=True, target_pairs=None)
+    """Users x hours times hours x days: only 24 contraction keys, so each is
+    hot as the data grows, and each is split over a grid."""
+    return mm.matmul_coo(written(uh(spark, d), "uh"), written(hd(spark, d), "hd"), salt=True, target_pairs=1000)
 
 
 # ---- tiles -----------------------------------------------------------------
 TILE_BS = 256          # ragged at every scale: 2000 = 7*256 + 208
+PRODUCT_BS = 32        # several ragged blocks of suppliers even on the smallest tables
 RESULT_BS = 32
 
 
@@ -270,34 +263,45 @@ def _shape_sp(spark, d):
     return tb.dimension_count(spark, d, "supplier"), tb.dimension_count(spark, d, "part")
 
 
-@register("matmul_block", SP_SPT)
+def _tiled(spark, a, b, m, k, n, bs, broadcast=False):
+    """A·B on tiles, split and partitioned by the shape and the cell counts."""
+    bounds = {"a_bytes_bound": bl.tile_bytes_bound(a.count(), m, k, bs),
+              "b_bytes_bound": bl.tile_bytes_bound(b.count(), k, n, bs)}
+    split = bl.shape_split(bl.nblocks(m, bs), bl.nblocks(k, bs), bl.nblocks(n, bs),
+                           min_keys=spark.sparkContext.defaultParallelism)
+    return bl.matmul_block(bl.blockify(a, m, k, bs, canonical=True), bl.blockify(b, k, n, bs, canonical=True),
+                           broadcast=broadcast, split=split, nbk=bl.nblocks(k, bs), **bounds)
+
+
+@register("matmul_block", SP_PM)
 def q_matmul_block(spark, d):
-    a = sp(spark, d)
     n, m = _shape_sp(spark, d)
-    t = bl.blockify(a, n, m, TILE_BS, canonical=True)
-    return bl.unblockify(bl.matmul_block(t, bl.transpose_tiles(t)), TILE_BS)
+    return bl.unblockify(_tiled(spark, written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), n, m, 13, PRODUCT_BS), PRODUCT_BS)
 
 
 @register("matmul_block_broadcast", SP_PM)
 def q_matmul_block_broadcast(spark, d):
     n, m = _shape_sp(spark, d)
-    ta = bl.blockify(sp(spark, d), n, m, TILE_BS, canonical=True)
-    tpm = bl.blockify(written(pm(spark, d), "pm"), m, 13, TILE_BS, canonical=True)
-    return bl.unblockify(bl.matmul_block(ta, tpm, broadcast=True), TILE_BS)
+    return bl.unblockify(_tiled(spark, written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), n, m, 13, PRODUCT_BS,
+                                broadcast=True), PRODUCT_BS)
 
 
-@register("matmul_auto", SP_SPT)
+@register("matmul_auto", SP_PM + " HAVING sum(a.v * b.v) <> 0")
 def q_matmul_auto(spark, d):
-    a = written(sp(spark, d), "sp")
-    return ch.matmul(a, coo.transpose(a), strategy="auto", canonical=True)
+    return ch.matmul(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), strategy="auto", canonical=True)
+
+
+@register("matmul_auto_dense", _self_sql("eq") + " HAVING sum(x.v * y.v) <> 0")
+def q_matmul_auto_dense(spark, d):
+    """Dense and signed: the chooser takes tiles, from fewer pairs on than by default."""
+    a = written(eq(spark, d), "eq")
+    return ch.matmul(coo.transpose(a), a, strategy="auto", canonical=True, tile_min_pairs=1_000_000)
 
 
-@register("gram_dense", with_views(
-    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM eq x JOIN eq y ON x.j = y.j GROUP BY 1, 2", "eq"))
+@register("gram_dense", _self_sql("eq"))
 def q_gram_dense(spark, d):
-    cells = tb.quantised_embeddings(spark, d)
     n = tb.dimension_count(spark, d, "embeddings")
-    return rw.gram_dense(cells, n, 64, bs=TILE_BS, canonical=True)
+    return rw.gram_dense(coo.transpose(eq(spark, d)), 64, n, bs=TILE_BS, canonical=True)
 
 
 @register("blockify_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
@@ -316,12 +320,13 @@ def q_block_sum(spark, d):
 
 
 @register("result_blocks", with_views(
-    f"SELECT count(*) AS blocks FROM (SELECT DISTINCT x.i // {RESULT_BS}, y.i // {RESULT_BS} "
-    "FROM sp x JOIN sp y ON x.j = y.j)", "sp"))
+    f"SELECT count(*) AS blocks FROM (SELECT DISTINCT a.i // {RESULT_BS}, b.j // {RESULT_BS} "
+    "FROM sp a JOIN pm b ON a.j = b.i)", "sp", "pm"))
 def q_result_blocks(spark, d):
-    n, m = _shape_sp(spark, d)
-    t = bl.blockify(sp(spark, d), n, m, RESULT_BS, canonical=True)
-    return bl.tile_count(bl.matmul_block(t, bl.transpose_tiles(t)))
+    """Only the blocks' numbers meet; no product is computed to count them."""
+    a = sp(spark, d).select(F.expr(f"i div {RESULT_BS}").alias("bi"), F.col("j").alias("k")).distinct()
+    b = pm(spark, d).select(F.col("i").alias("k"), F.expr(f"j div {RESULT_BS}").alias("bj")).distinct()
+    return a.join(b, "k").select("bi", "bj").distinct().agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @register("block_grid",
@@ -329,7 +334,7 @@ def q_result_blocks(spark, d):
           f"CAST(least({TILE_BS}, m - bj * {TILE_BS}) AS INTEGER) AS nc "
           f"FROM (SELECT DISTINCT s_suppkey // {TILE_BS} AS bi FROM supplier), "
           f"(SELECT DISTINCT p_partkey // {TILE_BS} AS bj FROM part), "
-          "(SELECT count(*) AS n FROM supplier), (SELECT count(*) AS m FROM part)")
+          "(SELECT max(s_suppkey) + 1 AS n FROM supplier), (SELECT max(p_partkey) + 1 AS m FROM part)")
 def q_block_grid(spark, d):
     n, m = _shape_sp(spark, d)
     return bl.block_grid(spark, n, m, TILE_BS)
@@ -342,7 +347,7 @@ def q_block_grid(spark, d):
     f"CAST(least({TILE_BS}, m - bj * {TILE_BS}) AS INTEGER) AS nc "
     f"FROM (SELECT DISTINCT s_suppkey // {TILE_BS} AS bi FROM supplier), "
     f"(SELECT DISTINCT p_partkey // {TILE_BS} AS bj FROM part), "
-    "(SELECT count(*) AS n FROM supplier), (SELECT count(*) AS m FROM part)) g "
+    "(SELECT max(s_suppkey) + 1 AS n FROM supplier), (SELECT max(p_partkey) + 1 AS m FROM part)) g "
     f"LEFT JOIN (SELECT i // {TILE_BS} AS bi, j // {TILE_BS} AS bj, count(*) AS cells FROM sp GROUP BY 1, 2) c "
     "ON g.bi = c.bi AND g.bj = c.bj", "sp"))
 def q_block_geometry(spark, d):
@@ -351,16 +356,22 @@ def q_block_geometry(spark, d):
 
 
 # ---- rows --------------------------------------------------------------------
-def _dense_rows_sql(view: str, ncols: int, value: str = "v") -> str:
-    return (f"SELECT r.i AS i, CAST(0 AS BIGINT) AS seg, CAST({ncols} AS INTEGER) AS width, "
-            f"string_agg(CAST(coalesce(x.{value}, 0) AS VARCHAR), ',' ORDER BY c.j) AS row_text, "
-            f"CAST(sum(coalesce(x.{value}, 0)) AS BIGINT) AS total "
-            f"FROM (SELECT DISTINCT i FROM {view}) r CROSS JOIN range({ncols}) c(j) "
-            f"LEFT JOIN {view} x ON x.i = r.i AND x.j = c.j GROUP BY r.i")
+def _dense_rows_sql(view: str, ncols: str, width: int = rw.DEFAULT_WIDTH, total: str = "BIGINT") -> str:
+    return (f"SELECT r.i AS i, c.j // {width} AS seg, CAST(count(*) AS INTEGER) AS width, "
+            "string_agg(CAST(coalesce(x.v, 0) AS VARCHAR), ',' ORDER BY c.j) AS row_text, "
+            f"CAST(sum(coalesce(x.v, 0)) AS {total}) AS total "
+            f"FROM (SELECT DISTINCT i FROM {view}) r CROSS JOIN (SELECT unnest(range({ncols})) AS j) c "
+            f"LEFT JOIN {view} x ON x.i = r.i AND x.j = c.j GROUP BY 1, 2")
 
 
-@register("dense_rows", with_views(_dense_rows_sql("uh", 24), "uh"))
+@register("dense_rows", with_views(_dense_rows_sql("sp", "(SELECT max(p_partkey) + 1 FROM part)", 64, "DOUBLE"), "sp"))
 def q_dense_rows(spark, d):
+    """Suppliers x parts as rows of 64 columns a segment, most of them partly or wholly empty."""
+    return rw.render_rows(rw.dense_rows(sp(spark, d), tb.dimension_count(spark, d, "part"), 64, canonical=True))
+
+
+@register("dense_rows_narrow", with_views(_dense_rows_sql("uh", "24"), "uh"))
+def q_dense_rows_narrow(spark, d):
     return rw.render_rows(rw.dense_rows(uh(spark, d), 24, canonical=True))
 
 
@@ -371,20 +382,25 @@ def q_rows_as_maps(spark, d):
     return rw.map_row_stats(rw.rows_as_maps(sp(spark, d), canonical=True))
 
 
-@register("matmul_rows_broadcast", "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", "pm")) +
-          ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
-          "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
-def q_matmul_rows_broadcast(spark, d):
-    rows = rw.matmul_rows_broadcast(sp(spark, d), written(pm(spark, d), "pm"), 13)
+def _prod_sql(view: str, ncols: str, width: int) -> str:
+    return ("WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", view)) +
+            f", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN {view} b "
+            "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", ncols, width))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
     return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
 
 
-@register("matmul_rows_broadcast_partitioned", "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ("sp", "pm")) +
-          ", prod AS (SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN pm b "
-          "ON a.j = b.i GROUP BY 1, 2) " + _dense_rows_sql("prod", 13))
+@register("matmul_rows_broadcast", _prod_sql("pd", "367", 100))
+def q_matmul_rows_broadcast(spark, d):
+    """B is parts x days of the year: 367 columns, four segments."""
+    return _whole(rw.matmul_rows_broadcast(sp(spark, d), written(tb.part_day_lines(spark, d), "pd"), 367, width=100))
+
+
+@register("matmul_rows_broadcast_partitioned", _prod_sql("pm", "13", rw.DEFAULT_WIDTH))
 def q_matmul_rows_broadcast_partitioned(spark, d):
-    rows = rw.matmul_rows_broadcast(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), 13, partition_rows=True)
-    return rw.render_rows(rows.select("i", "seg", F.transform("row", lambda x: x.cast("bigint")).alias("row")))
+    return _whole(rw.matmul_rows_broadcast(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), 13, partition_rows=True))
 
 
 # ---- run-metrics analytics -------------------------------------------------
@@ -443,20 +459,22 @@ def q_runs_first(spark, d):
 
 
 @register("runs_pivot", with_views(
-    "SELECT algorithm, matrix_size, "
-    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 0.01), 0) AS d_0_01, "
-    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 0.1), 0) AS d_0_1, "
-    "coalesce(arg_min(wall_cs, run_id) FILTER (WHERE density = 1.0), 0) AS d_1_0 "
-    "FROM runs WHERE status = 'Success' GROUP BY 1, 2", "runs"))
+    "SELECT g.algorithm, g.matrix_size, d.density, coalesce(f.w, 0) AS first_wall_cs "
+    "FROM (SELECT DISTINCT algorithm, matrix_size FROM runs WHERE status = 'Success') g "
+    "CROSS JOIN (SELECT DISTINCT density FROM runs WHERE status = 'Success') d "
+    "LEFT JOIN (SELECT algorithm, matrix_size, density, arg_min(wall_cs, run_id) AS w FROM runs "
+    "WHERE status = 'Success' GROUP BY 1, 2, 3) f "
+    "ON f.algorithm = g.algorithm AND f.matrix_size = g.matrix_size AND f.density = d.density", "runs"))
 def q_runs_pivot(spark, d):
     return rn.pivot_size_density(runs(spark, d))
 
 
 @register("runs_delta", with_views(
-    "SELECT r.run_id AS run_id, r.wall_cs - p.wall_cs AS delta_wall_cs, r.stage_count - p.stage_count AS delta_stages, "
-    "(r.wall_cs - p.wall_cs) / 100 AS delta_wall_s FROM runs r LEFT JOIN runs p ON p.run_id + 1 = r.run_id", "runs"))
+    "SELECT run_id, wall_cs - lag(wall_cs) OVER w AS delta_wall_cs, stage_count - lag(stage_count) OVER w AS delta_stages, "
+    "(wall_cs - lag(wall_cs) OVER w) / 100 AS delta_wall_s FROM runs WHERE status = 'Success' WINDOW w AS (ORDER BY run_id)", "runs"))
 def q_runs_delta(spark, d):
-    return rn.consecutive_delta(runs(spark, d))
+    """Successful runs only, so run_id has gaps."""
+    return rn.consecutive_delta(rn.success(runs(spark, d)), rows_per_task=1000)
 
 
 @register("runs_ratio", with_views(
@@ -470,8 +488,8 @@ def q_runs_ratio(spark, d):
 
 @register("runs_labels", with_views(
     "SELECT run_id, algorithm || '_Exp_' || CAST(matrix_size AS VARCHAR) || 'x' || CAST(matrix_size AS VARCHAR) "
-    "|| '_D' || CAST(CAST(floor(density * 100) AS INTEGER) AS VARCHAR) AS label, wall_cs / 100 AS wall_s, "
-    "(wall_cs + stage_count) / 2 AS mean_sample, "
+    "|| '_D' || CAST(CAST(floor(density * 100) AS INTEGER) AS VARCHAR) AS label, floor((wall_cs + 5) / 10) / 10 AS wall_s, "
+    "floor(wall_cs / stage_count + 0.5) / 100 AS stage_mean_s, "
     "CASE WHEN status = 'Success' THEN 'Success' ELSE 'Failed: ' || substr(props, 1, 50) || '...' END AS note "
     "FROM runs", "runs"))
 def q_runs_labels(spark, d):
@@ -493,37 +511,9 @@ def q_experiment_grid(spark, d):
     return rn.experiment_grid(runs(spark, d))
 
 
-def _grid_sql(body: str) -> str:
-    return with_views(f", grid AS ({GRID_SQL}) {body}", "runs").replace(") , grid", "), grid")
-
-
-@register("shuffle_est_coo", _grid_sql(
-    "SELECT matrix_size, density, (matrix_size * matrix_size * density + matrix_size * matrix_size * density) * 8 / 1048576 AS read_mb, "
-    "(matrix_size * matrix_size * density * density + matrix_size * matrix_size * density * density) * 8 / 1048576 AS write_mb, "
-    "(matrix_size * matrix_size * density) * (matrix_size * matrix_size * density) * 8 / 1048576 * density AS naive_write_mb FROM grid"))
-def q_shuffle_est_coo(spark, d):
-    return es.shuffle_est_coo(rn.experiment_grid(runs(spark, d)))
-
-
-@register("shuffle_est_block", _grid_sql(
-    "SELECT matrix_size, density, block_size, CAST(ceil(matrix_size / block_size) AS BIGINT) AS num_blocks, "
-    "CAST(ceil(matrix_size / block_size) AS BIGINT) * (block_size * block_size * 8 * density / 1048576) * 2 AS read_mb, "
-    "CAST(ceil(matrix_size / block_size) AS BIGINT) * (block_size * block_size * 8 * density / 1048576) * 2 AS write_mb FROM grid"))
-def q_shuffle_est_block(spark, d):
-    return es.shuffle_est_block(rn.experiment_grid(runs(spark, d)))
-
-
-@register("shuffle_est_broadcast", _grid_sql(
-    "SELECT matrix_size, density, block_size, "
-    "CAST(ceil(matrix_size / block_size) AS BIGINT) * block_size * block_size * 8 * density / 1048576 AS block_write_mb, "
-    "CAST(0.0 AS DOUBLE) AS block_read_mb, matrix_size * matrix_size * density * 8 / 1048576 AS coo_write_mb FROM grid"))
-def q_shuffle_est_broadcast(spark, d):
-    return es.shuffle_est_broadcast(rn.experiment_grid(runs(spark, d)))
-
-
 # ---- generators (shape of the supplier x part matrix) ------------------------
 GEN_SEED, GEN_DENSITY = 42, 0.1
-_SHAPE = "(SELECT count(*) AS n FROM supplier) ns, (SELECT count(*) AS m FROM part) nm"
+_SHAPE = "(SELECT max(s_suppkey) + 1 AS n FROM supplier) ns, (SELECT max(p_partkey) + 1 AS m FROM part) nm"
 _VAL = "('0x' || substr(md5('{seed}{tag}:' || CAST(cell AS VARCHAR)), 1, {k}))::BIGINT"
 
 
@@ -559,7 +549,7 @@ def q_gen_coo_affine(spark, d):
 @register("gen_coo_batched_union", AFFINE_SQL)
 def q_gen_coo_batched_union(spark, d):
     n, m = _shape_sp(spark, d)
-    return gen.gen_coo_batched_union(spark, n, m, GEN_DENSITY, GEN_SEED)
+    return gen.gen_coo_batched_union(spark, n, m, GEN_DENSITY, GEN_SEED, batch=max(1000, n * m // 400))
 
 
 _BERN = (f"FROM (SELECT s_suppkey AS i, p_partkey AS j, s_suppkey * m + p_partkey AS cell FROM supplier, part, {_SHAPE}) "
@@ -578,12 +568,6 @@ def q_gen_rand_range(spark, d):
     return gen.gen_rand_range(spark, n, m, GEN_DENSITY, -1.0, 1.0, GEN_SEED)
 
 
-@register("gen_blocks", None)
-def q_gen_blocks(spark, d):
-    n, m = _shape_sp(spark, d)
-    return bl.unblockify(gen.gen_blocks(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
-
-
 @register("gen_blocks_hash",
           f"WITH g AS (SELECT s_suppkey AS i, p_partkey AS j, s_suppkey * m + p_partkey AS cell, n, m "
           f"FROM supplier, part, {_SHAPE}), "
@@ -597,15 +581,6 @@ def q_gen_blocks_hash(spark, d):
     return bl.unblockify(gen.gen_blocks_hash(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
 
 
-# ---- run metrics (A14) ---------------------------------------------------------
-@register("eventlog_shuffle", None)
-def q_eventlog_shuffle(spark, d):
-    """Run metrics of SP·SPᵀ over the given tables: jobs, completed stages and
-    tasks; shuffle bytes from the event log when the session writes one."""
-    a = sp(spark, d)
-    return ev.measure(mm.matmul_coo(a, coo.transpose(a)), "SP x SP^T coordinate product")
-
-
 # ---- files -------------------------------------------------------------------
 @register("csv_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
 def q_csv_roundtrip(spark, d):

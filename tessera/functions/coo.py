@@ -16,9 +16,12 @@ BROADCAST_WARN_MB = 500
 
 
 def as_coo(df: DataFrame, i="i", j="j", v="v") -> DataFrame:
-    """Project any table to the coordinate schema."""
-    return df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"),
-                     F.col(v).alias("v"))
+    """Project any table to the coordinate schema.  Whole numbers become
+    bigint, floats double; decimals stay as they are."""
+    kind = df.schema[v].dataType.typeName()
+    wide = {"byte": "bigint", "short": "bigint", "integer": "bigint", "float": "double"}.get(kind)
+    value = F.col(v).cast(wide) if wide else F.col(v)
+    return df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"), value.alias("v"))
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -49,12 +52,6 @@ def linear_index(df: DataFrame, ncols: int) -> DataFrame:
                       F.pmod(F.col("cell"), F.lit(ncols)).alias("j"), "v"))
 
 
-def dims(df: DataFrame) -> tuple[int, int]:
-    """Smallest shape holding every stored cell: (max i + 1, max j + 1)."""
-    r = df.agg(F.max("i").alias("mi"), F.max("j").alias("mj")).first()
-    return (0 if r.mi is None else r.mi + 1, 0 if r.mj is None else r.mj + 1)
-
-
 def stats(df: DataFrame) -> DataFrame:
     """One row: nrows, ncols (max index + 1), nnz, density, sum."""
     return df.agg(
@@ -64,12 +61,13 @@ def stats(df: DataFrame) -> DataFrame:
         F.sum("v").alias("total"))
 
 
-def density(df: DataFrame) -> DataFrame:
-    """nnz / (nrows * ncols), with the requested-nnz formula int(nrows*ncols*density)."""
+def density(df: DataFrame, requested: float) -> DataFrame:
+    """nnz / (nrows * ncols), and the cells int(nrows * ncols * requested) that
+    a generator asked for density ``requested`` would store."""
     s = stats(df)
     d = F.try_divide(F.col("nnz").cast("double"), (F.col("nrows") * F.col("ncols")).cast("double"))
     return s.select("nrows", "ncols", "nnz", d.alias("density"),
-                    F.floor(F.col("nrows") * F.col("ncols") * d).cast("bigint").alias("requested_nnz"))
+                    F.floor(F.col("nrows") * F.col("ncols") * F.lit(float(requested))).cast("bigint").alias("requested_nnz"))
 
 
 def size_mb(df: DataFrame) -> DataFrame:
@@ -101,11 +99,6 @@ def ewise_abs_sum(a: DataFrame, b: DataFrame) -> DataFrame:
     return ewise_mul(a, b).agg(F.sum(F.abs("v")).alias("total"))
 
 
-def add(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A + B over the union of stored cells."""
-    return canonical(a.unionByName(b))
-
-
 def row_dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sparse dot product of row i of A with row i of B over shared columns,
     for every row: sum_j A[i,j] * B[i,j]."""

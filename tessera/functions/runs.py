@@ -10,7 +10,7 @@ scale with the provided data; real runs come from ``bench.py`` records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Algorithm names, size grid and density grid of the experiments.
@@ -75,25 +75,39 @@ def first_per_group(runs: DataFrame) -> DataFrame:
 
 
 def pivot_size_density(runs: DataFrame) -> DataFrame:
-    """A13: size x density table of first wall times per algorithm, missing -> 0."""
-    p = (success(runs).groupBy("algorithm", "matrix_size")
-         .pivot("density", DENSITIES).agg(F.min_by("wall_cs", "run_id")))
-    names = {str(d): "d_" + str(d).replace(".", "_") for d in DENSITIES}
-    for old, new in names.items():
-        p = p.withColumnRenamed(old, new)
-    return p.na.fill(0, list(names.values()))
-
-
-def consecutive_delta(runs: DataFrame) -> DataFrame:
-    """E6: change of each run's metrics against the run logged just before it.
-
-    An equi-join on ``run_id - 1`` (no global window, so no single task)."""
-    prev = runs.select((F.col("run_id") + 1).alias("run_id"), F.col("wall_cs").alias("prev_wall_cs"),
-                       F.col("stage_count").alias("prev_stage_count"))
-    j = runs.join(prev, "run_id", "left")
-    return j.select("run_id", (F.col("wall_cs") - F.col("prev_wall_cs")).alias("delta_wall_cs"),
-                    (F.col("stage_count") - F.col("prev_stage_count")).alias("delta_stages"),
-                    ((F.col("wall_cs") - F.col("prev_wall_cs")) / 100).alias("delta_wall_s"))
+    """A13: first wall time of every size x density of an algorithm, in long
+    form, missing points 0.  The densities are those the runs have."""
+    first = (success(runs).groupBy("algorithm", "matrix_size", "density")
+             .agg(F.min_by("wall_cs", "run_id").alias("w")))
+    # One entry per grid point of an algorithm; the axis is one short array.
+    axis = first.agg(F.sort_array(F.collect_set("density")).alias("axis")).withColumn("one", F.lit(1))
+    held = (first.groupBy("algorithm", "matrix_size")
+            .agg(F.map_from_entries(F.collect_list(F.struct("density", "w"))).alias("by"), F.lit(1).alias("one")))
+    grid = held.join(axis, "one").select("algorithm", "matrix_size", F.explode("axis").alias("density"), "by")
+    return grid.select("algorithm", "matrix_size", "density",
+                       F.coalesce(F.element_at("by", F.col("density")), F.lit(0).cast("bigint")).alias("first_wall_cs"))
+
+
+def consecutive_delta(runs: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """E6: change of each run's metrics against the run logged just before it,
+    whatever gaps run_id has.
+
+    Runs are dealt into ranges of run_id; a lag inside each range and the
+    ranges' last runs, one row a range, give every run its predecessor, so no
+    task sees more than its range."""
+    cols = ["run_id", "wall_cs", "stage_count"]
+    r = runs.select(*cols)
+    lo, hi, n = r.agg(F.min("run_id"), F.max("run_id"), F.count(F.lit(1))).first()
+    step = max(1, ((hi or 0) - (lo or 0) + 1) // max(1, n // rows_per_task))
+    r = r.withColumn("_part", F.expr(f"(run_id - {lo or 0}) div {step}"))
+    last = r.groupBy("_part").agg(F.max(F.struct(*cols)).alias("l"))
+    before = last.select("_part", F.lag("l").over(Window.orderBy("_part")).alias("_before"))
+    w = Window.partitionBy("_part").orderBy("run_id")
+    own = r.withColumn("_own", F.lag(F.struct(*cols)).over(w)).join(before, "_part")
+    p = F.coalesce("_own", "_before")
+    return own.select("run_id", (F.col("wall_cs") - p["wall_cs"]).alias("delta_wall_cs"),
+                      (F.col("stage_count") - p["stage_count"]).alias("delta_stages"),
+                      ((F.col("wall_cs") - p["wall_cs"]) / 100).alias("delta_wall_s"))
 
 
 def mode_ratio(runs: DataFrame, slow: str = "coo", fast: str = "auto",
@@ -110,14 +124,15 @@ def mode_ratio(runs: DataFrame, slow: str = "coo", fast: str = "auto",
 
 
 def labels(runs: DataFrame) -> DataFrame:
-    """E8: experiment label, rounded seconds and the 50-character error note."""
+    """E8: experiment label, seconds rounded to tenths, mean seconds per stage
+    and the 50-character error note."""
     pct = F.floor(F.col("density") * 100).cast("int")
     label = F.concat(F.col("algorithm"), F.lit("_Exp_"), F.col("matrix_size").cast("string"), F.lit("x"),
                      F.col("matrix_size").cast("string"), F.lit("_D"), pct.cast("string"))
     note = F.when(F.col("status") == "Success", F.lit("Success")).otherwise(
         F.concat(F.lit("Failed: "), F.substring("props", 1, 50), F.lit("...")))
-    return runs.select("run_id", label.alias("label"), (F.col("wall_cs") / 100).alias("wall_s"),
-                       ((F.col("wall_cs") + F.col("stage_count")) / 2).alias("mean_sample"),
+    return runs.select("run_id", label.alias("label"), (F.floor((F.col("wall_cs") + 5) / 10) / 10).alias("wall_s"),
+                       (F.floor(F.col("wall_cs") / F.col("stage_count") + 0.5) / 100).alias("stage_mean_s"),
                        note.alias("note"))
 
 

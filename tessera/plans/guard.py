@@ -1,8 +1,9 @@
 """Size-checked broadcast.
 
-A side is broadcast only after a bounded probe proves it is under the byte
-budget; otherwise the plan keeps the shuffle join.  The probe reads at most
-``budget / row_bytes + 1`` rows of the side, so it never counts a huge input.
+A side is broadcast only after a count, or a bound the caller proves, shows
+that it is under the byte budget; otherwise the plan keeps the shuffle join.
+A count is a partial aggregate that moves one row per partition, and on a
+written view it reads no columns at all.
 """
 
 from __future__ import annotations
@@ -35,13 +36,8 @@ def fits(df: DataFrame, budget: int = DEFAULT_BUDGET) -> bool:
     """True when ``df`` provably fits in ``budget`` bytes."""
     width = fixed_row_bytes(df)
     if width is not None:
-        max_rows = budget // width
-        return df.limit(max_rows + 1).count() <= max_rows
-    # Variable-width rows (tiles, arrays): sum the actual payload, stopping
-    # the probe as soon as the budget could be exceeded is not possible in one
-    # aggregate, so bound the row count first with a 1-byte-per-row floor.
-    if df.limit(budget // ROW_OVERHEAD + 1).count() > budget // ROW_OVERHEAD:
-        return False
+        return df.count() * width <= budget
+    # Variable-width rows (tiles, arrays): sum the actual payload.
     size = F.lit(ROW_OVERHEAD)
     for f in df.schema.fields:
         w = _FIXED.get(type(f.dataType))
@@ -58,8 +54,8 @@ def fits(df: DataFrame, budget: int = DEFAULT_BUDGET) -> bool:
 
 
 def count_at_most(df: DataFrame, limit: int) -> int | None:
-    """Row count of ``df`` if it is <= limit, else None (reads <= limit+1 rows)."""
-    n = df.limit(limit + 1).count()
+    """Row count of ``df`` if it is <= limit, else None."""
+    n = df.count()
     return n if n <= limit else None
 
 

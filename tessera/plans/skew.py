@@ -15,13 +15,10 @@ cells instead of ``s``; a key hot on one side only degenerates to splitting
 that side and copying the small side.  Cold keys get salt 0 and are not
 copied.
 
-The hot-key table has at most ``total_pairs / target_pairs`` rows (under the
-adaptive target at most ``2 * slots``, or ``P / DEFAULT_TARGET_PAIRS`` once
-the target hits its cap for very large P).  It is fetched once with a
-bounded ``limit`` and broadcast as a small literal table, so the main job
-does not recompute the key statistics; when no key is hot the join is left
-unsalted.  Past HOT_FETCH_MAX rows it stays a lazy table, broadcast only after
-a size check.
+A target is raised to ``total_pairs / HOT_FETCH_MAX`` where it is lower, so
+there are at most HOT_FETCH_MAX hot keys and slices, whatever the input.  That
+small table is fetched once and broadcast as literals, so the main job does
+not recompute the key statistics; when no key is hot the join is left unsalted.
 """
 
 from __future__ import annotations
@@ -29,7 +26,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.guard import checked_broadcast
 from tessera.plans.partitions import COO_ROW_BYTES, pinned_partitions
 
 # Partial products one task should produce for one key slice.
@@ -38,11 +34,8 @@ DEFAULT_TARGET_PAIRS = 20_000_000
 MIN_TARGET_PAIRS = 10_000
 # Slices of work per concurrent task slot the adaptive target aims for.
 SLICES_PER_SLOT = 2
-# Hot-key rows fetched to build a literal broadcast table (~1.5 MiB).
+# Hot keys (and slices) at most; a literal broadcast table of ~1.5 MiB.
 HOT_FETCH_MAX = 65_536
-# Grid cells per key at most (keeps salts in int range; every pair still
-# meets, only the key's parallelism stops growing).
-MAX_SLICES = 1 << 20
 
 
 def key_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -73,7 +66,7 @@ def hot_keys_of(kp: DataFrame, key: str, target_pairs: int) -> DataFrame:
     """:func:`hot_keys` from a per-key table ``(key, ca, cb, pairs)``."""
     kp = kp.where(F.col("pairs") > F.lit(target_pairs))
     ca, cb = F.col("ca"), F.col("cb")
-    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.col("pairs"), F.lit(MAX_SLICES)).cast("long")
+    s = F.least(F.ceil(F.col("pairs") / F.lit(target_pairs)), F.col("pairs")).cast("long")
     # Balanced grid: r ~ sqrt(s * ca / cb), r <= ca; c = ceil(s / r) <= cb;
     # then r is widened again if c hit its cap.
     r0 = F.least(F.greatest(F.round(F.sqrt(s * ca / cb)), F.lit(1)), ca)
@@ -96,36 +89,28 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     come back hash-partitioned on ``(key, _salt)`` into ``partitions`` parts.
     """
     spark = left.sparkSession
-    rows, parts = None, partitions
-    kp = None
+    rows, parts = 0, partitions
     if hot is None:
-        kp = key_pairs(left, right, key)
+        # Two small actions read the per-key table (totals, then hot keys):
+        # keep it so the inputs are scanned once for both.
+        kp = key_pairs(left, right, key).persist()
+        r = kp.agg(F.sum("pairs").alias("p"), F.sum("ca").alias("a"), F.sum("cb").alias("b")).first()
+        pairs, rows = int(r.p or 0), int(r.a or 0) + int(r.b or 0)
         if target_pairs is None:
-            # Two actions read the per-key table (totals, then hot keys):
-            # keep it so the inputs are scanned once for both.
-            kp = kp.persist()
-            r = kp.agg(F.sum("pairs").alias("p"), F.sum("ca").alias("a"), F.sum("cb").alias("b")).first()
-            rows = int(r.a or 0) + int(r.b or 0)
-            parts = parts or pinned_partitions(spark, rows * COO_ROW_BYTES)
-            target_pairs = fair_target(int(r.p or 0), spark.sparkContext.defaultParallelism)
+            target_pairs = fair_target(pairs, spark.sparkContext.defaultParallelism)
+        target_pairs = max(target_pairs, -(-pairs // HOT_FETCH_MAX))
         hot = hot_keys_of(kp, key, target_pairs)
-    fetched = hot.limit(HOT_FETCH_MAX + 1).collect()
-    small = len(fetched) <= HOT_FETCH_MAX
-    if small and kp is not None and kp.is_cached:
-        # The fetched rows replace the per-key table; a larger, lazy hot
-        # table keeps reading it, so only then does it stay cached.
+        fetched = hot.collect()
         kp.unpersist()
+    else:
+        fetched = hot.collect()
     if not fetched:
         return left, right, [key]
-    if small:
-        hot_b = F.broadcast(spark.createDataFrame(fetched, hot.schema))
-        # Extra rows the grid adds: each hot A cell is copied c times, each
-        # hot B cell r times.
-        copies = sum((h._c - 1) * h._ca + (h._r - 1) * h._cb for h in fetched)
-        parts = max(parts or 0, pinned_partitions(spark, ((rows or 0) + copies) * COO_ROW_BYTES))
-    else:
-        hot_b, _ = checked_broadcast(hot)
-        parts = parts or pinned_partitions(spark, rows * COO_ROW_BYTES if rows else None)
+    hot_b = F.broadcast(spark.createDataFrame(fetched, hot.schema))
+    # Extra rows the grid adds: each hot A cell is copied c times, each hot B
+    # cell r times.
+    copies = sum((h._c - 1) * h._ca + (h._r - 1) * h._cb for h in fetched)
+    parts = max(parts or 0, pinned_partitions(spark, (rows + copies) * COO_ROW_BYTES))
 
     def spread(cols: list[str], n):
         return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n.cast("long")).cast("int")

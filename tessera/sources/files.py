@@ -1,5 +1,5 @@
 """Sinks and sources for matrices and run tables: headered CSV (the run
-tables' exchange format) and Parquet (matrices)."""
+tables' exchange format) and views written once as Parquet."""
 
 from __future__ import annotations
 
@@ -14,14 +14,6 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into a fresh folder under the shared
     checkpoint directory (``spark.checkpoint.dir``) and read it back.

@@ -49,6 +49,20 @@ def part_month_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.sum(cents).cast("bigint").alias("v")))
 
 
+def part_day_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PD: part x day of the year (1..366) of shipping, number of order lines."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy(F.col("l_partkey").alias("i"), F.dayofyear("l_shipdate").cast("bigint").alias("j"))
+              .agg(F.count(F.lit(1)).alias("v")))
+
+
+def hour_day_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HD: hour of day x day of month, number of events."""
+    ev = table(spark, sf_dir, "events")
+    return (ev.groupBy(F.hour("ts").cast("bigint").alias("i"), F.dayofmonth("ts").cast("bigint").alias("j"))
+              .agg(F.count(F.lit(1)).alias("v")))
+
+
 def user_hour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UH: user x hour of day, number of events."""
     ev = table(spark, sf_dir, "events")
@@ -56,13 +70,6 @@ def user_hour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("v")))
 
 
-def quantised_embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EQ as dense rows: (i, vec array<bigint>), each component floor(e * 1000)."""
-    emb = table(spark, sf_dir, "embeddings")
-    q = F.transform("embedding", lambda e: F.floor(e.cast("double") * 1000).cast("bigint"))
-    return emb.select(F.col("vec_id").alias("i"), q.alias("vec"))
-
-
 def quantised_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EQ in coordinate form: one cell per embedding component (dense, signed)."""
     emb = table(spark, sf_dir, "embeddings")
@@ -71,6 +78,11 @@ def quantised_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.floor(F.col("e").cast("double") * 1000).cast("bigint").alias("v")))
 
 
+# Key column of each table that spans a matrix axis.
+AXIS_KEYS = {"supplier": "s_suppkey", "part": "p_partkey", "embeddings": "vec_id"}
+
+
 def dimension_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of a dimension table (keys are dense and 0-based)."""
-    return table(spark, sf_dir, name).count()
+    """Length of a matrix axis: the table's largest key + 1, so keys with gaps
+    still fall inside it."""
+    return (table(spark, sf_dir, name).agg(F.max(AXIS_KEYS[name])).first()[0] or -1) + 1

@@ -1,15 +1,11 @@
 """Generators: exact nnz, distinct cells, determinism across partitionings;
-run analytics edge cases; event-log metrics; estimators."""
-
-import os
-import tempfile
+run analytics edge cases."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import runs as rn
 from tessera.sources import generate as gen
-from tessera.streaming import eventlog
 
 
 @pytest.mark.parametrize("fn", [gen.gen_coo_exact, gen.gen_coo_affine, gen.gen_coo_batched_union])
@@ -40,15 +36,6 @@ def test_kth_smallest_matches_sort(spark):
         assert gen.kth_smallest(df, k, [("h", 60), ("cell", 63)]) == rows[k - 1]
 
 
-def test_gen_blocks_per_block_nnz(spark):
-    from tessera.operators.blocks import unblockify
-    t = gen.gen_blocks(spark, 10, 10, 0.5, 4)
-    got = {(r.bi, r.bj): r.nnz for r in t.collect()}
-    assert got[(0, 0)] == 8 and got[(2, 2)] == 2
-    full = gen.gen_blocks(spark, 5, 5, 1.0, 4)
-    assert unblockify(full, 4).count() == 25
-
-
 def test_runs_only_failed_and_zero_divisor(spark):
     runs = spark.createDataFrame(
         [(1, "coo", 1000, 0.1, 100, 3, "Failed", "{}"), (2, "auto", 1000, 0.1, 0, 3, "Success", "{}"),
@@ -58,39 +45,8 @@ def test_runs_only_failed_and_zero_divisor(spark):
     assert rn.mean_by_size(runs.where("status = 'Failed'")).count() == 0
     r = rn.mode_ratio(runs).first()
     assert r.ratio is None and r.fast_wins is False
-    p = rn.pivot_size_density(runs).where("algorithm = 'coo'").first()
-    assert (p.d_0_01, p.d_0_1, p.d_1_0) == (0, 50, 0)
-
-
-def test_eventlog_totals(spark):
-    d = tempfile.mkdtemp(prefix="evlog-")
-    with open(os.path.join(d, "app-1"), "w") as f:
-        f.write('{"Event":"SparkListenerJobStart","Job ID":0,"Stage IDs":[0,1],'
-                '"Properties":{"spark.job.description":"q1"}}\n')
-        for stage, rd, wr in ((0, 0, 100), (1, 100, 0), (1, 50, 0)):
-            f.write('{"Event":"SparkListenerTaskEnd","Stage ID":%d,"Task Metrics":{"Shuffle Read Metrics":'
-                    '{"Remote Bytes Read":0,"Local Bytes Read":%d},"Shuffle Write Metrics":'
-                    '{"Shuffle Bytes Written":%d},"Executor Run Time":5}}\n' % (stage, rd, wr))
-    t = eventlog.totals(eventlog.read_events(spark, d)).first()
-    assert (t.stage_count, t.shuffle_read_b, t.shuffle_write_b) == (2, 150, 100)
-    q = eventlog.per_description(eventlog.read_events(spark, d)).first()
-    assert q.description == "q1" and q.shuffle_read_b == 150
-
-
-def test_eventlog_stream_totals(spark):
-    d = tempfile.mkdtemp(prefix="evstream-")
-    with open(os.path.join(d, "app-1"), "w") as f:
-        for stage, rd, wr in ((0, 0, 100), (1, 100, 0), (1, 50, 0)):
-            f.write('{"Event":"SparkListenerTaskEnd","Stage ID":%d,"Task Metrics":{"Shuffle Read Metrics":'
-                    '{"Remote Bytes Read":0,"Local Bytes Read":%d},"Shuffle Write Metrics":'
-                    '{"Shuffle Bytes Written":%d},"Executor Run Time":5}}\n' % (stage, rd, wr))
-    q = eventlog.stream_totals(spark, d, "ev_totals_test")
-    try:
-        q.processAllAvailable()
-        r = eventlog.stream_summary(spark, "ev_totals_test").first()
-        assert (r.stage_count, r.shuffle_read_b, r.shuffle_write_b) == (2, 150, 100)
-    finally:
-        q.stop()
+    p = {r.algorithm: r.first_wall_cs for r in rn.pivot_size_density(runs).collect()}
+    assert p == {"coo": 50, "auto": 0}
 
 
 def test_gen_blocks_hash_exact_per_block(spark):
@@ -113,19 +69,23 @@ def test_materialize_writes_under_checkpoint_dir(spark):
     assert sorted(a.collect()) == sorted(df.collect())
 
 
-def test_run_metrics_of_a_product(spark):
-    import __spark_entry__ as e
-    sc = spark.sparkContext
-    sc.setJobGroup("caller-group", "caller", False)
-    try:
-        r = e.queries()["eventlog_shuffle"](spark, "/root/testdata/sf0.001").first()
-        assert sc.getLocalProperty("spark.jobGroup.id") == "caller-group"
-    finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-        sc.setLocalProperty("spark.job.description", None)
-    # The measured product is SP·SPᵀ: 10 x 10 cells at sf0.001.
-    assert r.result_rows == 100 and r.jobs >= 1 and r.stage_count >= 1 and r.tasks >= r.stage_count
-    assert r.failed_tasks == 0
-    if spark.conf.get("spark.eventLog.enabled", "false") != "true":
-        # No event log in this session: bytes are unknown, so NULL (not 0).
-        assert r.shuffle_read_b is None and r.shuffle_write_b is None
+def test_delta_over_gaps_and_ranges(spark):
+    ids = [1, 3, 4, 9, 50, 51, 700, 701, 5000]
+    runs = spark.createDataFrame([(i, i * i, i % 7) for i in ids], "run_id long, wall_cs long, stage_count long")
+    for rows in (1, 2, 100):
+        got = {r.run_id: r.delta_wall_cs for r in rn.consecutive_delta(runs, rows).collect()}
+        assert got == {i: (i * i - p * p if p is not None else None) for i, p in zip(ids, [None, *ids])}
+
+
+def test_pivot_takes_its_densities_from_the_runs(spark):
+    cols = "run_id long, algorithm string, matrix_size long, density double, wall_cs long, status string"
+    runs = spark.createDataFrame([(1, "coo", 10, 0.5, 7, "Success"), (2, "coo", 20, 0.25, 9, "Success"),
+                                  (3, "coo", 10, 0.5, 8, "Success"), (4, "coo", 10, 0.75, 8, "Failed")], cols)
+    got = {(r.matrix_size, r.density): r.first_wall_cs for r in rn.pivot_size_density(runs).collect()}
+    assert got == {(10, 0.5): 7, (10, 0.25): 0, (20, 0.25): 9, (20, 0.5): 0}
+
+
+def test_batches_are_the_callers(spark):
+    df = gen.gen_coo_batched_union(spark, 100, 100, 0.5, 5, batch=50)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 100
+    assert df.exceptAll(gen.gen_coo_affine(spark, 100, 100, 0.5, 5)).count() == 0

@@ -255,13 +255,6 @@ def test_blockify_hot_duplicate_coordinate(spark):
     assert plan.count("HashAggregate") >= 2
 
 
-def test_batched_union_plan_width(spark):
-    from tessera.sources import generate as gen
-    df = gen.gen_coo_batched_union(spark, 100, 100, 0.5, 3, batch=10)
-    assert df.count() == 5000
-    assert df._jdf.queryExecution().logical().toString().count("Range") <= gen.MAX_BATCHES
-
-
 def test_rows_broadcast_segmented_path(spark):
     rng = np.random.default_rng(4)
     a, b = rand_sparse(rng, 5, 6, 0.6), rand_sparse(rng, 6, 5, 0.8)
@@ -359,3 +352,83 @@ def test_one_hot_key_of_a_million_pairs(spark):
     salted = mm.matmul_coo(A, B, salt=True, target_pairs=50_000)
     plain = mm.matmul_coo(A, B)
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+
+
+STRATEGIES = ["coo", "coo_merge", "coo_salted", "coo_broadcast", "coo_broadcast_rows", "coo_broadcast_left",
+              "block", "block_broadcast", "auto"]
+
+
+@pytest.mark.parametrize("vtype,make", [
+    ("int", lambda r, k: int(r.integers(-2, 3))),
+    ("bigint", lambda r, k: int(r.integers(-2, 3)) * (3 * 10 ** 8 + 1)),      # sums beyond 2**53
+    ("double", lambda r, k: float(r.integers(-2, 3))),
+    ("decimal(10,2)", lambda r, k: __import__("decimal").Decimal(int(r.integers(-2, 3))) / 4),
+])
+def test_one_result_for_every_strategy(spark, vtype, make):
+    """Same cells, types and values: zeros from cancelling products are stored by none."""
+    from tessera.plans import chooser as ch
+    r = np.random.default_rng(5)
+    a = spark.createDataFrame([(i, j, make(r, 0)) for i in range(25) for j in range(12) if r.random() < 0.5],
+                              f"i int, j int, v {vtype}").cache()
+    b = spark.createDataFrame([(i, j, make(r, 0)) for i in range(12) for j in range(9) if r.random() < 0.5],
+                              f"i int, j int, v {vtype}").cache()
+    first = None
+    for s in STRATEGIES:
+        got = ch.matmul(a, b, s, bs=5, tile_min_pairs=1)
+        if first is None:
+            first = got.cache()
+            assert first.where("v = 0").count() == 0 and first.count() > 0
+        assert got.dtypes == first.dtypes, s
+        assert got.exceptAll(first).count() == 0 and first.exceptAll(got).count() == 0, s
+
+
+def test_dense_rows_have_all_segments(spark):
+    m = coo_df(spark, [(0, 0, 1), (0, 9, 2), (1, 4, 3)])
+    got = {(r.i, r.seg): list(r.row) for r in rw.dense_rows(m, 10, width=3).collect()}
+    want = {0: [1, 0, 0, 0, 0, 0, 0, 0, 0, 2], 1: [0, 0, 0, 0, 3, 0, 0, 0, 0, 0]}
+    assert got == {(i, s): want[i][3 * s:3 * s + 3] for i in want for s in range(4)}
+
+
+def test_registered_salted_products_are_salted(spark):
+    import __spark_entry__ as e
+    for name in ("matmul_coo_salted", "gram_hot_keys", "matmul_coo_hot_keys"):
+        assert "_salt" in e.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().toString(), name
+
+
+def test_hot_keys_stay_few(spark, monkeypatch):
+    """More keys above the target than the table may have: the target is raised."""
+    from tessera.plans import skew
+    monkeypatch.setattr(skew, "HOT_FETCH_MAX", 5)
+    r = np.random.default_rng(1)
+    a = coo_df(spark, [(i, k, int(r.integers(1, 9))) for i in range(10) for k in range(30)], "long")
+    b = coo.transpose(a)
+    got = mm.matmul_coo(a, b, salt=True, target_pairs=1)
+    plain = mm.matmul_coo(a, b)
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_two_level_tile_sum(spark):
+    r = np.random.default_rng(2)
+    cells = [(i, j, float(r.integers(1, 5))) for i in range(6) for j in range(6)]
+    t = bl.blockify(coo_df(spark, cells), 6, 6, 4)
+    many = t
+    for _ in range(4):
+        many = many.unionByName(many)
+    got = to_dense(bl.unblockify(bl.block_sum(many, 1000), 4), (6, 6))
+    assert np.array_equal(got, 16 * to_dense(coo_df(spark, cells), (6, 6)))
+
+
+def test_tile_kernels_run_without_the_package_on_the_path(tmp_path):
+    """Workers get the package from the session, not from their own path."""
+    import subprocess
+    import sys
+    job = tmp_path / "job.py"
+    job.write_text("import sys; sys.path.insert(0, %r)\n"
+                   "from tessera.session import get_session\n"
+                   "s = get_session('local[2]', 2)\n"
+                   "sys.path.pop(0)\n"
+                   "from tessera import catalog\n"
+                   "print('ROWS', catalog.queries()['blockify_roundtrip'](s, '/root/testdata/sf0.001').count())\n" % ROOT)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(job)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
