@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     gone = durable(covered(repeated(docs, sentences, words)), "gone")
     rows = docs.withColumn("text", F.col("text").cast("string")).select("*", *_named(docs))
     how = "inner" if only_changed else "left"
-    rows = rows.join(gone, (rows["_doc"] == gone["doc"]) & (rows["_key"] == gone["key"]), how).select(
+    rows = rows.join(gone.hint("merge"), (rows["_doc"] == gone["doc"]) & (rows["_key"] == gone["key"]), how).select(
         *(rows[c] for c in docs.columns), gone["gone"].alias("_gone"), gone["gone"].alias("_ranges"))
     out = _cut_out(rows).withColumnsRenamed({"_removed": "removed", "_ranges": "ranges"})
     if "n_chars" in docs.columns:
