@@ -1,0 +1,5 @@
+"""Fixtures of the operators' tests; the session is the library's own."""
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))

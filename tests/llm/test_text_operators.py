@@ -1,0 +1,341 @@
+"""Toxicity, decontamination, packing, substring dedup, near duplicates and
+quality on small fixtures: hand-made cases and brute-force versions."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tessera.llm import decontam, neardup, packing, quality, spans, toxicity
+from tessera.llm.queries import tokenizer
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ner", "tus", "vo", "zer") for b in ("ba", "den", "fi", "go", "hul", "ra")]
+
+
+def prose(rng, n, mark=0.12):
+    out = []
+    for k in range(n):
+        w = rng.choice(WORDS) + rng.choice(["", "", "n", "lich", "tion"])
+        out.append(w + (rng.choice([".", ",", ".\n"]) if rng.random() < mark else ""))
+    return " ".join(out)
+
+
+def docs_df(spark, rows, extra=False):
+    schema = "doc_id long, text string" + (", n_chars long, score string, component_id string, `key` int" if extra else "")
+    return spark.createDataFrame([(*r, 0, "x", "y", 1) if extra else r for r in rows], schema)
+
+
+# ---- near duplicates ------------------------------------------------------
+def brute_components(rows, words, percent):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        k = min(words, len(w))
+        sets.append({tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if w else set())
+    n = len(rows)
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a in range(n):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and rows[a][0] is not None and rows[b][0] is not None and \
+                    100 * len(x & y) >= percent * len(x | y):
+                up[root(a)] = root(b)
+    least = {}
+    for a in range(n):
+        if rows[a][0] is not None:
+            r = root(a)
+            least[r] = min(least.get(r, rows[a][0]), rows[a][0])
+    return sorted(((rows[a][0], len(sets[a]), least[root(a)] if rows[a][0] is not None else None)
+                   for a in range(n)), key=str)
+
+
+def near_rows(seed=1):
+    rng = random.Random(seed)
+    rows, i = [], 0
+    for _ in range(12):
+        base = prose(rng, rng.choice([8, 30, 120, 400])).split(" ")
+        for c in range(rng.choice([1, 2, 9])):
+            t = list(base)
+            for _ in range(int(len(t) * rng.choice([0, 0.01, 0.03, 0.08]))):
+                t[rng.randrange(len(t))] = rng.choice(WORDS)
+            rows.append((i, " ".join(t)))
+            i += 1
+    # One family that shares buckets but mostly misses the similarity.
+    base = prose(rng, 150).split(" ")
+    for c in range(40):
+        t = list(base)
+        for _ in range(rng.choice([1, 4, 6, 9, 14])):
+            t[rng.randrange(len(t))] = rng.choice(WORDS) + str(c)
+        rows.append((i, " ".join(t)))
+        i += 1
+    rows += [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "A"), (905, "a b"), (906, "b a"),
+             (907, rows[0][1]), (907, rows[0][1]), (908, rows[0][1].upper()), (None, rows[0][1]), (-3, rows[1][1]),
+             (909, "é x y"), (910, "É x y")]
+    return rows
+
+
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, words, percent):
+    rows = near_rows()
+    got = neardup.near_duplicates(docs_df(spark, rows, extra=True), words, percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, words, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_late_cells_find_links_that_pivots_miss(spark, monkeypatch):
+    """Groups cut into many small cells give the same components."""
+    monkeypatch.setattr(neardup, "CELL", 3)
+    rows = near_rows(5)
+    got = neardup.near_duplicates(docs_df(spark, rows), 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85)
+
+
+def test_near_duplicates_of_nothing(spark):
+    got = neardup.near_duplicates(docs_df(spark, []))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == 0
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.RandomState(3)
+    pool = rng.randint(0, 2 ** 63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    orders = neardup._orders()
+    errors = []
+    for k in range(60):
+        share = rng.choice([0.5, 0.8, 0.95])
+        n = 1200
+        common = int(2 * n * share / (1 + share))
+        p = rng.permutation(pool)
+        a, b = np.sort(p[:n]), np.sort(np.concatenate([p[:common], p[n:2 * n - common]]))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        est = neardup.estimate(neardup.registers(a, orders)[None], neardup.registers(b, orders)[None],
+                               np.array([n]), np.array([n]))[0]
+        errors.append(est - true)
+    assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.2
+
+
+# ---- substring dedup ------------------------------------------------------
+def test_passages_are_cut_from_all_but_their_first_document(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 70)
+    rows = []
+    for i in range(30):
+        a, b = prose(rng, 40), prose(rng, 40)
+        rows.append((i, f"{a} {passage} {b}" if i % 3 == 1 else f"{a} {b}"))
+    rows += [(100, None), (101, ""), (102, passage), (102, passage), (None, prose(rng, 30)), (103, "x. x. x.")]
+    got = spans.remove_repeats(docs_df(spark, rows, extra=True)).collect()
+    assert len(got) == len(rows)
+    core = " ".join(passage.split()[12:-12])
+    for r in got:
+        original = next(t for i, t in rows if i == r.doc_id)
+        if r.doc_id is not None and r.doc_id % 3 == 1 and r.doc_id < 30 and r.doc_id != 1:
+            assert r.removed > 0 and core not in r.text and r.n_chars == len(r.text)
+            left, right = original.split(passage)
+            assert r.text.startswith(left[:100]) and r.text.endswith(right[-100:])
+        elif r.doc_id == 102:
+            assert r.text is not None and len(r.text) < len(passage) / 3
+        else:
+            assert r.text == original and r.removed == 0
+    only = spans.remove_repeats(docs_df(spark, rows), only_changed=True).select("doc_id").collect()
+    assert {r.doc_id for r in only} == {r.doc_id for r in got if r.removed}
+
+
+def brute_repeats(rows):
+    """Runs of every document, the first by (doc_id, place) kept."""
+    power, known, seen, found = spans.Powers(), spans.Words(), {}, {}
+    for i, t in sorted(rows):
+        ends = spans.cut(t)
+        words = [[w for w in (x.strip(spans.MARKS) for x in t.lower()[a:b].split()) if w]
+                 for a, b in zip([0, *ends], ends)]
+        for a in range(len(words)):
+            b = a + spans.SENTENCES
+            while b <= len(words) and sum(map(len, words[a:b])) < spans.WORDS:
+                b += 1
+            if b <= len(words):
+                run = tuple(w for x in words[a:b] for w in x)
+                if run in seen:
+                    found.setdefault(i, set()).update(range(a, b))
+                else:
+                    seen[run] = (i, a)
+    del power, known
+    return found
+
+
+def test_removed_ranges_equal_a_dictionary_of_runs(spark):
+    rng = random.Random(8)
+    parts = [prose(rng, n) for n in (20, 25, 40, 60)]
+    rows = [(i, " ".join(rng.choice(parts) if rng.random() < 0.4 else prose(rng, 25) for _ in range(5))) for i in range(40)]
+    rows.append((50, "Be be. " * 60))
+    found = brute_repeats(rows)
+    for r in spans.remove_repeats(docs_df(spark, rows)).collect():
+        assert {k for s in r.ranges or () for k in range(s.start, s.stop)} == found.get(r.doc_id, set())
+
+
+def test_substring_dedup_of_nothing(spark):
+    assert spans.remove_repeats(docs_df(spark, [])).count() == 0
+
+
+# ---- decontamination ------------------------------------------------------
+def test_leaks_with_replaced_tokens_are_found_and_clean_documents_left(spark):
+    rng = random.Random(6)
+    items = [(k, prose(rng, n)) for k, n in enumerate((15, 30, 60))] + [(7, "kaba loden mifi zerra vogo"), (8, None), (9, "a b")]
+    rows, leaks = [], set()
+    for i in range(40):
+        t = prose(rng, 100)
+        if i % 4 == 0:
+            k = (i // 4) % 3
+            w = items[k][1].split(" ")
+            for at in range(7, len(w), 9):
+                w[at] = "replaced"
+            t = t[:200].rsplit(" ", 1)[0] + " " + " ".join(w).upper() + " " + t[200:]
+            leaks.add((i, k))
+        rows.append((i, t))
+    rows += [(90, None), (91, ""), (92, "!!"), (93, items[2][1]), (93, items[2][1]), (94, "x " + items[3][1] + " y"), (95, "a b")]
+    bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
+    for block in (decontam.BLOCK, 8):
+        got = decontam.contamination(docs_df(spark, rows, extra=True), bench, block).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == leaks | {(93, 2), (94, 7)}
+        assert sum(r.doc_id == 93 for r in got) == 2
+        assert all(r.matched <= r.length <= r.item_tokens for r in got)
+    assert decontam.contamination(docs_df(spark, rows), bench.limit(0)).count() == 0
+    assert decontam.contamination(docs_df(spark, []), bench).count() == 0
+
+
+def test_masked_windows_ignore_their_holes():
+    rng = np.random.RandomState(0)
+    a = rng.randint(0, 2 ** 62, 10).astype(np.uint64)
+    for salt, mask in enumerate(decontam.MASKS):
+        for at in range(10):
+            b = a.copy()
+            b[at] += np.uint64(1)
+            same = decontam.windows(a, mask, salt)[0] == decontam.windows(b, mask, salt)[0]
+            assert same == (at not in mask)
+
+
+# ---- packing --------------------------------------------------------------
+def test_pieces_are_the_token_stream(spark):
+    from tokenizers import Tokenizer
+    rng = random.Random(2)
+    odd = ["", None, "don't STOP!! 12345 ab cd\tef\n\n gh i <|endoftext|> x<|startoftext|>y", "étude  É", "日本語 テスト",
+           "\x1c a\x0bb\x0cc \x85 d"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(50 + i, prose(rng, rng.choice([3, 200, 3000]))) for i in range(25)]
+    rows += [(3, odd[3]), (None, "null id")]
+    df = docs_df(spark, rows, extra=True).repartition(5)
+    tok = Tokenizer.from_file(tokenizer())
+    for by_word in (True, False):
+        got = packing.pack(df, tokenizer(), by_word=by_word).cache()
+        pieces = sorted(got.collect(), key=lambda r: (r.sequence_id, r.offset))
+        place = 0
+        for r in pieces:
+            assert (r.sequence_id, r.offset) == divmod(place, 2048)
+            assert r.length == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) and r.length > 0
+            assert r.boundary == (r.length < r.doc_tokens)
+            place += r.length
+        expect = sorted([*tok.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows)
+        whole, texts = [], []
+        for r in pieces:
+            if r.start == 0:
+                whole.append([])
+            whole[-1] += np.frombuffer(r.ids, "<u4").tolist()
+        texts = sorted(whole)
+        assert texts == expect
+        seq = packing.sequences(got).collect()
+        assert sum(s.padding for s in seq) == -place % 2048
+        assert all(len(s.ids) // 4 + s.padding == 2048 for s in seq)
+    assert packing.pack(docs_df(spark, []), tokenizer()).count() == 0
+
+
+# ---- learned scores -------------------------------------------------------
+def labelled_rows(seed=9):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(400):
+        toxic, bad = i % 5 == 0, i % 7 == 0
+        w = prose(rng, rng.choice([15, 60, 200])).split(" ")
+        if toxic:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["vilezu", "vilemo", "vilera", "scorn", "grud"]))
+        if bad:
+            w = [x + "!!" for x in w] if i % 2 else [y for x in w[:20] for y in [x] * 12]
+        rows.append((i, " ".join(w).upper() if bad and i % 2 else " ".join(w)))
+        labels.append((i, 0 if bad else 1, 1 if toxic else 0))
+    rows += [(900, None), (901, ""), (902, "..."), (903, rows[0][1]), (903, rows[0][1]), (None, rows[0][1])]
+    labels += [(900, None, None), (None, 1, 1), (5000, 1, 1), (3, 1, 0), (3, 1, 0)]
+    return rows, labels
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rows, labels = labelled_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs_df(spark, rows, extra=True), lab).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [(r.predicted, int(r.doc_id % 5 == 0)) for r in got if r.held_out and r.doc_id < 400]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    learnable = {i for i, _, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5}
+    assert all(set(r.evidence) <= learnable for r in got)
+    same = {r.score for r in got if r.doc_id in (900, 901, 902)}
+    assert len(same) == 1 and same.pop() < 0.5
+
+
+def test_toxicity_without_labels(spark):
+    rows, labels = labelled_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").limit(0)
+    assert {r.score for r in toxicity.score_toxicity(docs_df(spark, rows[:5]), lab).collect()} == {0.25}
+    assert toxicity.score_toxicity(docs_df(spark, []), lab).count() == 0
+
+
+def test_block_max_neighbours_are_exact():
+    rng = np.random.RandomState(1)
+    v, n = 50, 700
+    vectors = [(sorted(rng.choice(v, rng.randint(0, 6), replace=False).tolist()), None) for _ in range(n)]
+    vectors = [(t, rng.randint(1, 4, len(t)).tolist()) for t, _ in vectors]
+    idf = rng.rand(v) + 0.5
+    index = toxicity.Examples(range(n), rng.randint(0, 2, n).tolist(), vectors, idf)
+    dense = np.zeros((len(index.ids), v))
+    for k, (t, w) in enumerate(index.units):
+        dense[k, t] = w
+    for _ in range(80):
+        t = sorted(rng.choice(v, rng.randint(1, 8), replace=False).tolist())
+        t, w = toxicity.unit(t, rng.randint(1, 5, len(t)).tolist(), idf)
+        q = np.zeros(v)
+        q[t] = w
+        s = dense @ q
+        order = [k for k in np.lexsort((np.arange(len(s)), -np.round(s, 12))) if s[k] > 0][:toxicity.NEIGHBOURS]
+        at, sim = index.nearest(t, w)
+        assert at.tolist() == order and np.allclose(sim, s[order])
+
+
+def test_quality_learns_and_holds_out(spark):
+    rows, labels = labelled_rows()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.score_quality(docs_df(spark, rows, extra=True), lab).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [(r.predicted, int(r.doc_id % 7 != 0)) for r in got if r.held_out and r.doc_id < 400]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert len({r.score for r in got if r.doc_id in (900, 901)}) == 1
+    none = quality.score_quality(docs_df(spark, rows[:4]), lab.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.score_quality(docs_df(spark, []), lab).count() == 0
+
+
+def test_chunks_cover_every_filter_position():
+    for n in (1, 5, 1024, 1025, 5000, 10 ** 5):
+        seen = np.zeros(n, bool)
+        for s in quality.chunk_starts(n):
+            seen[s:s + quality.CHUNK] = True
+        assert seen.all()
+
+
+def test_word_runs_count_repeated_words():
+    b = np.frombuffer(b"ab cd cd cd  cd x", np.uint8)
+    r = quality.word_runs(b) * quality.RUN
+    assert {m.start(): round(float(r[m.start()])) for m in re.finditer(rb"\S+", b.tobytes())} == {0: 0, 3: 0, 6: 1, 9: 2, 13: 3, 16: 0}
