@@ -17,12 +17,16 @@ table has no piece.
 
 from __future__ import annotations
 
+import array
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,45 +36,90 @@ from tessera.llm.common import durable
 
 LENGTH = 2048
 END = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+LATIN = "\u0250"          # letters below are Latin, each with one lower case
 SPACE = re.compile("[ \n\t\r]+")
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable
+    Latin-1 bytes stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
-    """Token ids of texts.  With a tokenizer that drops white space and joins
-    nothing across it, ids of white-space separated words are kept and used
-    again; ``by_word=False`` encodes whole texts."""
+    """Token ids of texts.
+
+    With ``by_word`` the tokenizer must drop white space and join nothing
+    across it; then the ids of white-space separated words are kept and used
+    again.  A new word of Latin letters goes straight to the vocabulary's
+    merges, after the tokenizer's own steps for such words (lower case, split
+    into letters, digits and marks, bytes as letters); if that gives other ids
+    than the tokenizer on the probe words, or the word has other letters, the
+    tokenizer itself encodes it.  Otherwise whole texts are encoded."""
+
+    # Fixed value: how the vocabulary's tokenizer splits a word.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PROBES = ["Word", "été,", "don't", "a1b22c", "ÀÖ--x", "(Ñandú)!!", "l'ß", "x" * 40, "###", "'re"]
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
+        self.quick = by_word and all(self._merged(w) == self._whole([w])[0] for w in self.PROBES)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, word: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.PIECES.findall(word.lower()):
+            ids += [t.id for t in self.merges.tokenize("".join([self.letters[b] for b in piece.encode()]))]
+        return array.array("I", ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+            return self._whole([t or "" for t in texts])
         words = [SPACE.split(t) if t else [] for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        known, slow = self.known, []
+        for w in {w for ws in words for w in ws if w not in known}:
+            if self.quick and (w.isascii() or (max(w) < LATIN and unicodedata.is_normalized("NFC", w))) and "<|" not in w \
+                    and w.isprintable():
+                known[w] = self._merged(w)
+            else:
+                slow.append(w)
+        for w, ids in zip(slow, self._whole(slow)):
+            known[w] = ids
+        get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, by_word: bool) -> Encoder:
+    """The worker's encoder, kept from task to task with the words it knows."""
+    if (path, by_word) not in _ENCODERS:
+        _ENCODERS[path, by_word] = Encoder(path, by_word)
+    return _ENCODERS[path, by_word]
+
+
 def _tokenized(path: str, by_word: bool, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, at = Encoder(path, by_word), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path, by_word), TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 piece = batch.slice(k, 500)
-                ids = [x + tail for x in encoder(piece.column(1).to_pylist())]
+                ids = [x + tail for x in encode(piece.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 at += int(sizes.sum())
