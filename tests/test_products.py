@@ -1,11 +1,13 @@
 """Products against NumPy on small hand-made matrices, cross-strategy
 equality and plan shapes."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import MEDIUM, coo_df, to_dense
+from conftest import MEDIUM, ROOT, coo_df, to_dense
 from tessera.functions import coo
 from tessera.operators import blocks as bl
 from tessera.operators import multiply as mm
@@ -97,7 +99,7 @@ def test_identity_and_transpose_algebra(spark):
     lhs = coo.transpose(mm.matmul_coo(A, B))
     rhs = mm.matmul_coo(coo.transpose(B), coo.transpose(A))
     np.testing.assert_allclose(to_dense(lhs, (5, 5)), to_dense(rhs, (5, 5)))
-    dist = mm.matmul_coo(A, coo.add(B, C))
+    dist = mm.matmul_coo(A, coo.canonical(B.unionByName(C)))
     np.testing.assert_allclose(to_dense(dist, (5, 5)), a @ (b + c))
     total = mm.sum_of_product(A, B).first().total
     assert total == pytest.approx((a @ b).sum())
