@@ -41,7 +41,7 @@ CHUNK = 1_000_000               # runs a task settles at a time
 CACHED_WORDS = 500_000
 LENGTH_BITS = 24                # a place is a run's start, then its length in these bits
 LAST = 2 ** 63 - 1              # stands for a null doc_id
-END = re.compile(r"[.!?,;:]+\s+|(?<=\w{10})\s+|\s*\n\s*")
+END = re.compile(r"(?<=[.!?,;:])\s+|(?<=\w{10})\s+|\n\s*")      # linear in any text
 MARKS = ".!?,;:\"'()"
 _P = 0x9E3779B97F4A7C15
 _Q = pow(_P, -1, 2 ** 64)

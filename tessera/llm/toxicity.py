@@ -26,7 +26,7 @@ scored each; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,12 +47,12 @@ FIRST = 8            # blocks of the first turn
 CALIBRATED = 1_500   # examples whose leave-one-out votes are taken
 CACHED_WORDS = 500_000
 CACHED_SCORES = 100_000
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = string.punctuation + "«»“”‘’„…–—¡¿"
 
 
 def terms_of(token: str) -> list[str]:
     """A word and its prefixes, marked by a trailing star."""
-    w = EDGE.sub("", token)
+    w = token.strip(MARKS)
     return [w, *(w[:n] + "*" for n in PREFIXES if n < len(w))] if w else []
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ascii_lower, durable
 
 # Absolute and protocol-relative targets of href and src attributes.
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
+LINK = r"""(?i)(?:href|src)\s{0,9}=\s{0,9}["']?\s{0,9}((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
 DAMPING = 0.85
 ROUNDS = 20
 
