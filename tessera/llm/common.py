@@ -13,6 +13,20 @@ from tessera.session import shared_dir
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+# Documents, sets and vectors are long rows: an Arrow batch of so many is a
+# few megabytes, where the default number would be a large part of a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    n = int(conf.get(key, "10000"))
+    if n <= 0 or n > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder below ``spark.checkpoint.dir``
     and read it back: cuts lineage, survives lost executors, and gives later

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, small_batches
 
 # Fixed masks: the token offsets they look at.
 MASKS = ((0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 7, 8, 9), (0, 1, 2, 5, 6, 7, 9), (0, 2, 4, 5, 6, 8, 9))
@@ -39,7 +39,7 @@ SHARE = 0.6              # or this share of a shorter item
 DENSITY = 0.75           # matching share of a stretch, at least
 GAP = 3                  # replaced tokens in a row that a stretch may cross
 BLOCK = 250_000        # benchmark tokens in a broadcast block
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 TOKEN = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
     """One row per document and benchmark item that it repeats: where, how
     long (in tokens), and how many tokens match."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # Blocks by size: a hash deals the items to as many as their bytes call for.
     size = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, durable
+from tessera.llm.common import components, durable, small_batches
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
 REST = 57                      # bits of a hash below its bucket number
 CELL = 512                     # members of a cell in the last round
-CACHED_WORDS = 1_000_000       # word hashes a worker keeps before it starts anew
+CACHED_WORDS = 200_000         # word hashes a worker keeps before it starts anew
 # Fixed value: share of random register collisions for equal, large sets
 # (HyperMinHash paper).
 COLLISION = 0.1699194871
@@ -236,7 +236,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.words, self.percent = words, percent
-        self.docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        self.docs = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
         rows = self.docs.mapInArrow(_sketches(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
                                                       "n long, fp binary, sig binary")
         self.rows = durable(rows.withColumn("id", F.xxhash64("fp")), "sketches")

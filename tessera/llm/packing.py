@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, small_batches
 
 LENGTH = 2048
 END = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 LATIN = "\u0250"          # letters below are Latin, each with one lower case
 SPACE = re.compile("[ \n\t\r]+")
 
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     """The pieces of all documents: doc_id, start and length in the document,
     crc32 of the piece's ids, doc_tokens, sequence_id and offset in it, whether
     a cut bounds the piece, and its ids (unsigned 32-bit, little-endian)."""
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tokens = durable(d.mapInArrow(_tokenized(tokenizer, by_word, end),
                                   "doc_id long, part int, at long, n long, width int, ids binary"), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))

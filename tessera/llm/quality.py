@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of, durable
+from tessera.llm.common import crc_of, durable, small_batches
 from tessera.llm.toxicity import sample_labels
 
 GOOD, BAD = 2_000, 2_000        # bounds of the labelled sample, on average
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int =
     """doc_id, held_out, score and predicted of every row of ``docs``
     (doc_id, text)."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = sample_labels(labels, "quality", mod, held, {0: bad, 1: good})
     taught = durable(d.join(F.broadcast(sample), d.doc_id == sample.id).select("doc_id", "text", "y"), "taught")
     size = taught.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, small_batches
 
 SENTENCES, WORDS = 2, 16        # of a run, at least
 CHUNK = 1_000_000               # runs a task settles at a time
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 LENGTH_BITS = 24                # a place is a run's start, then its length in these bits
 LAST = 2 ** 63 - 1              # stands for a null doc_id
 END = re.compile(r"(?<=[.!?,;:])\s+|(?<=\w{10})\s+|\n\s*")      # linear in any text
@@ -208,6 +208,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     """``docs`` with repeated runs of sentences cut out of ``text``, and
     columns ``removed`` (sentences cut) and ``ranges`` (which).
     ``only_changed`` leaves out documents that keep all."""
+    docs = small_batches(docs)
     gone = durable(covered(repeated(docs, sentences, words)), "gone")
     rows = docs.withColumn("text", F.col("text").cast("string")).select("*", *_named(docs))
     how = "inner" if only_changed else "left"

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, small_batches
 
 BLOCK = 4096          # vectors of a block
 QUERIES = 512         # queries of a block
@@ -163,7 +163,7 @@ def _found(rotation: np.ndarray, k: int):
 def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k greatest integer inner products
     of every row of ``vectors`` (vec_id, embedding) that ``is_query`` marks."""
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    v = small_batches(vectors).select(F.col("vec_id").cast("long"), F.col("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     size = max(1, v.agg(F.max(F.size("embedding"))).first()[0] or 1)
     rows = durable(v.select("vec_id", "embedding").mapInArrow(_integers(scale, size), "id long, v binary, norm double"),
                    "vectors")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of, durable
+from tessera.llm.common import crc_of, durable, small_batches
 
 POSITIVES, OTHERS = 6_000, 24_000   # bounds of the labelled sample, on average
 TERMS = 8_192                       # most terms of the vocabulary
@@ -45,8 +45,8 @@ NEIGHBOURS = 15
 BLOCK = 64           # examples of a block
 FIRST = 8            # blocks of the first turn
 CALIBRATED = 1_500   # examples whose leave-one-out votes are taken
-CACHED_WORDS = 500_000
-CACHED_SCORES = 100_000
+CACHED_WORDS = 300_000
+CACHED_SCORES = 20_000
 MARKS = string.punctuation + "«»“”‘’„…–—¡¿"
 
 
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     """doc_id, held_out, score, evidence (nearest examples) and their
     similarity of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = sample_labels(labels, "toxic", mod, held, {0: others, 1: positives})
     ids = F.broadcast(sample)          # at most about positives + others rows
     texts = d.join(ids, d.doc_id == ids.id).groupBy(F.xxhash64("text").alias("_t"), "y")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, small_batches
 from tessera.session import shared_dir
 
 SEGMENT = 8192           # bytes of a block in one record
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT, ch
                    least: int = 0, records: int = RECORDS) -> None:
     """Writes ``pages`` (page_id, url, html) as compressed archives below
     ``path``.  Payloads of fewer than ``least`` bytes are never revisits."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    p = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     key = F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary")))
     # One row per payload that several pages share.
