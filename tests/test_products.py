@@ -192,7 +192,7 @@ def test_tile_roundtrip_ragged_and_transpose(spark):
 def test_dense_rows_and_maps(spark):
     A = coo_df(spark, [(0, 1, 2.0), (0, 5, 3.0), (1, 0, 1.0)])
     rows = {(r.i, r.seg): list(r.row) for r in rw.dense_rows(A, 6, width=4).collect()}
-    assert rows == {(0, 0): [0.0, 2.0, 0.0, 0.0], (0, 1): [0.0, 3.0], (1, 0): [1.0, 0.0, 0.0, 0.0]}
+    assert rows == {(0, 0): [0.0, 2.0, 0.0, 0.0], (0, 1): [0.0, 3.0], (1, 0): [1.0, 0.0, 0.0, 0.0], (1, 1): [0.0, 0.0]}
     maps = {(r.i, r.seg): dict(r.row) for r in rw.rows_as_maps(A, width=4).collect()}
     assert maps == {(0, 0): {1: 2.0}, (0, 1): {5: 3.0}, (1, 0): {0: 1.0}}
 
@@ -385,7 +385,7 @@ def test_one_result_for_every_strategy(spark, vtype, make):
 
 
 def test_dense_rows_have_all_segments(spark):
-    m = coo_df(spark, [(0, 0, 1), (0, 9, 2), (1, 4, 3)])
+    m = coo_df(spark, [(0, 0, 1.0), (0, 9, 2.0), (1, 4, 3.0)])
     got = {(r.i, r.seg): list(r.row) for r in rw.dense_rows(m, 10, width=3).collect()}
     want = {0: [1, 0, 0, 0, 0, 0, 0, 0, 0, 2], 1: [0, 0, 0, 0, 3, 0, 0, 0, 0, 0]}
     assert got == {(i, s): want[i][3 * s:3 * s + 3] for i in want for s in range(4)}
