@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -38,7 +37,6 @@ LENGTH = 2048
 END = 1
 CACHED_WORDS = 400_000
 LATIN = "\u0250"          # letters below are Latin, each with one lower case
-SPACE = re.compile("[ \n\t\r]+")
 
 
 def byte_letters() -> list[str]:
@@ -69,7 +67,7 @@ class Encoder:
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.merges = self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.word)
         self.quick = by_word and all(self._merged(w) == self._whole([w])[0] for w in self.PROBES)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -81,24 +79,43 @@ class Encoder:
             ids += [t.id for t in self.merges.tokenize("".join([self.letters[b] for b in piece.encode()]))]
         return array.array("I", ids).tobytes()
 
+    def word(self, w: str) -> bytes:
+        """Ids of a word that is not known yet."""
+        if not (self.quick and (w.isascii() or (max(w) < LATIN and unicodedata.is_normalized("NFC", w)))
+                and "<|" not in w and w.isprintable()):
+            return self._whole([w])[0]
+        low = w.lower()
+        if low != w:
+            return self.known[low]
+        if len(w) > 1 and w[-1] in ",.!" and w[-2].isalpha():      # a mark after a letter is a piece of its own
+            return self.known[w[:-1]] + self.known[w[-1]]
+        return self._merged(w)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return self._whole([t or "" for t in texts])
-        words = [SPACE.split(t) if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, slow = self.known, []
-        for w in {w for ws in words for w in ws if w not in known}:
-            if self.quick and (w.isascii() or (max(w) < LATIN and unicodedata.is_normalized("NFC", w))) and "<|" not in w \
-                    and w.isprintable():
-                known[w] = self._merged(w)
-            else:
-                slow.append(w)
-        for w, ids in zip(slow, self._whole(slow)):
-            known[w] = ids
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if t else b""
+                for t in texts]
+
+
+class Known(dict):
+    """Ids of words; the words known longest without being asked for go first."""
+
+    def __init__(self, word):
+        super().__init__()
+        self.word, self.old = word, {}
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            ids = self.word(w)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[w] = ids
+        return ids
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -121,11 +138,14 @@ def _tokenized(path: str, by_word: bool, end: int):
                 piece = batch.slice(k, 500)
                 ids = [x + tail for x in encode(piece.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                at += int(sizes.sum())
-                wide = any(np.frombuffer(x, "<u4").max() > 0xFFFF for x in ids)
+                ends = np.cumsum(sizes)
+                starts = at + ends - sizes
+                at += int(ends[-1])
+                every = np.frombuffer(b"".join(ids), "<u4")
+                wide = every.max() > 0xFFFF
                 if not wide:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                    narrow = every.astype("<u2").tobytes()
+                    ids = [narrow[2 * (e - n):2 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts),
                      pa.array(sizes), pa.array([4 if wide else 2] * len(ids), pa.int32()),
