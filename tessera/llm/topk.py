@@ -128,18 +128,20 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c
 
 
 def _vectors(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(n, -1)
+    return np.frombuffer(data, np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _floors(rotation: np.ndarray, k: int):
-    """Query blocks with the k-th score each query has in the first block."""
+def _floors(rotation: np.ndarray, k: int, longest):
+    """Query blocks with the k-th score each query has in the block ``longest``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c_ids = np.frombuffer(longest.value[0], np.int64)
+        c = _vectors(longest.value[1], len(c_ids))
         for t in batches:
             floors = []
-            for qi, qv, ci, cv in zip(*(c.to_pylist() for c in t.columns)):
-                q_ids, c_ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
+            for qi, qv in zip(*(x.to_pylist() for x in t.columns)):
+                q_ids = np.frombuffer(qi, np.int64)
                 low = np.full(len(q_ids), -np.inf)
-                rows, _, score = search(_vectors(qv, len(q_ids)), q_ids, low, _vectors(cv, len(c_ids)), c_ids, rotation, k)
+                rows, _, score = search(_vectors(qv, len(q_ids)), q_ids, low, c, c_ids, rotation, k)
                 for r, n in zip(*np.unique(rows, return_counts=True)):
                     if n == k:
                         low[r] = score[rows == r].min()
@@ -184,12 +186,11 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     asked = durable(queries.select("id", "m.v", "m.norm"), "queries")
     q_parts = max(1, -(-asked.count() // QUERIES))
     asked = asked.repartitionByRange(q_parts, F.desc("norm"), "id").mapInArrow(_packed(QUERIES), schema)
-    # The block of the longest vectors: one row of bounded size.
-    longest = F.broadcast(blocks.orderBy(F.desc("top")).limit(1).select(F.lit(0).alias("one"), F.col("ids").alias("ci"),
-                                                                         F.col("vs").alias("cv")))
-    asked = asked.select(F.lit(0).alias("one"), F.col("ids").alias("qi"), F.col("vs").alias("qv"))
-    floors = durable(asked.join(longest, "one").select("qi", "qv", "ci", "cv")
-                     .mapInArrow(_floors(rotation, k), "qi binary, qv binary, low binary"), "floors")
+    # The block of the longest vectors, of bounded size, sets the first floors.
+    first = blocks.orderBy(F.desc("top"), "block").first()
+    longest = vectors.sparkSession.sparkContext.broadcast((bytes(first.ids), bytes(first.vs)) if first else (b"", b""))
+    floors = durable(asked.select(F.col("ids").alias("qi"), F.col("vs").alias("qv"))
+                     .mapInArrow(_floors(rotation, k, longest), "qi binary, qv binary, low binary"), "floors")
     # Every query block against every block of vectors, met by block number.
     last = blocks.agg(F.max("block")).first()[0] or 0
     spread = floors.select("qi", "qv", "low", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
