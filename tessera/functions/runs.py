@@ -79,11 +79,11 @@ def pivot_size_density(runs: DataFrame) -> DataFrame:
     form, missing points 0.  The densities are those the runs have."""
     first = (success(runs).groupBy("algorithm", "matrix_size", "density")
              .agg(F.min_by("wall_cs", "run_id").alias("w")))
-    # One entry per grid point of an algorithm; the axis is one short array.
-    axis = first.agg(F.sort_array(F.collect_set("density")).alias("axis")).withColumn("one", F.lit(1))
+    # The axis of a grid is short: one entry per density that was run.
+    axis = sorted(r.density for r in first.select("density").distinct().collect())
     held = (first.groupBy("algorithm", "matrix_size")
-            .agg(F.map_from_entries(F.collect_list(F.struct("density", "w"))).alias("by"), F.lit(1).alias("one")))
-    grid = held.join(axis, "one").select("algorithm", "matrix_size", F.explode("axis").alias("density"), "by")
+            .agg(F.map_from_entries(F.collect_list(F.struct("density", "w"))).alias("by")))
+    grid = held.select("algorithm", "matrix_size", F.explode(F.lit(axis).cast("array<double>")).alias("density"), "by")
     return grid.select("algorithm", "matrix_size", "density",
                        F.coalesce(F.element_at("by", F.col("density")), F.lit(0).cast("bigint")).alias("first_wall_cs"))
 
