@@ -125,14 +125,39 @@ def op7(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-@register("op8_warc")
+@register("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(x, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) // [32768, 1024, 32, 1][k + 1]) % 32 + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""")
 def op8(spark, d):
     """Every page, written to WARC archives and read back."""
     return warc.archived(table(spark, d, "pages"), keep_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register("op9_near_duplicates")
+@register("op9_near_duplicates", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2]) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS r FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.r = e.a),
+c AS (SELECT node, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+""")
 def op9(spark, d):
     """Every document: its set size and near-duplicate component (3-word runs, Jaccard 0.85 or more)."""
     return neardup.near_duplicates(table(spark, d, "documents"), words=3, percent=85)

@@ -61,10 +61,10 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
-@pytest.mark.parametrize("name", ["op1_top_products", "op4_url_filter"])
+@pytest.mark.parametrize("name", ["op1_top_products", "op4_url_filter", "op8_warc", "op9_near_duplicates"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     ok, said = compare(spark, name, SMALL, con)
     assert ok, said
