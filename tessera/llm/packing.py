@@ -35,7 +35,7 @@ from tessera.llm.common import durable, small_batches
 
 LENGTH = 2048
 END = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000        # in each of two generations
 LATIN = "\u0250"          # letters below are Latin, each with one lower case
 
 
