@@ -2,9 +2,9 @@
 
 1. Learn: a bounded, hashed sample of the learnable labelled rows gives, per
    term (a word or a prefix of one), the toxic and other documents it occurs
-   in and the number of different neighbourhoods it has in toxic ones, so that
-   copies of one text do not count again.  Terms that mark toxic documents
-   beyond chance become the vocabulary.
+   in, on either side at most as many as the different neighbourhoods it has
+   there, so that copies of one text do not count again.  Terms that mark
+   toxic documents beyond chance become the vocabulary.
 2. One pass over all whole texts writes each document's vocabulary counts;
    document frequencies over all documents give the weights.
 3. The sampled documents are the examples, in an inverted index whose blocks
@@ -29,6 +29,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from tessera.llm.common import crc_of, durable, small_batches
 POSITIVES, OTHERS = 6_000, 24_000   # bounds of the labelled sample, on average
 TERMS = 8_192                       # most terms of the vocabulary
 PREFIXES = range(3, 9)
+LEAST = 3            # toxic documents of a term
+PLACES = 2_000_000   # neighbourhoods a task gathers before it drops repeated ones
 NEIGHBOURS = 15
 BLOCK = 64           # examples of a block
 FIRST = 8            # blocks of the first turn
@@ -57,35 +60,70 @@ def terms_of(token: str) -> list[str]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: term, toxic documents, other documents, and a 64-bit map
-    of the neighbourhoods (words before and after) in toxic documents."""
+    """Per partition: term, toxic documents and other documents."""
     found: dict[str, list[int]] = {}
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = (text or "").lower().split()
-            where: dict[str, int] = {}
-            if y:
-                for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                    where[w] = where.get(w, 0) | 1 << (xxhash.xxh32_intdigest(a + " " + b) & 63)
-            else:
-                where = dict.fromkeys(words, 0)
-            doc: dict[str, int] = {}
-            for w, m in where.items():
-                for t in terms_of(w):
-                    doc[t] = doc.get(t, 0) | m
-            for t, m in doc.items():
+            for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)}:
                 if (f := found.get(t)) is None:
-                    f = found[t] = [0, 0, 0]
+                    f = found[t] = [0, 0]
                 f[0 if y else 1] += 1
-                f[2] |= m
     rows = list(found.items())
     for k in range(0, len(rows), 50_000):
         part = rows[k:k + 50_000]
         yield pa.RecordBatch.from_arrays(
             [pa.array([t for t, _ in part], pa.string()), pa.array([f[0] for _, f in part], pa.int64()),
-             pa.array([f[1] for _, f in part], pa.int64()),
-             pa.array([f[2] - (f[2] >> 63 << 64) for _, f in part], pa.int64())],
-            ["term", "pos", "neg", "places"])
+             pa.array([f[1] for _, f in part], pa.int64())], ["term", "pos", "neg"])
+
+
+def _places(terms):
+    """Term number, label and 32-bit hash of a neighbourhood (words before and
+    after) in one long, each once per chunk of occurrences."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Lookup(terms.value)
+        ids, spots, held = [], [], 0
+
+        def chunk():
+            pairs = np.unique(np.concatenate(ids).astype(np.int64) << 33 | np.concatenate(spots))
+            return pa.RecordBatch.from_arrays([pa.array(pairs)], ["place"])
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = (text or "").lower().split()
+                found = [look[w] for w in words]
+                n = np.array([len(f) for f in found], np.int64)
+                if not n.any():
+                    continue
+                spot = np.array([xxhash.xxh32_intdigest(a + " " + b) if f else 0 for a, b, f in
+                                 zip(["", *words], [*words[1:], ""], found)], np.int64)
+                ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())))
+                spots.append(np.repeat(spot | (1 << 32 if y else 0), n))
+                held += len(ids[-1])
+                if held >= PLACES:
+                    yield chunk()
+                    ids, spots, held = [], [], 0
+        if held:
+            yield chunk()
+    return run
+
+
+def term_evidence(texts: DataFrame) -> DataFrame:
+    """term, pos, neg: the toxic and other documents of ``texts`` (text, y)
+    with the term, on either side at most as many as the different
+    neighbourhoods it has there.  Terms of fewer than LEAST toxic documents
+    are left out."""
+    spark = texts.sparkSession
+    counts = (texts.select("text", "y").mapInArrow(_term_counts, "term string, pos long, neg long")
+              .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    counts = durable(counts.where(F.col("pos") >= LEAST), "term-counts")
+    rows = counts.orderBy("term").collect()     # at most the words of the sample's toxic texts
+    terms = spark.sparkContext.broadcast([r.term for r in rows])
+    places = texts.select("text", "y").mapInArrow(_places(terms), "place long").distinct()
+    places = places.groupBy(F.shiftright("place", 32).alias("k")).count().collect()     # two rows a term
+    differ = np.zeros(2 * len(rows), np.int64)
+    for r in places:
+        differ[r["k"]] = r["count"]
+    return spark.createDataFrame([(r.term, min(r.pos, int(differ[2 * i + 1])), min(r.neg, int(differ[2 * i])))
+                                  for i, r in enumerate(rows)], "term string, pos long, neg long")
 
 
 def choose_terms(counts: DataFrame, positives: int, others: int, most: int = TERMS) -> list[str]:
@@ -94,10 +132,9 @@ def choose_terms(counts: DataFrame, positives: int, others: int, most: int = TER
     if not positives or not others:
         return []
     p, n = F.lit(float(positives)), F.lit(float(others))
-    a = F.least(F.col("pos"), F.bit_count("places")).cast("double")
-    c = F.col("neg").cast("double")
+    a, c = F.col("pos").cast("double"), F.col("neg").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
-    t = counts.select("term", a.alias("a"), c.alias("c")).where("a >= 3")
+    t = counts.select("term", a.alias("a"), c.alias("c")).where(F.col("a") >= LEAST)
     t = t.select("*", (2 * (part(F.col("a"), (F.col("a") + F.col("c")) * p / (p + n))
                             + part(F.col("c"), (F.col("a") + F.col("c")) * n / (p + n)))).alias("g"))
     t = durable(t.where(F.col("a") * n > F.col("c") * p * 3), "terms")
@@ -290,10 +327,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     # Equal texts teach once.
     texts = durable(texts.agg(F.min("text").alias("text")).select("text", "y"), "taught")
     n = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    counts = (texts.mapInArrow(_term_counts, "term string, pos long, neg long, places long")
-              .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-                                   F.bit_or("places").alias("places")))
-    vocabulary = choose_terms(counts, n.get(1, 0), n.get(0, 0))
+    vocabulary = choose_terms(term_evidence(texts), n.get(1, 0), n.get(0, 0))
     words = spark.sparkContext.broadcast(vocabulary)
     feats = durable(d.mapInArrow(_features(words), "doc_id long, terms array<int>, counts array<int>"), "features")
     total = feats.count()

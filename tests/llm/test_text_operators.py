@@ -292,6 +292,22 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(docs_df(spark, []), lab).count() == 0
 
 
+def test_terms_count_documents_past_64_and_copies_once_on_both_sides(spark):
+    """Texts in one fixed frame are copies to a term, however many there are."""
+    rng = random.Random(12)
+    rows = [(f"x{k} vilezu y{k}", 1) for k in range(300)] + [(f"{prose(rng, 5)} a{k} vilezu b{k}", 0) for k in range(90)]
+    rows += [(f"{prose(rng, 4)} p{k} for copied text", 1) for k in range(200)]
+    rows += [(f"{prose(rng, 4)} q{k} for copied text", 0) for k in range(150)]
+    rows += [(f"{prose(rng, 4)} q{k}", 0) for k in range(1500)]
+    texts = spark.createDataFrame(rows, "text string, y int").repartition(3)
+    got = {r.term: (r.pos, r.neg) for r in toxicity.term_evidence(texts).collect()}
+    assert got["vilezu"] == got["vil*"] == (300, 90)
+    assert got["for"] == (200, 150)
+    assert "copied" not in got or got["copied"] == (1, 1)
+    terms = toxicity.choose_terms(toxicity.term_evidence(texts), 500, 1740)
+    assert "vilezu" in terms and "copied" not in terms
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.RandomState(1)
     v, n = 50, 700
