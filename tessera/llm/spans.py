@@ -6,11 +6,14 @@ sentence covered by a repeated run that is not the run's first occurrence is
 removed.  First is the smallest (doc_id, hash of the text, position).
 
 A sentence ends at ``. ! ? , ; :`` before white space, at a line break, and
-after a word of ten letters or more.  That cuts finer than grammar does: a
-passage copied out of running text begins and ends inside sentences, and has
-to hold whole ones to be found.  Runs are compared by their lower-cased words,
-without marks or white space, so a copy with other marks is still found where
-long words bound its runs.
+after about one word in EVERY, chosen by the word's hash; where GAP words in a
+row have none chosen, the smallest hash of any NEAR of them is.  That cuts
+finer than grammar does: a passage copied out of running text begins and ends
+inside sentences, and has to hold whole ones to be found.  The chosen ends
+depend on the words alone, so every copy has them, whatever stands around it.
+Runs are compared by their lower-cased words, without marks or white space.
+In scripts without spaces, and in tokens of more than LONG characters, words
+are pieces of a few characters, cut by a hash of two neighbours.
 
 A task first settles the repeats among the rows it reads, and shuffles one row
 per hash, so a span that a third of the corpus shares is no hot key.
@@ -41,20 +44,19 @@ CHUNK = 1_000_000               # runs a task settles at a time
 CACHED_WORDS = 200_000
 LENGTH_BITS = 24                # a place is a run's start, then its length in these bits
 LAST = 2 ** 63 - 1              # stands for a null doc_id
-END = re.compile(r"(?<=[.!?,;:])\s+|(?<=\w{10})\s+|\n\s*")      # linear in any text
+EVERY = 5                       # words an end by hash, on average
+GAP, NEAR = 12, 8
+LONG = 40
 MARKS = ".!?,;:\"'()"
+# Thai, Lao, Tibetan, Burmese, Khmer, Chinese and Japanese letters and marks.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff00-\uff9f"
+                      "\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+_STOP = np.array([chr(c) in ".!?,;:" for c in range(128)])
 _P = 0x9E3779B97F4A7C15
 _Q = pow(_P, -1, 2 ** 64)
 
 
-def cut(text: str) -> list[int]:
-    """Ends of the text's sentences; each starts where the last one ended."""
-    ends = [m.end() for m in END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return ends
-
-
 class Powers:
     """Powers of an odd number and of its inverse modulo 2^64, as far as needed."""
 
@@ -80,30 +82,84 @@ class Words(dict):
         return h
 
 
+def pieces(token: str) -> list[str]:
+    """A token without spaces in pieces that depend on its characters alone,
+    about four of an unspaced script and eight of others."""
+    c = np.frombuffer(token.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (c[:-1] * np.uint64(_P) ^ c[1:]) * np.uint64(_Q) >> np.uint64(40)
+    wide = np.array([bool(UNSPACED.match(x)) for x in token[1:]])
+    ends = (np.flatnonzero(h % np.where(wide, np.uint64(4), np.uint64(8)) == 0) + 2).tolist()
+    return [token[a:b] for a, b in zip([0, *ends], [*ends, len(token)]) if a < b]
+
+
+def parted(text: str, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, stop, last) of the text's words: hash, 0 for marks alone; end,
+    with the white space that follows; whether a sentence ends there."""
+    low = text.lower()
+    if len(low) != len(text):          # a few letters change length in lower case
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    tokens = low.split()
+    if not tokens:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    turn = np.concatenate([turn if space[0] else [0, *turn], [] if space[-1] else [len(text)]]).astype(np.int64)
+    start, over = turn[::2], turn[1::2]
+    stop = np.append(start[1:], len(text))
+    lines = np.flatnonzero(codes == 10)
+    last = _STOP[np.minimum(codes[over - 1], 127)] & (over < len(text))
+    last |= np.searchsorted(lines, stop) > np.searchsorted(lines, over)
+    if (over - start).max() > LONG or UNSPACED.search(low):
+        some, ends, flags = [], [], []
+        for t, a, b, e in zip(tokens, start.tolist(), stop.tolist(), last.tolist()):
+            p = pieces(t) if len(t) > LONG or UNSPACED.search(t) else [t]
+            some += p
+            ends += [*(a + np.cumsum([len(x) for x in p[:-1]], dtype=int)).tolist(), b]
+            flags += [True] * (len(p) - 1) + [e]
+        tokens, stop, last = some, np.array(ends), np.array(flags)
+    ids = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    at = np.flatnonzero(ids)
+    real = ids[at]
+    chosen = np.flatnonzero((real >> np.uint64(40)) % np.uint64(EVERY) == 0)
+    last[at[chosen]] = True
+    edges = np.concatenate([[-1], chosen, [len(real)]])
+    for k in np.flatnonzero(np.diff(edges) > GAP).tolist():
+        a = edges[k] + 1
+        views = np.lib.stride_tricks.sliding_window_view(real[a:edges[k + 1]], NEAR)
+        least = NEAR - 1 - views[:, ::-1].argmin(axis=1)         # the last of equal ones
+        last[at[a + np.arange(len(views)) + least]] = True
+    return ids, stop, last
+
+
+def cut(text: str, known: Words | None = None) -> list[int]:
+    """Ends of the text's sentences; each starts where the last one ended."""
+    _, stop, last = parted(text, Words() if known is None else known)
+    ends = stop[last].tolist()
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    return ends
+
+
 def runs(text: str, sentences: int, words: int, powers: Powers, known: Words):
     """(start, end, hash) arrays: for each sentence the shortest run from it
     that has enough sentences and words."""
-    ends = cut(text)
-    n = len(ends)
-    if n < sentences:
-        return None
-    low, at, ids, upto = text.lower(), 0, [], [0]
-    if len(low) != len(text):          # a few letters change length in lower case
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    for e in ends:
-        ids += [h for h in map(known.__getitem__, low[at:e].split()) if h]
-        upto.append(len(ids))
-        at = e
+    ids, _, last = parted(text, known)
     if len(ids) < words:
         return None
-    total = np.array(upto)
+    last[-1] = True
+    total = np.concatenate([[0], np.cumsum(ids != 0)[last]])
+    ids = ids[ids != 0]
+    n = len(total) - 1
+    if n < sentences or len(ids) < words:
+        return None
     stop = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(n) + sentences)
     start = np.flatnonzero(stop <= n)
     if not len(start):
         return None
     stop = stop[start]
     up, down = powers.get(len(ids) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(ids, np.uint64) * up[:-1])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * up[:-1])])
     a, b = total[start], total[stop]
     h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(31)
@@ -111,16 +167,18 @@ def runs(text: str, sentences: int, words: int, powers: Powers, known: Words):
 
 
 def _settled(*parts) -> pa.RecordBatch:
-    """The runs of a chunk; ``later`` marks those with an earlier equal run in it."""
+    """The runs of a chunk, in the order of its documents, which compresses
+    well; ``later`` marks those with an earlier equal run in the chunk."""
     doc, key, start, stop, h = (np.concatenate(x) for x in parts)
     order = np.lexsort((start, key, doc, h))
-    doc, key, start, stop, h = doc[order], key[order], start[order], stop[order], h[order]
-    same = np.concatenate([[False], h[1:] == h[:-1]])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-    later = same & ((doc != doc[head]) | (key != key[head]) | (start != start[head]))
-    place = start << LENGTH_BITS | (stop - start)
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(key), pa.array(place), pa.array(later)],
-                                      ["h", "doc", "key", "place", "later"])
+    d, k, s, x = doc[order], key[order], start[order], h[order]
+    same = np.concatenate([[False], x[1:] == x[:-1]])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+    later = np.zeros(len(x), bool)
+    later[order] = same & ((d != d[head]) | (k != k[head]) | (s != s[head]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)),
+         pa.array((stop - start).astype(np.int32)), pa.array(later)], ["h", "doc", "key", "start", "size", "later"])
 
 
 def _runs(sentences: int, words: int):
@@ -155,10 +213,13 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     """(doc, key, start, stop): every run of sentences that is not the first
     of its kind, named by doc_id (the largest long for null) and text hash."""
     d = docs.select(*_named(docs), F.col("text").cast("string").alias("text"))
-    found = durable(d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, place long, later boolean"), "runs")
+    found = durable(d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, start int, size int, later boolean"),
+                    "runs")
+    place = F.shiftleft(F.col("start").cast("long"), LENGTH_BITS).bitwiseOR(F.col("size").cast("long"))
     first = W.partitionBy("h").orderBy("doc", "key", "place")
-    across = found.where("not later").select("doc", "key", "place", F.rank().over(first).alias("r")).where("r > 1")
-    both = found.where("later").select("doc", "key", "place").unionByName(across.drop("r"))
+    across = found.where("not later").select("h", "doc", "key", place.alias("place"))
+    across = across.select("doc", "key", "place", F.rank().over(first).alias("r")).where("r > 1")
+    both = found.where("later").select("doc", "key", place.alias("place")).unionByName(across.drop("r"))
     start = F.shiftright("place", LENGTH_BITS).cast("int")
     size = F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
     return both.select("doc", "key", start.alias("start"), (start + size).alias("stop"))
@@ -177,12 +238,13 @@ def covered(spans: DataFrame) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Words()
     for batch in batches:
         t, g = batch.schema.get_field_index("text"), batch.schema.get_field_index("_gone")
         texts, counts = [], []
         for text, gone in zip(batch.column(t).to_pylist(), batch.column(g).to_pylist()):
             if text and gone:
-                at = [0, *cut(text)]
+                at = [0, *cut(text, known)]
                 kept, last = [], 0
                 for s in gone:
                     kept.append(text[at[last]:at[s["start"]]])

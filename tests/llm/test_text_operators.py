@@ -177,6 +177,48 @@ def test_removed_ranges_equal_a_dictionary_of_runs(spark):
         assert {k for s in r.ranges or () for k in range(s.start, s.stop)} == found.get(r.doc_id, set())
 
 
+def plain(rng, n):
+    """Words without marks, none of them long, like the middle of running text."""
+    return [rng.choice(WORDS)[:rng.randrange(3, 7)] + rng.choice(["", "s", "e"]) for _ in range(n)]
+
+
+def glyphs(rng, n):
+    return "".join(chr(rng.randrange(0x4e00, 0x5200)) for _ in range(n))
+
+
+def test_passages_cut_at_random_words_go(spark):
+    rng = random.Random(21)
+    rows, most = [], {}
+    for k in range(60):
+        if k % 3 == 0:
+            mid, side = " ".join(plain(rng, 52)), lambda: " ".join(plain(rng, 40)) + " "
+        elif k % 3 == 1:
+            noise = lambda n: " ".join(w + rng.choice(["%%%", "&&&", "###"]) for w in plain(rng, n))
+            mid, side = noise(52), lambda: noise(40) + " "
+        else:
+            mid, side = glyphs(rng, 200), lambda: glyphs(rng, 120)
+        rows += [(2 * k, side() + mid + " " * (k % 3 < 2) + side()), (2 * k + 1, side() + mid + " " * (k % 3 < 2) + side())]
+        most[2 * k + 1] = len(rows[-1][1]) - 0.6 * len(mid)
+    for r in spans.remove_repeats(docs_df(spark, rows)).collect():
+        original = dict(rows)[r.doc_id]
+        if r.doc_id % 2:
+            assert len(r.text) < most[r.doc_id], r.doc_id
+            assert r.text[:20] == original[:20] and r.text[-20:] == original[-20:]
+        else:
+            assert r.text == original
+
+
+def test_any_words_have_ends():
+    """However the hashes fall, no GAP words in a row are without an end; pieces make up the text."""
+    rng = random.Random(22)
+    known = spans.Words()
+    for text in ("be " * 500, " ".join(plain(rng, 3000)), " ".join(rng.choice(plain(rng, 3)) for _ in range(300)),
+                 "\n \n x" + glyphs(rng, 500) + "  y\u3000z. \n", "a" * 41 + " \x1c b", "", "  ", "\u0130stanbul " * 20):
+        ends = spans.cut(text, known)
+        assert ends == sorted(set(ends)) and ends[-1] == len(text)
+        assert all(len(text[a:b].split()) <= spans.GAP + spans.NEAR for a, b in zip([0, *ends], ends))
+
+
 def test_substring_dedup_of_nothing(spark):
     assert spans.remove_repeats(docs_df(spark, [])).count() == 0
 
