@@ -5,7 +5,9 @@ documents names the shards that hold most of it as its homes, as many as its
 size needs at one shard's capacity; members elsewhere ask to move to a home.
 A shard accepts movers up to its quota; then the least attached documents of
 over-full shards fill the others, so sizes are even again.  Rounds go on until
-nobody moves.  Shards end with counts at most one apart.
+nobody asks to move, or PATIENCE of them in a row kept no more pairs of linked
+documents together; the best placement stands.  Shards end with counts at most
+one apart.
 
 Links are given as groups, a document may be in several: two linked documents
 are a group of two, equal texts one group, whatever its size, and no pair
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable, gapless_rank
 
 SHARDS = 24
-ROUNDS = 8
+PATIENCE = 2             # rounds without a better placement that end the search
 SLACK = 0.5              # share of its capacity by which a shard may overfill within a round
 OVERHEAD = 8             # bytes a document takes beside its text
 
@@ -71,6 +73,18 @@ def _asks(placed: DataFrame, links: DataFrame, capacity: int) -> DataFrame:
             .select(F.col("node").alias("_n"), "to", "own"))
 
 
+def _level(own: F.Column) -> F.Column:
+    """Attachment in steps: exact up to 1,000, of about one percent beyond,
+    without an upper end, so few numbers stand for any."""
+    return F.when(own <= 1000, own).otherwise(1001 + F.floor(64 * F.log2(own / 1000))).cast("long")
+
+
+def _kept(placed: DataFrame, links: DataFrame) -> int:
+    """Ordered pairs of linked documents that share a shard."""
+    per = links.join(placed, "node").groupBy("group", "shard").agg(F.count("*").alias("c"))
+    return per.agg(F.sum((F.col("c") * (F.col("c") - 1)).cast("decimal(38,0)"))).first()[0] or 0
+
+
 def _evened(placed: DataFrame, own: DataFrame | None, n: int, shards: int, targets: dict[int, int]) -> DataFrame:
     """Moves the least attached documents of over-full shards into the others,
     until each shard has its target."""
@@ -80,7 +94,7 @@ def _evened(placed: DataFrame, own: DataFrame | None, n: int, shards: int, targe
         return placed
     room = [(s, targets[s] - sizes[s]) for s in sizes if sizes[s] < targets[s]]
     p = placed if own is None else placed.join(own, F.col("node") == F.col("_n"), "left").drop("_n")
-    p = p.select("node", "shard", F.least(F.coalesce("own", F.lit(0)) if own is not None else F.lit(0), F.lit(1000)).alias("own"))
+    p = p.select("node", "shard", (_level(F.coalesce("own", F.lit(0))) if own is not None else F.lit(0)).alias("own"))
     p = durable(p, "attached")
     # How many of each attachment leave: all below a cut, some at the cut.
     counts = {}
@@ -110,10 +124,10 @@ def _evened(placed: DataFrame, own: DataFrame | None, n: int, shards: int, targe
             .select("node", F.coalesce("to", "shard").alias("shard")))
 
 
-def place(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
+def place(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None,
           slack: float = SLACK) -> DataFrame:
     """(node, shard) of every node of ``nodes`` (node), links being (node,
-    group).  ``node`` must be unique."""
+    group).  ``node`` must be unique.  ``rounds`` bounds the search, None does not."""
     n = nodes.count()
     targets = _targets(n, shards)
     capacity = max(1, n // shards)
@@ -122,7 +136,9 @@ def place(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
     sizes = links.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
     sizes = durable(sizes.select(F.col("group").alias("_g")), "groups")
     linked = durable(links.join(sizes, F.col("group") == F.col("_g"), "left_semi"), "links")
-    for _ in range(rounds):
+    best, kept, idle, turn = placed, _kept(placed, linked), 0, 0
+    while idle < PATIENCE and (rounds is None or turn < rounds):
+        turn += 1
         asks = durable(_asks(placed, linked, capacity), "asks")
         moves = (asks.join(placed, F.col("_n") == F.col("node")).where("to <> shard")
                  .select("node", "to"))
@@ -139,7 +155,12 @@ def place(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
         moved = durable(moved, "moved")
         own = _attached(moved, linked)
         placed = durable(_evened(moved, own, n, shards, targets), "placed")
-    return placed
+        now_kept = _kept(placed, linked)
+        if now_kept > kept:
+            best, kept, idle = placed, now_kept, 0
+        else:
+            idle += 1
+    return best
 
 
 def _attached(placed: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,7 +173,7 @@ def _attached(placed: DataFrame, links: DataFrame) -> DataFrame:
                    .select(F.col("node").alias("_n"), "own"), "attached")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row
     of ``docs`` (doc_id, text); equal texts are linked."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")

@@ -127,6 +127,24 @@ def test_url_filter_runs_no_python(spark):
 
 
 # ---- sharding -------------------------------------------------------------
+def test_remnants_leave_before_large_groups(spark):
+    """Thirty documents in a shard for twenty, all with over 1,000 linked neighbours there."""
+    placed = spark.createDataFrame([(k, int(k >= 30)) for k in range(40)], "node long, shard int")
+    own = spark.createDataFrame([(k, 1_500 if k % 3 == 0 else 20_000) for k in range(30)], "_n long, own long")
+    got = sharding._evened(placed, own, 40, 2, {0: 20, 1: 20}).collect()
+    assert {r.node for r in got if r.shard == 1} == {k for k in range(40) if k >= 30 or k % 3 == 0}
+
+
+def test_sharding_goes_on_until_no_better(spark):
+    """Chains of linked pairs: unbounded rounds keep more of them than one round."""
+    nodes = spark.range(600).select(F.col("id").alias("node"))
+    links = spark.createDataFrame([(k + e, k) for k in range(599) for e in (0, 1) if k % 100 != 99], "node long, group long")
+    whole = sharding.place(nodes, links, 3)
+    assert sorted(r["count"] for r in whole.groupBy("shard").count().collect()) == [200] * 3
+    few = sharding.place(nodes, links, 3, rounds=1)
+    assert sharding._kept(whole, links) > sharding._kept(few, links)
+
+
 def test_shards_are_even_and_copies_stay_together(spark):
     rng = random.Random(1)
     texts = [f"text {k}" for k in range(300)] + ["pair"] * 2 + [f"c{k % 20}" for k in range(80)] + ["hot"] * 200
