@@ -115,8 +115,8 @@ def op5(spark, d):
 
 @register("op6_substring_dedup")
 def op6(spark, d):
-    """The documents that lose repeated runs of sentences: the ranges, their number and the text that stays."""
-    return spans.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), only_changed=True)
+    """Every document without its repeated runs of sentences, their ranges and number."""
+    return spans.remove_repeats(table(spark, d, "documents"))
 
 
 @register("op7_sharding")

@@ -70,6 +70,16 @@ def test_queries_equal_their_sql(spark, name):
     assert ok, said
 
 
+def test_substring_dedup_returns_every_document(spark):
+    docs = table(spark, SMALL, "documents")
+    got = entry.queries()["op6_substring_dedup"](spark, SMALL)
+    assert got.columns == [*docs.columns, "removed", "ranges"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert 0 < sum(r.removed == 0 and r.text == texts[r.doc_id] for r in rows) < len(rows)
+
+
 def test_every_operator_has_its_query():
     names = entry.queries()
     for n in range(1, 11):
