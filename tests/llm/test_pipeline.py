@@ -73,7 +73,7 @@ def test_queries_equal_their_sql(spark, name):
 def test_substring_dedup_returns_every_document(spark):
     docs = table(spark, SMALL, "documents")
     got = entry.queries()["op6_substring_dedup"](spark, SMALL)
-    assert got.columns == [*docs.columns, "removed", "ranges"]
+    assert got.columns == [*docs.columns, "ranges", "removed"]
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = got.collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
