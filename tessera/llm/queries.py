@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, neardup, packing, quality, sharding, spans, topk, toxicity, urls, warc
+from tessera.llm import decontam, hardneg, neardup, packing, quality, sharding, spans, topk, toxicity, urls, warc
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -169,6 +169,26 @@ def op10(spark, d):
     return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@register("op11_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.uid AS q, q.vec_id AS anchor_id, c.uid AS c, c.vec_id, q.label = c.label AS same,
+             CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda k: q.e[k] * c.e[k])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.uid <> c.uid WHERE q.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.q, p.c ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.q = p.q AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""")
+def op11(spark, d):
+    """Three hard negatives for each of the five positives of every 50th vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
