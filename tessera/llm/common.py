@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def strings(column: pa.Array) -> list:
+    """The texts of an Arrow column; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        return [None if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()]
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder below ``spark.checkpoint.dir``
     and read it back: cuts lineage, survives lost executors, and gives later

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, hardneg, neardup, packing, quality, sharding, spans, topk, toxicity, urls, warc
+from tessera.llm import decontam, hardneg, neardup, packing, quality, sharding, spans, spelling, topk, toxicity, urls, warc
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -189,6 +189,44 @@ def op11(spark, d):
     return hardneg.hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def _spelling_sql() -> str:
+    """Crc32 from its polynomial; near words by their texts with one letter left out."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    crc = ("xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: ord(ch)), lambda h, b: "
+           "CASE WHEN b < 128 THEN xor(h // 256, tab[(xor(h, b) & 255) + 1]) "
+           "ELSE xor(xor(h // 256, tab[(xor(h, 192 + b // 64) & 255) + 1]) // 256, "
+           "tab[(xor(xor(h // 256, tab[(xor(h, 192 + b // 64) & 255) + 1]), 128 + b % 64) & 255) + 1]) END, 4294967295), 4294967295)")
+    return f"""
+WITH RECURSIVE steps AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, {step}, k + 1 FROM steps WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT d, w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {crc.format("d || ':' || w")} AS h FROM g, t),
+k AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2)
+             ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM
+        (SELECT word, n, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.s
+      UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.s),
+b AS (SELECT word, other, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r,
+             count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * v.n THEN b.other END AS form,
+             CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n FROM v LEFT JOIN b ON b.word = v.word AND b.r = 1),
+u AS (SELECT word, word AS at FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.at WHERE f.form IS NOT NULL),
+e AS (SELECT u.word, u.at AS root FROM u JOIN f ON f.word = u.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON e.word = f.word"""
+
+
+@register("op12_spelling_variants", _spelling_sql())
+def op12(spark, d):
+    """Every word of at least 7 letters and 2 occurrences with its near words, form and root."""
+    words = spelling.word_counts(table(spark, d, "documents"), length=7, times=2, drop=31)
+    return spelling.spelling_variants(words, factor=10)
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
