@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, hardneg, neardup, packing, quality, sharding, spans, spelling, topk, toxicity, urls, warc
+from tessera.llm import bwt, decontam, hardneg, neardup, packing, quality, sharding, spans, spelling, topk, toxicity, urls, warc
 from tessera.llm.common import table
 from tessera.session import apply_library_conf
 
@@ -227,6 +227,14 @@ def op12(spark, d):
     return spelling.spelling_variants(words, factor=10)
 
 
+@register("op13_suffix_dedup")
+def op13(spark, d):
+    """Every document without the bytes whose 50-byte strings start in a document with a smaller id."""
+    out = bwt.remove_repeated(table(spark, d, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
