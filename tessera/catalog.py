@@ -38,6 +38,13 @@ SQL_VIEWS = {
     "uh": "SELECT user_id AS i, CAST(hour(ts) AS BIGINT) AS j, count(*) AS v FROM events GROUP BY 1, 2",
     "pd": ("SELECT l_partkey AS i, CAST(dayofyear(l_shipdate) AS BIGINT) AS j, count(*) AS v FROM lineitem GROUP BY 1, 2"),
     "hd": "SELECT CAST(hour(ts) AS BIGINT) AS i, CAST(day(ts) AS BIGINT) AS j, count(*) AS v FROM events GROUP BY 1, 2",
+    # Whole numbers times powers of two, as 128-bit integers: 2^10 of them are one.
+    "ca": ("SELECT l_suppkey AS i, l_partkey AS j, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END * "
+           "CAST(round(l_extendedprice * 100) AS BIGINT)) AS HUGEINT) * (CAST(1 AS BIGINT) << CAST(12 * (l_partkey % 3) AS INTEGER)) AS v "
+           "FROM lineitem WHERE l_partkey % 11 <> 0 GROUP BY 1, 2"),
+    "cb": ("SELECT l_partkey AS i, CAST(month(l_shipdate) AS BIGINT) AS j, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END * "
+           "CAST(round(l_extendedprice * 100) AS BIGINT)) AS HUGEINT) * (CAST(1 AS BIGINT) << CAST(10 * (1 - l_partkey % 2) AS INTEGER)) AS v "
+           "FROM lineitem GROUP BY 1, 2"),
     "eq": ("SELECT vec_id AS i, CAST(p AS BIGINT) AS j, CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT) AS v "
            "FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p "
            "FROM embeddings)"),
@@ -97,12 +104,19 @@ def _self_sql(view: str) -> str:
 
 @register("matmul_coo", SP_PM)
 def q_matmul_coo(spark, d):
-    return mm.matmul_coo(sp(spark, d), pm(spark, d))
+    return mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"))
+
+
+@register("matmul_rect", with_views(
+    "SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM pm a JOIN pd b ON a.i = b.i GROUP BY 1, 2", "pm", "pd"))
+def q_matmul_rect(spark, d):
+    """Months x parts times parts x days of the year: 12 x 366."""
+    return mm.matmul_coo(coo.transpose(written(pm(spark, d), "pm")), written(tb.part_day_lines(spark, d), "pd"))
 
 
 @register("matmul_coo_merge", SP_PM)
 def q_matmul_coo_merge(spark, d):
-    return mm.matmul_coo(sp(spark, d), pm(spark, d), join="merge")
+    return mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), join="merge")
 
 
 @register("matmul_coo_salted", SP_PM)
@@ -113,18 +127,18 @@ def q_matmul_coo_salted(spark, d):
 
 @register("matmul_naive", SP_PM)
 def q_matmul_naive(spark, d):
-    return mm.matmul_naive(spark, sp(spark, d), pm(spark, d))
+    return mm.matmul_naive(spark, written(sp(spark, d), "sp"), written(pm(spark, d), "pm"))
 
 
 @register("matmul_abt", _self_sql("pm"))
 def q_matmul_abt(spark, d):
-    t = coo.transpose(pm(spark, d))
+    t = coo.transpose(written(pm(spark, d), "pm"))
     return mm.matmul_abt(t, t)
 
 
 @register("matmul_gram", _self_sql("pm"))
 def q_matmul_gram(spark, d):
-    return mm.gram(coo.transpose(pm(spark, d)))
+    return mm.gram(coo.transpose(written(pm(spark, d), "pm")))
 
 
 @register("matmul_coo_broadcast", SP_PM)
@@ -140,7 +154,7 @@ def q_matmul_coo_broadcast_rows(spark, d):
 @register("partial_products", with_views(
     "SELECT a.i AS i, a.j AS k, b.j AS j, a.v * b.v AS v FROM sp a JOIN pm b ON a.j = b.i", "sp", "pm"))
 def q_partial_products(spark, d):
-    return mm.partial_products(sp(spark, d), pm(spark, d))
+    return mm.partial_products(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"))
 
 
 @register("partial_product_count", with_views(
@@ -161,7 +175,7 @@ def q_matmul_sum_rewrite(spark, d):
 @register("result_nnz", with_views(
     "SELECT count(*) AS nnz FROM (SELECT a.i, b.j FROM sp a JOIN pm b ON a.j = b.i GROUP BY 1, 2)", "sp", "pm"))
 def q_result_nnz(spark, d):
-    return coo.nnz(mm.matmul_coo(sp(spark, d), pm(spark, d)))
+    return coo.nnz(mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm")))
 
 
 # ---- single-matrix operators ---------------------------------------------
@@ -198,7 +212,7 @@ def q_matrix_size_mb(spark, d):
 
 @register("prune_small", _self_sql("eq") + " HAVING abs(sum(x.v * y.v)) > 1e-10")
 def q_prune_small(spark, d):
-    t = coo.transpose(eq(spark, d))
+    t = coo.transpose(written(eq(spark, d), "eq"))
     return mm.matmul_abt(t, t, eps=1e-10, join="merge")
 
 
@@ -235,7 +249,8 @@ def q_sparse_dot(spark, d):
 
 @register("gram_coo_dense", _self_sql("eq"))
 def q_gram_coo_dense(spark, d):
-    return mm.gram(coo.transpose(eq(spark, d)))
+    """Pinned to a merge join: an exploded vector is larger than Catalyst's estimate from its file."""
+    return mm.gram(coo.transpose(written(eq(spark, d), "eq")), join="merge")
 
 
 @register("gram_hot_keys", _self_sql("eq"))
@@ -291,6 +306,16 @@ def q_matmul_auto(spark, d):
     return ch.matmul(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"), strategy="auto", canonical=True)
 
 
+@register("matmul_auto_cancelling", with_views(
+    "SELECT a.i AS i, b.j AS j, CAST(sum(a.v * b.v) AS DOUBLE) / 1024 AS v FROM ca a JOIN cb b ON a.j = b.i "
+    "GROUP BY 1, 2 HAVING sum(a.v * b.v) <> 0", "ca", "cb"))
+def q_matmul_auto_cancelling(spark, d):
+    """Signed doubles of very different sizes, some without a value: sums that
+    need more than 53 bits and partly cancel."""
+    return ch.matmul(written(tb.signed_supplier_part(spark, d), "ca"), written(tb.signed_part_month(spark, d), "cb"),
+                     strategy="auto", canonical=True)
+
+
 @register("matmul_auto_dense", _self_sql("eq") + " HAVING sum(x.v * y.v) <> 0")
 def q_matmul_auto_dense(spark, d):
     """Dense and signed: the chooser takes tiles, from fewer pairs on than by default."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import exact
 from tessera.plans import guard, partitions, skew
 
 JOIN_HINTS = ("shuffle_hash", "merge")
@@ -38,6 +39,7 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
             target_pairs: int | None, budget: int, b_bytes_bound: int | None = None,
             rows_checked: bool = False, a_rows: int | None = None) -> DataFrame:
     left, right = _left(a), _right(b)
+    ok = False
     if join == "broadcast_rows":
         right, ok = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
         balanced = True
@@ -51,21 +53,20 @@ def _joined(a: DataFrame, b: DataFrame, join: str | None, salt: bool,
             # in place and never shuffled.
             left = _left(a.repartition(parts, "i"))
     elif join == "broadcast":
-        right, _ = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
-    elif join in JOIN_HINTS:
-        right = right.hint(join)
-    elif join not in (None, "auto"):
+        right, ok = guard.checked_broadcast(right, budget, upper_bound=b_bytes_bound)
+    elif join not in (None, "auto", *JOIN_HINTS):
         raise ValueError(f"unknown join kind {join!r}")
-    if salt:
+    keys = ["k"]
+    if salt and not ok:         # a broadcast side meets every slice of the other anyway
         left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
-        return left.join(right, keys)
-    return left.join(right, "k")
+    return left.join(right.hint(join) if join in JOIN_HINTS else right, keys)
 
 
-def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = False,
-               target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS,
+def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool = True,
+               target_pairs: int | None = None,
                budget: int = guard.DEFAULT_BUDGET, b_bytes_bound: int | None = None,
-               rows_checked: bool = False, a_rows: int | None = None) -> DataFrame:
+               rows_checked: bool = False, a_rows: int | None = None,
+               grid: exact.Grid | None = None) -> DataFrame:
     """A·B in coordinate form (M2; M6 with ``join="broadcast"``).
 
     ``join``: None lets Catalyst/AQE choose; ``"shuffle_hash"`` / ``"merge"``
@@ -75,16 +76,18 @@ def matmul_coo(a: DataFrame, b: DataFrame, join: str | None = None, salt: bool =
     after a check (skipped when ``rows_checked``; ``a_rows`` is then A's
     cell count, which sizes the partitioning) that no single row holds a
     dominant share of A; with a hot row it stays a plain broadcast join.  ``salt`` splits hot
-    contraction keys over a grid (see :mod:`tessera.plans.skew`); ``target_pairs=None``
-    derives the per-slice pair target from the total work.
+    contraction keys of a shuffle join over a grid (see :mod:`tessera.plans.skew`);
+    ``target_pairs=None`` derives the per-slice pair target from the total work.
+    ``grid`` sums doubles exactly (see :mod:`tessera.functions.exact`).
     """
     j = _joined(a, b, join, salt, target_pairs, budget, b_bytes_bound, rows_checked, a_rows)
-    return j.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
+    return exact.sum_products(j, ["i", "j"], "av", "bv", grid)
 
 
 def partial_products(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The un-aggregated cell products ``(i, k, j, a_ik * b_kj)`` (P7)."""
-    return (_left(a).join(_right(b), "k")
+    """The un-aggregated cell products ``(i, k, j, a_ik * b_kj)`` (P7), hot
+    keys split as in :func:`matmul_coo`."""
+    return (_joined(a, b, None, True, None, guard.DEFAULT_BUDGET)
               .select("i", "k", "j", (F.col("av") * F.col("bv")).alias("v")))
 
 
@@ -101,19 +104,17 @@ def matmul_naive(spark: SparkSession, a: DataFrame, b: DataFrame) -> DataFrame:
 
     The predicate ``a.j = b.i`` sits in WHERE; Catalyst turns it into the
     equi-join key, so the physical plan is the same keyed join as M2 and no
-    cartesian product is executed.
+    cartesian product is executed.  Hot keys carry a salt that has to agree too.
     """
-    # B in (j, i, v) order, as in _right: for B = Aᵀ both sides are the same
-    # projection of A and share one shuffle.
-    return spark.sql(
-        "SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v "
-        "FROM {a} a, {b} b WHERE a.j = b.i GROUP BY a.i, b.j",
-        a=a.select("i", "j", "v"), b=b.select("j", "i", "v"))
+    left, right, keys = skew.salt_join(_left(a), _right(b), "k", ["i"], ["j"])
+    where = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    return spark.sql("SELECT a.i AS i, b.j AS j, sum(a.av * b.bv) AS v FROM {a} a, {b} b "
+                     f"WHERE {where} GROUP BY a.i, b.j", a=left, b=right)
 
 
 def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
-               join: str | None = None, salt: bool = False,
-               target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS) -> DataFrame:
+               join: str | None = None, salt: bool = True,
+               target_pairs: int | None = None) -> DataFrame:
     """A·Bᵀ: dot products of A's rows with B's rows over shared columns (M7).
 
     ``eps`` drops results with |v| <= eps; ``salt`` splits hot shared columns
@@ -121,31 +122,35 @@ def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
     """
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    ok = False
     if join == "broadcast":
-        right, _ = guard.checked_broadcast(right)
-    elif join in JOIN_HINTS:
-        right = right.hint(join)
+        right, ok = guard.checked_broadcast(right)
     keys = ["k"]
-    if salt:
+    if salt and not ok:
         left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
+    if join in JOIN_HINTS:
+        right = right.hint(join)
     out = left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
     if eps is not None:
         out = out.where(F.abs("v") > F.lit(eps))
     return out
 
 
-def gram(a: DataFrame, eps: float | None = None, salt: bool = False,
-         target_pairs: int | None = skew.DEFAULT_TARGET_PAIRS) -> DataFrame:
+def gram(a: DataFrame, eps: float | None = None, salt: bool = True,
+         target_pairs: int | None = None, join: str | None = None) -> DataFrame:
     """A·Aᵀ using symmetry: only pairs with i <= i' are multiplied and summed,
     then each off-diagonal cell is emitted twice.  Halves the aggregation
     input and the shuffle of the product.  ``salt`` splits hot columns; a
     column is hot on both sides of a Gram matrix, so the grid split copies
-    its cells about ``2*sqrt(s)`` times, not ``s`` times."""
+    its cells about ``2*sqrt(s)`` times, not ``s`` times.  ``join`` pins the
+    kind of join, where Catalyst's estimate of a side would be wrong."""
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
     keys = ["k"]
     if salt:
         left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
+    if join in JOIN_HINTS:
+        right = right.hint(join)
     x, y = left.alias("x"), right.alias("y")
     cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [F.col("x.i") <= F.col("y.j")]
     upper = (x.join(y, cond).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j"))

@@ -1,9 +1,12 @@
 """Product strategy chooser (``matmul(..., strategy="auto")``).
 
-One contract holds for every strategy and size: whole numbers give exact
-bigint sums, decimals decimal sums, everything else doubles; a cell whose sum
-is zero is not stored.  Tiles compute in doubles, so whole numbers take them
-only while no sum can pass 2**53, and decimals never do.
+One contract holds for every strategy and size.  Cells without a value are not
+stored.  Whole numbers give exact bigint sums, decimals decimal sums; doubles
+give the exact sum of the exact products, rounded once (see
+:mod:`tessera.functions.exact`), NaN and infinities as double arithmetic has
+them.  A cell whose sum is zero is not stored.  Tiles compute in doubles, so
+they are taken only while no sum can need more than 53 bits and all values are
+finite, and by decimals never.
 
 Decides at plan-build time from cheap statistics, each one small Spark
 aggregation: per-side nnz and shape, and the exact partial-product count
@@ -32,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import coo
+from tessera.functions import coo, exact
 from tessera.operators import blocks
 from tessera.operators import multiply as mm
 from tessera.plans import guard, skew
@@ -58,13 +61,24 @@ class ProductStats:
     max_abs_a: float = 0
     max_abs_b: float = 0
     kind: str = "double"
+    range_a: exact.Range | None = None
+    range_b: exact.Range | None = None
+
+    @property
+    def grid(self) -> exact.Grid | None:
+        """How doubles are summed; None for other kinds."""
+        if self.kind != "double" or self.range_a is None:
+            return None
+        return exact.grid_of(self.range_a, self.range_b, self.pairs)
 
     @property
     def tiles_exact(self) -> bool:
         """Tiles give the same sums as the coordinate join."""
         if self.kind == "bigint":
             return self.max_abs_a * self.max_abs_b * max(1, self.shape_a[1]) < EXACT
-        return self.kind == "double"
+        if self.kind != "double":
+            return False
+        return self.grid is None or self.grid.plain and self.range_a.finite and self.range_b.finite
 
     @property
     def density(self) -> float:
@@ -86,16 +100,20 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
     outer join of the two (small) per-key tables then gives nnz, shapes,
     P = sum ca*cb and the largest single-key share.  A's largest row comes
     from a per-row count in the same job (a union of two one-row aggregates)."""
+    kind = result_kind(a, b)
+    ranged = kind == "double"
+    a_range, b_range = (exact.range_columns(F.col("v"), t) if ranged else [] for t in ("ra", "rb"))
     ka = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("ca"), F.max("i").alias("mi"),
-                                              F.max(F.abs(F.col("v").cast("double"))).alias("va"))
+                                              F.max(F.abs(F.col("v").cast("double"))).alias("va"), *a_range)
     kb = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("cb"), F.max("j").alias("mj"),
-                                              F.max(F.abs(F.col("v").cast("double"))).alias("vb"))
+                                              F.max(F.abs(F.col("v").cast("double"))).alias("vb"), *b_range)
     pairs = F.coalesce(F.col("ca") * F.col("cb"), F.lit(0))
     keys = (ka.join(kb, "k", "full")
               .agg(F.lit(0).alias("part"),
                    F.coalesce(F.sum("ca"), F.lit(0)).alias("na"), F.coalesce(F.sum("cb"), F.lit(0)).alias("nb"),
                    F.max("mi").alias("mi"), F.max("mj").alias("mj"), F.max("k").alias("mk"),
                    F.max("va").alias("va"), F.max("vb").alias("vb"),
+                   *((exact.merged_columns("ra") + exact.merged_columns("rb")) if ranged else []),
                    F.coalesce(F.sum(pairs), F.lit(0)).alias("p"), F.coalesce(F.max(pairs), F.lit(0)).alias("mp")))
     rows = (a.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
               .agg(F.lit(1).alias("part"), F.max("c").alias("mr")))
@@ -104,7 +122,7 @@ def product_stats(a: DataFrame, b: DataFrame) -> ProductStats:
     k = (r.mk if r.mk is not None else -1) + 1
     return ProductStats(r.na, r.nb, ((r.mi if r.mi is not None else -1) + 1, k),
                         (k, (r.mj if r.mj is not None else -1) + 1), r.p, r.mp, mr or 0,
-                        r.va or 0, r.vb or 0, result_kind(a, b))
+                        r.va or 0, r.vb or 0, kind, *((exact.range_of(r, t) for t in ("ra", "rb")) if ranged else ()))
 
 
 def choose(st: ProductStats, budget: int = guard.DEFAULT_BUDGET,
@@ -137,8 +155,8 @@ def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", bs: int = blocks.
 
     ``canonical``: both inputs hold one row per coordinate (lets the tile
     path skip its per-coordinate pre-aggregation)."""
-    a, b = coo.as_coo(a), coo.as_coo(b)
-    if strategy in ("auto", "block", "block_broadcast"):
+    a, b = (coo.as_coo(x).where(F.col("v").isNotNull()) for x in (a, b))
+    if strategy in ("auto", "block", "block_broadcast") or result_kind(a, b) == "double":
         stats = stats or product_stats(a, b)
     parts = mm.row_partitions(a.sparkSession, stats.nnz_a + stats.nnz_b if stats else None)
     slots = a.sparkSession.sparkContext.defaultParallelism
@@ -156,24 +174,22 @@ def _stored(c: DataFrame) -> DataFrame:
 
 def _product(a: DataFrame, b: DataFrame, strategy: str, bs: int, budget: int, stats: ProductStats | None,
              canonical: bool, slots: int) -> DataFrame:
-    if strategy == "coo":
-        return mm.matmul_coo(a, b)
-    if strategy == "coo_merge":
-        return mm.matmul_coo(a, b, join="merge")
-    if strategy == "coo_shuffle_hash":
-        return mm.matmul_coo(a, b, join="shuffle_hash")
-    if strategy == "coo_salted":
+    grid = stats.grid if stats else None
+    if strategy in ("coo", "coo_merge", "coo_shuffle_hash", "coo_salted"):
         target = skew.fair_target(stats.pairs, slots) if stats else None
-        return mm.matmul_coo(a, b, salt=True, target_pairs=target)
+        # With statistics it is known whether any key is hot.
+        salt = stats is None or strategy == "coo_salted" or stats.max_key_pairs > target
+        join = {"coo_merge": "merge", "coo_shuffle_hash": "shuffle_hash"}.get(strategy)
+        return mm.matmul_coo(a, b, join=join, salt=salt, target_pairs=target, grid=grid)
     if strategy == "coo_broadcast_left":
         bound = stats.nnz_a * COO_ROW_BYTES if stats else None
         return coo.transpose(mm.matmul_coo(coo.transpose(b), coo.transpose(a), join="broadcast", budget=budget,
-                                           b_bytes_bound=bound)).select("i", "j", "v")
+                                           b_bytes_bound=bound, grid=grid)).select("i", "j", "v")
     if strategy in ("coo_broadcast", "coo_broadcast_rows"):
         bound = stats.nnz_b * COO_ROW_BYTES if stats else None
         join = "broadcast" if strategy == "coo_broadcast" else "broadcast_rows"
         return mm.matmul_coo(a, b, join=join, budget=budget, b_bytes_bound=bound,
-                             rows_checked=stats is not None, a_rows=stats.nnz_a if stats else None)
+                             rows_checked=stats is not None, a_rows=stats.nnz_a if stats else None, grid=grid)
     if strategy in ("block", "block_broadcast"):
         (m, k), (_, n) = stats.shape_a, stats.shape_b
         ta, tb_ = blocks.blockify(a, m, k, bs, canonical), blocks.blockify(b, k, n, bs, canonical)

@@ -15,10 +15,12 @@ cells instead of ``s``; a key hot on one side only degenerates to splitting
 that side and copying the small side.  Cold keys get salt 0 and are not
 copied.
 
-A target is raised to ``total_pairs / HOT_FETCH_MAX`` where it is lower, so
-there are at most HOT_FETCH_MAX hot keys and slices, whatever the input.  That
-small table is fetched once and broadcast as literals, so the main job does
-not recompute the key statistics; when no key is hot the join is left unsalted.
+Nothing here grows on the driver: the per-key table is written once, and the
+keys to split stay a DataFrame.  It is broadcast where its size, counted
+first, fits the budget.  Beyond that it is joined in two steps that no key can
+skew: keys with more than 1/HEAVY of a side's cells, of which a side has at
+most HEAVY, are broadcast; all others meet the cells in a shuffle join, where
+none fills a task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans import guard
 from tessera.plans.partitions import COO_ROW_BYTES, pinned_partitions
+from tessera.sources.files import materialize
 
 # Partial products one task should produce for one key slice.
 DEFAULT_TARGET_PAIRS = 20_000_000
@@ -34,8 +38,10 @@ DEFAULT_TARGET_PAIRS = 20_000_000
 MIN_TARGET_PAIRS = 10_000
 # Slices of work per concurrent task slot the adaptive target aims for.
 SLICES_PER_SLOT = 2
-# Hot keys (and slices) at most; a literal broadcast table of ~1.5 MiB.
-HOT_FETCH_MAX = 65_536
+# A key is heavy that holds more than this share of a side's cells.
+HEAVY = 1024
+# Bytes of a row of the table of hot keys.
+HOT_ROW_BYTES = 64
 
 
 def key_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -77,61 +83,69 @@ def hot_keys_of(kp: DataFrame, key: str, target_pairs: int) -> DataFrame:
 
 
 def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str],
-              right_spread: list[str], target_pairs: int | None = DEFAULT_TARGET_PAIRS,
-              hot: DataFrame | None = None,
-              partitions: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+              right_spread: list[str], target_pairs: int | None = None,
+              partitions: int | None = None,
+              budget: int = guard.DEFAULT_BUDGET) -> tuple[DataFrame, DataFrame, list[str]]:
     """Add a ``_salt`` column to both sides; join on ``[key, "_salt"]``.
 
     ``left_spread`` / ``right_spread`` are the columns hashed to pick a
     cell's slice on each side.  ``target_pairs=None`` derives the target
     from the exact pair count (:func:`fair_target`), read from the same
-    per-key table as the hot keys.  With hot keys both sides
-    come back hash-partitioned on ``(key, _salt)`` into ``partitions`` parts.
+    per-key table as the hot keys.  Without a hot key the sides come back as
+    they are, to be joined on ``[key]``; otherwise hash-partitioned on
+    ``(key, _salt)`` into ``partitions`` parts.  ``budget`` bounds the
+    broadcast of the table of hot keys.
     """
     spark = left.sparkSession
-    rows, parts = 0, partitions
-    if hot is None:
-        # Two small actions read the per-key table (totals, then hot keys):
-        # keep it so the inputs are scanned once for both.
-        kp = key_pairs(left, right, key).persist()
-        r = kp.agg(F.sum("pairs").alias("p"), F.sum("ca").alias("a"), F.sum("cb").alias("b")).first()
-        pairs, rows = int(r.p or 0), int(r.a or 0) + int(r.b or 0)
-        if target_pairs is None:
-            target_pairs = fair_target(pairs, spark.sparkContext.defaultParallelism)
-        target_pairs = max(target_pairs, -(-pairs // HOT_FETCH_MAX))
-        hot = hot_keys_of(kp, key, target_pairs)
-        fetched = hot.collect()
-        kp.unpersist()
-    else:
-        fetched = hot.collect()
-    if not fetched:
+    # Written once: read for the totals, for the hot keys and by the joins.
+    kp = materialize(key_pairs(left, right, key), "key-pairs")
+    zero = F.lit(0).cast("bigint")
+    r = kp.agg(*[F.coalesce(x, zero).alias(n) for x, n in (
+        (F.sum("pairs"), "p"), (F.max("pairs"), "top"), (F.sum("ca"), "a"), (F.sum("cb"), "b"))]).first()
+    if target_pairs is None:
+        target_pairs = fair_target(r.p, spark.sparkContext.defaultParallelism)
+    if r.top <= target_pairs:
         return left, right, [key]
-    hot_b = F.broadcast(spark.createDataFrame(fetched, hot.schema))
+    hot = hot_keys_of(kp, key, target_pairs)
     # Extra rows the grid adds: each hot A cell is copied c times, each hot B
     # cell r times.
-    copies = sum((h._c - 1) * h._ca + (h._r - 1) * h._cb for h in fetched)
-    parts = max(parts or 0, pinned_partitions(spark, (rows + copies) * COO_ROW_BYTES))
+    extra = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_c") - 1) * F.col("_ca") + (F.col("_r") - 1) * F.col("_cb")),
+                                                       zero).alias("x")).first()
+    heavy = (F.col("_ca") * HEAVY > F.lit(r.a)) | (F.col("_cb") * HEAVY > F.lit(r.b))
+    parts = max(partitions or 0, pinned_partitions(spark, (r.a + r.b + extra.x) * COO_ROW_BYTES))
 
     def spread(cols: list[str], n):
         return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n.cast("long")).cast("int")
 
-    r, c = F.col("_r"), F.col("_c")
-    x = spread(left_spread, r)
-    left_salts = F.when(r.isNull(), F.array(F.lit(0))).otherwise(F.sequence(x * c, x * c + c - 1))
-    y = spread(right_spread, c)
-    right_salts = F.when(c.isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), r - 1), lambda t: t * c + y))
-
-    def salted(df: DataFrame, salts) -> DataFrame:
-        j = df.join(hot_b, key, "left")
+    def with_grid(df: DataFrame, cols: list[str]) -> DataFrame:
+        """``df`` with _r and _c of its hot keys, null for the others."""
+        grid = hot.select(key, "_r", "_c")
+        if extra.n * HOT_ROW_BYTES <= budget:
+            return df.join(F.broadcast(grid), key, "left")
+        most = hot.where(heavy).select(key, F.col("_r").alias("_hr"), F.col("_c").alias("_hc"))
+        # Cells of heavy keys pass the second join on values that match nothing.
+        d = df.join(F.broadcast(most), key, "left")
+        d = d.withColumn("_t", F.when(F.col("_hr").isNull(), 0).otherwise(1 + spread(cols, F.lit(HEAVY))))
+        rest = hot.where(~heavy).select(key, "_r", "_c", F.lit(0).alias("_t"))
+        d = d.join(rest.hint("merge"), [key, "_t"], "left")
+        return d.withColumns({"_r": F.coalesce("_hr", "_r"), "_c": F.coalesce("_hc", "_c")}).drop("_t", "_hr", "_hc")
+
+    row, col = F.col("_r"), F.col("_c")
+    x = spread(left_spread, row)
+    left_salts = F.when(row.isNull(), F.array(F.lit(0))).otherwise(F.sequence(x * col, x * col + col - 1))
+    y = spread(right_spread, col)
+    right_salts = F.when(col.isNull(), F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), row - 1), lambda t: t * col + y))
+
+    def salted(df: DataFrame, cols: list[str], salts) -> DataFrame:
         # The join inputs are small next to the pairs they produce, so AQE's
         # byte-based coalescing would fold the spread keys back into a few
         # tasks; a repartition with an explicit count is never coalesced, and
         # the join on (key, _salt) reuses it.
-        return (j.withColumn("_salt", F.explode(salts)).drop("_s", "_r", "_c", "_ca", "_cb")
-                 .repartition(parts, key, "_salt"))
+        return (with_grid(df, cols).withColumn("_salt", F.explode(salts)).drop("_r", "_c")
+                .repartition(parts, key, "_salt"))
 
-    return salted(left, left_salts), salted(right, right_salts), [key, "_salt"]
+    return salted(left, left_spread, left_salts), salted(right, right_spread, right_salts), [key, "_salt"]
 
 
 HOT_ROW_FACTOR = 2

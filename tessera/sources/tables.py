@@ -6,7 +6,7 @@ the scan to the columns used and the views grow with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -56,6 +56,30 @@ def part_day_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("v")))
 
 
+def _signed_cents() -> Column:
+    """Cents of the lines with an even number less those with an odd one."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.sum(F.when(F.col("l_linenumber") % 2 == 0, cents).otherwise(-cents)).cast("double")
+
+
+def signed_supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CA: supplier x part, signed cents times 1, 2^12 or 2^24 by part; every
+    eleventh part has no value."""
+    li = table(spark, sf_dir, "lineitem")
+    v = _signed_cents() * F.expr("shiftleft(1, cast(12 * (l_partkey % 3) as int))")
+    return (li.groupBy(F.col("l_suppkey"), F.col("l_partkey")).agg(v.alias("v"))
+              .select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"),
+                      F.when(F.col("l_partkey") % 11 != 0, F.col("v")).alias("v")))
+
+
+def signed_part_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CB: part x ship month, signed cents, those of odd parts divided by 2^10."""
+    li = table(spark, sf_dir, "lineitem")
+    v = _signed_cents() / F.expr("shiftleft(1, cast(10 * (l_partkey % 2) as int))")
+    return (li.groupBy(F.col("l_partkey"), F.month("l_shipdate").cast("bigint").alias("j")).agg(v.alias("v"))
+              .select(F.col("l_partkey").alias("i"), "j", "v"))
+
+
 def hour_day_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HD: hour of day x day of month, number of events."""
     ev = table(spark, sf_dir, "events")

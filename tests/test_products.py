@@ -397,16 +397,47 @@ def test_registered_salted_products_are_salted(spark):
         assert "_salt" in e.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().toString(), name
 
 
-def test_hot_keys_stay_few(spark, monkeypatch):
-    """More keys above the target than the table may have: the target is raised."""
-    from tessera.plans import skew
-    monkeypatch.setattr(skew, "HOT_FETCH_MAX", 5)
-    r = np.random.default_rng(1)
-    a = coo_df(spark, [(i, k, int(r.integers(1, 9))) for i in range(10) for k in range(30)], "long")
+def test_many_even_keys_are_split_in_every_product(spark):
+    """200,000 keys above the target: the table of hot keys is no literal and has no upper end."""
+    n = 200_000
+    a = spark.range(2 * n).select((F.col("id") % 2).alias("i"), F.expr("id div 2").alias("j"), F.lit(1).cast("bigint").alias("v"))
     b = coo.transpose(a)
-    got = mm.matmul_coo(a, b, salt=True, target_pairs=1)
-    plain = mm.matmul_coo(a, b)
+    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
+    right = b.select("j", F.col("i").alias("k"), F.col("v").alias("bv"))
+    for budget in (64 << 20, 1 << 20):       # the table is broadcast, or too large for that
+        l2, r2, keys = skew.salt_join(left, right, "k", ["i"], ["j"], 3, budget=budget)
+        assert keys == ["k", "_salt"] and "_salt" in _plan(l2) and "_salt" in _plan(r2)
+        assert l2.join(r2, keys).count() == 4 * n
+        assert l2.select("_salt").distinct().count() == 2
+    assert "_salt" in _plan(mm.matmul_coo(a, b, target_pairs=3))
+    assert "_salt" in _plan(mm.gram(a, target_pairs=3)) and "_salt" in _plan(mm.matmul_abt(a, a, target_pairs=3))
+    assert [tuple(r) for r in mm.matmul_coo(a, b, target_pairs=3).orderBy("i", "j").collect()] == [
+        (i, j, n) for i in range(2) for j in range(2)]
+
+
+def test_heavy_and_other_hot_keys_meet_their_grid(spark):
+    """A key with a third of the cells next to many hot keys, the table beyond its budget."""
+    cells = [(i, 0, 1 + i % 3) for i in range(400)] + [(i % 9, 1 + i // 9, 2) for i in range(800)]
+    a = coo_df(spark, cells, "long")
+    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
+    right = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    l2, r2, keys = skew.salt_join(left, right, "k", ["i"], ["j"], 20, budget=0)
+    plan = _plan(l2)
+    assert "_hr" in plan and "SortMergeJoin" in plan
+    got = l2.join(r2, keys).groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
+    plain = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    most = l2.join(r2, keys).groupBy(*keys).count().agg(F.max("count")).first()[0]
+    assert most < 400 * 400 / 50
+
+
+def test_products_split_hot_keys_by_default(spark):
+    cells = [(i, 0, 1.0) for i in range(700)] + [(i, 1 + i, 2.0) for i in range(50)]
+    a = coo_df(spark, cells)
+    for out in (mm.matmul_coo(a, coo.transpose(a)), mm.matmul_abt(a, a), mm.gram(a), mm.partial_products(a, coo.transpose(a)),
+                mm.matmul_naive(spark, a, coo.transpose(a)), mm.matmul_coo(a, coo.transpose(a), join="merge")):
+        assert "_salt" in _plan(out)
+    assert mm.partial_products(a, coo.transpose(a)).count() == 700 * 700 + 50
 
 
 def test_two_level_tile_sum(spark):
