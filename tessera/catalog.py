@@ -24,6 +24,7 @@ from tessera.operators import multiply as mm
 from tessera.operators import rows as rw
 from tessera.plans import chooser as ch
 from tessera.sources import tables as tb
+from tessera.sources.store import MatrixStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +108,24 @@ def q_matmul_coo(spark, d):
     return mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm"))
 
 
+@register("matmul_coo_bucketed", SP_PM)
+def q_matmul_coo_bucketed(spark, d):
+    """Both sides written in buckets of the contraction index, which the join then needs no shuffle for."""
+    store = MatrixStore(spark)
+    return mm.matmul_coo(store.put(sp(spark, d), "j", "sp"), store.put(pm(spark, d), "i", "pm"), join="merge")
+
+
+@register("stored_product_total", with_views(
+    "SELECT count(*) AS nnz, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM sp a "
+    "JOIN pm b ON a.j = b.i GROUP BY 1, 2)", "sp", "pm"))
+def q_stored_product_total(spark, d):
+    """Inputs materialised, multiplied, reduced to one row, and released."""
+    with MatrixStore(spark) as store:
+        c = mm.matmul_coo(store.put(sp(spark, d), "j", "sp"), store.put(pm(spark, d), "i", "pm"))
+        row = c.agg(F.count(F.lit(1)).alias("nnz"), F.sum("v").cast("double").alias("total")).first()
+    return spark.createDataFrame([tuple(row)], "nnz long, total double")
+
+
 @register("matmul_rect", with_views(
     "SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM pm a JOIN pd b ON a.i = b.i GROUP BY 1, 2", "pm", "pd"))
 def q_matmul_rect(spark, d):
@@ -282,8 +301,9 @@ def _tiled(spark, a, b, m, k, n, bs, broadcast=False):
     """A·B on tiles, split and partitioned by the shape and the cell counts."""
     bounds = {"a_bytes_bound": bl.tile_bytes_bound(a.count(), m, k, bs),
               "b_bytes_bound": bl.tile_bytes_bound(b.count(), k, n, bs)}
-    split = bl.shape_split(bl.nblocks(m, bs), bl.nblocks(k, bs), bl.nblocks(n, bs),
-                           min_keys=spark.sparkContext.defaultParallelism)
+    grid, slots = (bl.nblocks(m, bs), bl.nblocks(k, bs), bl.nblocks(n, bs)), spark.sparkContext.defaultParallelism
+    split = bl.shape_split(*grid, min_keys=slots)
+    bounds["depth"] = bl.shape_depth(*grid, split, min_keys=slots)
     return bl.matmul_block(bl.blockify(a, m, k, bs, canonical=True), bl.blockify(b, k, n, bs, canonical=True),
                            broadcast=broadcast, split=split, nbk=bl.nblocks(k, bs), **bounds)
 

@@ -194,8 +194,9 @@ def _product(a: DataFrame, b: DataFrame, strategy: str, bs: int, budget: int, st
         (m, k), (_, n) = stats.shape_a, stats.shape_b
         ta, tb_ = blocks.blockify(a, m, k, bs, canonical), blocks.blockify(b, k, n, bs, canonical)
         nbi, nbk, nbj = blocks.nblocks(m, bs), blocks.nblocks(k, bs), blocks.nblocks(n, bs)
-        prod = blocks.matmul_block(ta, tb_, broadcast=strategy == "block_broadcast",
-                                   split=blocks.shape_split(nbi, nbk, nbj, min_keys=slots),
+        split = blocks.shape_split(nbi, nbk, nbj, min_keys=slots)
+        prod = blocks.matmul_block(ta, tb_, broadcast=strategy == "block_broadcast", split=split,
+                                   depth=blocks.shape_depth(nbi, nbk, nbj, split, min_keys=slots),
                                    budget=budget,
                                    b_bytes_bound=blocks.tile_bytes_bound(stats.nnz_b, k, n, bs),
                                    a_bytes_bound=blocks.tile_bytes_bound(stats.nnz_a, m, k, bs),
