@@ -15,8 +15,8 @@ document with a smaller doc_id; strings are judged on the input.
    transform of each bucket, equal strings once.
 4. A bucket merges its shards' transforms without sorting suffixes again: the
    interleave of the rows that begin ``length`` bytes behind a window's start is
-   refined by stable sorts of the preceding symbols, two symbols a round, each
-   round stepping to the suffix that begins with them.  Rows that stay together
+   refined by stable sorts of the preceding symbols, two or four symbols a round,
+   each round stepping to the suffix that begins with them.  Rows that stay together
    over ``length`` symbols are an interval of a common prefix of that length;
    its smallest doc_id decides over all its windows.
 5. Shards get back the smallest doc_ids, mark their bytes and cut them out.
@@ -48,12 +48,14 @@ from tessera.session import shared_dir
 LENGTH = 50
 GRAM = 20
 PARTS = 8                   # shards of an input split
-BUCKET_BYTES = 4 << 20      # of text a bucket stands for
+BUCKET_BYTES = 2 << 20      # of text a bucket stands for
 HOT = 1 << 16               # windows' runs of one name that are still sent as strings
 CHUNK = 1 << 20             # positions worked on at a time
 POSITION = np.uint64((1 << 21) - 1)
 LAST = 2 ** 63 - 1          # stands for a null doc_id
 _M = np.uint64(0x9E3779B97F4A7C15)
+# Masks of the first 0 to 7 of seven bytes.
+_HEADS = np.array([(1 << 56) - (1 << 8 * (7 - k)) for k in range(8)], np.uint64)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642F)
 
 
@@ -271,23 +273,26 @@ def transform(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     the byte before each suffix in suffix order (the end of a string sorts
     first, equal suffixes in the order of the strings), and the rows of whole
     strings, which have none."""
+    # The strings one after the other, each with a place for its end.
     n = size + 1
-    string = np.repeat(np.arange(len(size)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    flat = start[string] + off
-    rest = size[string] - off
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    stop = np.cumsum(n)
+    off = np.arange(stop[-1]) - np.repeat(stop - n, n)
+    rest = np.repeat(size, n) - off
+    text = np.zeros(len(off) + 7, np.uint8)
+    text[:len(off)] = buf[np.minimum(np.repeat(start, n) + off, len(buf) - 1)]
+    # The next seven bytes of each place, then how many of them there are.
+    wide = text.astype(np.uint64)
+    ahead = np.zeros(len(off), np.uint64)
+    for k in range(7):
+        ahead = ahead << np.uint64(8) | wide[k:len(off) + k]
+    left = np.minimum(rest, 7)
+    ahead = (ahead & _HEADS[left]) << np.uint64(8) | left.astype(np.uint64)
 
     def word(rows: np.ndarray, depth: int) -> np.ndarray:
-        """The next seven bytes, then how many of them there are."""
-        left = np.clip(rest[rows] - depth, 0, 7)
-        at = np.minimum(flat[rows] + depth, len(buf))
-        w = np.zeros(len(rows), np.uint64)
-        for k in range(7):
-            w = w << np.uint64(8) | np.where(k < left, padded[at + k], 0).astype(np.uint64)
-        return w << np.uint64(8) | left.astype(np.uint64)
-    key = word(np.arange(len(flat)), 0)
-    order = np.argsort(key, kind="stable")
+        """The word ``depth`` bytes on; past the end, that of the end itself."""
+        return ahead[rows + np.minimum(depth, rest[rows])]
+    order = np.argsort(ahead, kind="stable")
+    key = ahead
     key, depth = key[order], 7
     spots = np.arange(len(order))             # places in the order not settled yet
     group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
@@ -306,7 +311,7 @@ def transform(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
         group = np.cumsum(np.concatenate([[0], ((key[1:] != key[:-1]) | (group[1:] != group[:-1])).astype(np.int64)]))
         depth += 7
     whole = off[order] == 0
-    return np.where(whole, 0, padded[flat[order] - 1]).astype(np.uint8), np.flatnonzero(whole).astype(np.int32)
+    return np.where(whole, 0, text[order - 1]), np.flatnonzero(whole).astype(np.int32)
 
 
 def _transforms(length: int, buckets: int):
@@ -358,19 +363,28 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
         row, string = step[row[more]], string[more]
     row, string, back = (np.concatenate(x) for x in zip(*found))
     window = size[string] - length - back
+    # Several symbols a round: (how many, numbers in their order, the step over them).
     two, pair = step[step], symbol[step].astype(np.uint16) << np.uint16(8) | symbol
+    rounds = [(2, pair, two), (1, symbol, step)]
+    there = np.bincount(pair, minlength=1 << 16) > 0
+    kinds, number = int(there.sum()), np.cumsum(there) - 1
+    if kinds <= 4096:
+        both = number[pair[two]] * kinds + number[pair]
+        there = np.zeros(kinds * kinds, bool)
+        there[both] = True
+        if there.sum() <= 1 << 16:       # else their numbers do not fit 16 bits
+            rounds.insert(0, (4, (np.cumsum(there) - 1)[both].astype(np.uint16), two[two]))
     at, group = np.arange(len(row)), np.zeros(len(row), np.int64)
-    depth = 0
+    depth = checked = 0
     while depth < length:
-        if depth + 1 < length:
-            s, forward, depth = pair[row], two, depth + 2
-        else:
-            s, forward, depth = symbol[row], step, depth + 1
+        symbols, s, forward = next(r for r in rounds if depth + r[0] <= length)
+        s, depth = s[row], depth + symbols
         by = np.argsort(s, kind="stable")
         s, group, at, row = s[by], group[by], at[by], forward[row[by]]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (group[1:] != group[:-1])]) if len(s) else np.zeros(0, bool)
         group = np.cumsum(new)
-        if depth % 10 == 0 or depth == length:          # what stands alone stays so
+        if depth >= checked + 10 or depth == length:          # what stands alone stays so
+            checked = depth
             alone = new & np.append(new[1:], True) if len(new) else new
             at, row, group = at[~alone], row[~alone], group[~alone]
     return string[at], window[at], group
