@@ -76,7 +76,7 @@ def test_rules_hosts_and_paths(spark):
     assert urls.filter_urls(df, []).where("verdict = 'block'").count() == 0
 
 
-def brute_spread(seeds, links, rounds=urls.ROUNDS):
+def brute_spread(seeds, links, rounds=200):
     out = Counter()
     for s, _, w in links:
         out[s] += w
@@ -116,10 +116,51 @@ def test_trust_and_distrust_flow_along_links(spark):
     for r in got:
         assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-9
         if r.rule is None:
-            assert r.verdict == ("block" if r.distrust - r.trust > 5e-10 else "allow")
+            assert r.verdict == ("block" if r.distrust > r.trust * (1 + urls.MARGIN) else "allow")
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
+def chain_pages(n=40):
+    """Hosts that link one to the next, the last of them to a blocked one, and
+    links with blanks around the equals sign and the quote."""
+    rows = [(k, f"http://c{k}.net/", f"<a href='http://c{k + 1}.net/'>") for k in range(n - 1)]
+    rows += [(n - 1, f"http://c{n - 1}.net/", "<a href='http://evil.com/'>"), (n, "http://evil.com/", None)]
+    rows += [(100, "http://blanks.net/", "<a href" + " " * 10 + "=" + "\n" * 30 + "'   http://evil.com/'>"),
+             (101, "http://good.org/", "<a href='http://friend.net/'>"), (102, "http://friend.net/x", ""),
+             (103, "http://alone.net/", "href" * 1000 + " " * 1000 + "x='//evil.com'"), (104, None, "<a href=//evil.com>")]
+    return rows
+
+
+def test_chains_of_hosts_and_blanks_in_links(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+    df = spark.createDataFrame(chain_pages(), "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, RULES).collect()}
+    assert [got[k] for k in range(41)] == ["block"] * 41 and got[100] == "block"
+    assert got[101] == got[102] == got[103] == got[104] == "allow"
+    # The query's SQL, whose rules block example.org/es/, on the same chain.
+    rows = [(i, u and u.replace("evil.com/", "example.org/es/"), h and h.replace("evil.com", "example.org"))
+            for i, u, h in chain_pages()]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.sql(queries.oracle_sql()["op4_url_filter"])
+    want = {r[want.columns.index("page_id")]: r[want.columns.index("verdict")] for r in want.fetchall()}
+    found = {r.page_id: r.verdict for r in queries.queries()["op4_url_filter"](spark, str(tmp_path)).collect()}
+    assert found == want and [found[k] for k in range(40)] == ["block"] * 40 and found[100] == "block"
+
+
+def test_flows_that_do_not_settle_raise(spark):
+    seeds = spark.createDataFrame([("a", 1.0)], "node string, seed double")
+    ring = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    with pytest.raises(RuntimeError):
+        urls.spread(seeds, ring, most=16)
+    got = {r.node: r.score for r in urls.spread(seeds, ring).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85 ** 2)) < 1e-8 and abs(got["b"] - 0.85 * got["a"]) < 1e-8
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.b/", "")], "page_id long, url string, html string")
     plan = urls.filter_urls(df, RULES)._jdf.queryExecution().toString()
