@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import coo
 from tessera.functions import runs as rn
+from tessera.functions import sizes
 from tessera.session import apply_library_conf, shared_dir
 from tessera.sources import files as fl
 from tessera.sources import generate as gen
@@ -197,6 +198,13 @@ def q_result_nnz(spark, d):
     return coo.nnz(mm.matmul_coo(written(sp(spark, d), "sp"), written(pm(spark, d), "pm")))
 
 
+@register("result_nnz_bitmap", with_views(
+    "SELECT count(*) AS nnz FROM (SELECT a.i, b.j FROM sp a JOIN pd b ON a.j = b.i GROUP BY 1, 2)", "sp", "pd"))
+def q_result_nnz_bitmap(spark, d):
+    """The cells of suppliers x days of the year, counted by unions of bitmaps."""
+    return sizes.result_nnz(sp(spark, d), tb.part_day_lines(spark, d))
+
+
 # ---- single-matrix operators ---------------------------------------------
 @register("transpose", with_views("SELECT j AS i, i AS j, v FROM sp", "sp"))
 def q_transpose(spark, d):

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.files import materialize
+
 # Algorithm names, size grid and density grid of the experiments.
 ALGORITHMS = ["coo", "coo_broadcast", "block", "block_broadcast", "rows_broadcast", "auto"]
 SIZES = [1000, 3000, 5000]
@@ -92,14 +94,15 @@ def consecutive_delta(runs: DataFrame, rows_per_task: int = 100_000) -> DataFram
     """E6: change of each run's metrics against the run logged just before it,
     whatever gaps run_id has.
 
-    Runs are dealt into ranges of run_id; a lag inside each range and the
-    ranges' last runs, one row a range, give every run its predecessor, so no
-    task sees more than its range."""
+    Runs are dealt into ranges of run_id between approximate quantiles, which
+    Spark's range partitioning samples, so a lone id far away does not empty
+    them; a lag inside each range and the ranges' last runs, one row a range,
+    give every run its predecessor, so no task sees more than its range.  The
+    ranges are written once, so that both uses see the same ones."""
     cols = ["run_id", "wall_cs", "stage_count"]
     r = runs.select(*cols)
-    lo, hi, n = r.agg(F.min("run_id"), F.max("run_id"), F.count(F.lit(1))).first()
-    step = max(1, ((hi or 0) - (lo or 0) + 1) // max(1, n // rows_per_task))
-    r = r.withColumn("_part", F.expr(f"(run_id - {lo or 0}) div {step}"))
+    parts = max(1, -(-r.count() // rows_per_task))
+    r = materialize(r.repartitionByRange(parts, "run_id").withColumn("_part", F.spark_partition_id()), "run-ranges")
     last = r.groupBy("_part").agg(F.max(F.struct(*cols)).alias("l"))
     before = last.select("_part", F.lag("l").over(Window.orderBy("_part")).alias("_before"))
     w = Window.partitionBy("_part").orderBy("run_id")
