@@ -1,22 +1,26 @@
 """Exact top-k inner products of stated queries over all vectors.
 
 Vectors are turned into integers (floor of ``scale`` times each component) and
-dealt into blocks by falling length.  An orthogonal rotation, from the singular
+packed into blocks by falling length.  An orthogonal rotation, from the singular
 vectors of a bounded sample, moves most of a vector's length into its first
-coordinates.  A block of queries meets a block of vectors in steps: pairs whose
-lengths' product stays below the query's threshold go; then partial sums over
+coordinates.  A group of queries meets the blocks of a range one after the
+other, the longest vectors first, and keeps its k best all along: the k-th of
+them is the query's threshold, which rises from block to block.  A block whose
+longest vector cannot reach any threshold is passed over; in the others, pairs
+whose lengths' product stays below the threshold go; then partial sums over
 the first rotated coordinates plus the Cauchy-Schwarz bound of the rest must
 reach it, with more coordinates each step; what is left gets its exact integer
-product.  The first threshold is the k-th score within the block of the longest
-vectors.  The rotation only decides how much is pruned, never the result.
+product.  Blocks are dealt to ranges in turn, so each range begins with long
+vectors; a range's blocks go once to each group of queries, which bounds a
+task however many vectors there are.  The rotation only decides how much is
+pruned, never the result.
 
 Defined results.  Vectors that are null or hold a null or non-finite component,
 and rows without vec_id, take no part.  Shorter vectors count as padded with
-zeros.  A repeated row is a candidate each time; a query id that occurs with
-several vectors asks with the first in component order; rows with the query's
-own id are never its neighbours.  Ties go to the smaller vec_id.  Scores are
-exact; beyond the range of a long they are cut to it.  Other columns are
-ignored.
+zeros.  Every row is a query or a candidate of its own: a repeated row asks and
+is found each time, and only a query's own row is never its neighbour.  Ties go
+to the smaller vec_id.  Scores are exact; beyond the range of a long they are
+cut to it.  Vectors of any width are held whole.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, small_batches
 
-BLOCK = 4096          # vectors of a block
-QUERIES = 512         # queries of a block
+BLOCK = 256           # vectors of a block
+BLOCKS = 128          # blocks of a range, about
+QUERIES = 512         # queries of a group
 SAMPLE = 4096         # vectors the rotation is fitted on
 EXACT = float(2 ** 53)
 
@@ -41,40 +46,41 @@ EXACT = float(2 ** 53)
 def _integers(scale: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vs, norms = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is None or x is None or any(c is None for c in x):
+            kept, vs, norms = [], [], []
+            for n, x in enumerate(batch.column(2).to_pylist()):
+                if x is None or any(c is None for c in x):
                     continue
                 v = np.zeros(size)
                 v[:len(x)] = np.floor(scale * np.array(x, np.float64))
                 if np.isfinite(v).all():
-                    ids.append(i)
+                    kept.append(n)
                     vs.append(v.tobytes())
                     norms.append(float(np.sqrt(v @ v)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary()),
-                                              pa.array(norms, pa.float64())], ["id", "v", "norm"])
+            b = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vs, pa.binary()),
+                                              pa.array(norms, pa.float64())], ["id", "asks", "v", "norm"])
     return run
 
 
 def _packed(most: int):
-    """Rows of a partition, in order, as blocks of at most ``most`` vectors."""
+    """Rows of a partition, in order, as numbered blocks of at most ``most`` vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, vs, top = TaskContext.get().partitionId(), [], [], []
+        part, held, number = TaskContext.get().partitionId(), [], 0
 
         def block():
+            uids, ids, vs, norms = zip(*held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([max(top)], pa.float64()),
+                [pa.array([part << 32 | number]), pa.array([max(norms)], pa.float64()),
+                 pa.array([np.array(uids, np.int64).tobytes()], pa.binary()),
                  pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary())],
-                ["block", "top", "ids", "vs"])
+                ["block", "top", "uids", "ids", "vs"])
         for batch in batches:
-            for i, v, n in zip(*(c.to_pylist() for c in batch.columns)):
-                ids.append(i)
-                vs.append(v)
-                top.append(n)
-                if len(ids) == most:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                if len(held) == most:
                     yield block()
-                    ids, vs, top = [], [], []
-        if ids:
+                    held, number = [], number + 1
+        if held:
             yield block()
     return run
 
@@ -93,10 +99,9 @@ def exact_products(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndar
     return out
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
-           rotation: np.ndarray, k: int):
-    """(query row, candidate id, score) arrays: per query the k best
-    candidates of a block among those that reach ``floor``."""
+def search(q: np.ndarray, q_uids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_uids: np.ndarray, rotation: np.ndarray):
+    """(query row, candidate row, score) arrays of the pairs of different rows
+    that reach the query's ``floor``."""
     with np.errstate(over="ignore", invalid="ignore"):
         rq, rc = q @ rotation, c @ rotation
         d = q.shape[1]
@@ -105,7 +110,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c
         nq, nc = rest(rq, 0), rest(rc, 0)
         slack = 1e-9 * nq.max(initial=0) * nc.max(initial=0) + 1e-6
         alive = np.outer(nq, nc) >= (floor - slack)[:, None]
-        alive &= q_ids[:, None] != c_ids[None, :]
+        alive &= q_uids[:, None] != c_uids[None, :]
         partial, done = np.zeros(alive.shape), 0
         for h in steps:
             r, s = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
@@ -119,82 +124,101 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c
     rows, cols = np.nonzero(alive)
     score = exact_products(q, c, rows, cols)
     keep = score >= floor[rows]
-    rows, cols, score = rows[keep], cols[keep], score[keep]
-    order = np.lexsort((c_ids[cols], np.invert(score), rows))      # ~x falls as x grows, without overflow
-    rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows)
-    best = np.arange(len(rows)) - first < k
-    return rows[best], c_ids[cols[best]], score[best]
+    return rows[keep], cols[keep], score[keep]
 
 
 def _vectors(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _floors(rotation: np.ndarray, k: int, longest):
-    """Query blocks with the k-th score each query has in the block ``longest``."""
+class Group:
+    """Queries with the k best rows they have met, and the k-th score as floor."""
+
+    def __init__(self, uids: bytes, ids: bytes, vs: bytes, k: int):
+        self.uids, self.ids, self.k = np.frombuffer(uids, np.int64), np.frombuffer(ids, np.int64), k
+        self.vs = _vectors(vs, len(self.uids))
+        self.norm = np.sqrt((self.vs ** 2).sum(1))
+        self.floor = np.full(len(self.uids), -np.inf)
+        self.row, self.found, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.products = 0          # computed exactly
+
+    def meet(self, top: float, uids: np.ndarray, ids: np.ndarray, vs: np.ndarray, rotation: np.ndarray) -> None:
+        """A block of vectors no longer than ``top``."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            open_ = ~(self.norm * top * (1 + 1e-9) + 1e-6 < self.floor)
+        if not open_.any():
+            return
+        at = np.flatnonzero(open_)
+        row, col, score = search(self.vs[at], self.uids[at], self.floor[at], vs, uids, rotation)
+        self.products += len(row)
+        row, found, score = (np.concatenate(x) for x in ((self.row, at[row]), (self.found, ids[col]), (self.score, score)))
+        order = np.lexsort((found, np.invert(score), row))      # ~x falls as x grows, without overflow
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order, full = order[rank < self.k], row[rank == self.k - 1]
+        self.floor[full] = score[order[rank[rank < self.k] == self.k - 1]]
+        self.row, self.found, self.score = row[rank < self.k], found[order], score[order]
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.uids[self.row]), pa.array(self.ids[self.row]), pa.array(self.found),
+                                           pa.array(self.score)], ["uid", "query_id", "vec_id", "score"])
+
+
+def _met(rotation: np.ndarray, k: int):
+    """Rows sorted by (grp, rng, side, falling length): a group of queries, then
+    the blocks of a range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c_ids = np.frombuffer(longest.value[0], np.int64)
-        c = _vectors(longest.value[1], len(c_ids))
-        for t in batches:
-            floors = []
-            for qi, qv in zip(*(x.to_pylist() for x in t.columns)):
-                q_ids = np.frombuffer(qi, np.int64)
-                low = np.full(len(q_ids), -np.inf)
-                rows, _, score = search(_vectors(qv, len(q_ids)), q_ids, low, c, c_ids, rotation, k)
-                for r, n in zip(*np.unique(rows, return_counts=True)):
-                    if n == k:
-                        low[r] = score[rows == r].min()
-                floors.append(low.tobytes())
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(floors, pa.binary())], ["qi", "qv", "low"])
-    return run
-
-
-def _found(rotation: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for qi, qv, low, ci, cv in zip(*(c.to_pylist() for c in t.columns)):
-                q_ids, c_ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                rows, ids, score = search(_vectors(qv, len(q_ids)), q_ids, np.frombuffer(low, np.float64),
-                                          _vectors(cv, len(c_ids)), c_ids, rotation, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids), pa.array(score)],
-                                                 ["query_id", "vec_id", "score"])
+        cell, group = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["grp"], row["rng"]) != cell:
+                    if group is not None:
+                        yield group.result()
+                    cell, group = (row["grp"], row["rng"]), None
+                if row["side"] == 0:
+                    group = Group(row["uids"], row["ids"], row["vs"], k)
+                elif group is not None:
+                    uids = np.frombuffer(row["uids"], np.int64)
+                    group.meet(row["top"], uids, np.frombuffer(row["ids"], np.int64), _vectors(row["vs"], len(uids)), rotation)
+        if group is not None:
+            yield group.result()
     return run
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k greatest integer inner products
     of every row of ``vectors`` (vec_id, embedding) that ``is_query`` marks."""
-    v = small_batches(vectors).select(F.col("vec_id").cast("long"), F.col("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    v = small_batches(vectors).select(F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)).alias("asks"), "embedding")
+    v = v.where("vec_id is not null")
     size = max(1, v.agg(F.max(F.size("embedding"))).first()[0] or 1)
-    rows = durable(v.select("vec_id", "embedding").mapInArrow(_integers(scale, size), "id long, v binary, norm double"),
-                   "vectors")
-    asks = v.where("asks").select("vec_id").distinct()
-    queries = rows.join(asks, rows.id == asks.vec_id, "left_semi").groupBy("id").agg(F.min(F.struct("v", "norm")).alias("m"))
+    rows = v.mapInArrow(_integers(scale, size), "id long, asks boolean, v binary, norm double")
+    # Written once, so that every later use sees the same numbers of rows.
+    rows = durable(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     sample = rows.select("v").orderBy(F.xxhash64("id"), "v").limit(SAMPLE).collect()
-    if sample:
+    rotation = np.eye(size)
+    if len(sample) >= 2:
         m = np.stack([np.frombuffer(r.v, np.float64) for r in sample])
-        scale_down = max(1.0, float(np.abs(m).max()))
-        rotation = np.linalg.svd(m / scale_down, full_matrices=True)[2].T if len(m) >= 2 else np.eye(size)
-    else:
-        rotation = np.eye(size)
-    schema = "block int, top double, ids binary, vs binary"
-    n = rows.count()
-    parts = max(1, -(-n // BLOCK))
-    blocks = durable(rows.select("id", "v", "norm").repartitionByRange(parts, F.desc("norm"), "id")
-                     .sortWithinPartitions(F.desc("norm"), "id").mapInArrow(_packed(BLOCK), schema), "blocks")
-    asked = durable(queries.select("id", "m.v", "m.norm"), "queries")
-    q_parts = max(1, -(-asked.count() // QUERIES))
-    asked = asked.repartitionByRange(q_parts, F.desc("norm"), "id").mapInArrow(_packed(QUERIES), schema)
-    # The block of the longest vectors, of bounded size, sets the first floors.
-    first = blocks.orderBy(F.desc("top"), "block").first()
-    longest = vectors.sparkSession.sparkContext.broadcast((bytes(first.ids), bytes(first.vs)) if first else (b"", b""))
-    floors = durable(asked.select(F.col("ids").alias("qi"), F.col("vs").alias("qv"))
-                     .mapInArrow(_floors(rotation, k, longest), "qi binary, qv binary, low binary"), "floors")
-    # Every query block against every block of vectors, met by block number.
-    last = blocks.agg(F.max("block")).first()[0] or 0
-    spread = floors.select("qi", "qv", "low", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
-    met = spread.join(blocks.select("block", F.col("ids").alias("ci"), F.col("vs").alias("cv")), "block")
-    found = met.select("qi", "qv", "low", "ci", "cv").mapInArrow(_found(rotation, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rotation = np.linalg.svd(m / max(1.0, float(np.abs(m).max())), full_matrices=True)[2].T
+    schema = "block long, top double, uids binary, ids binary, vs binary"
+
+    def packed(df: DataFrame, most: int, name: str) -> DataFrame:
+        parts = max(1, -(-df.count() // (8 * most)))
+        df = df.select("uid", "id", "v", "norm").repartitionByRange(parts, F.desc("norm"), "uid")
+        return durable(df.sortWithinPartitions(F.desc("norm"), "uid").mapInArrow(_packed(most), schema), name)
+
+    blocks, groups = packed(rows, BLOCK, "blocks"), packed(rows.where("asks"), QUERIES, "queries")
+    ranges = max(1, -(-blocks.count() // BLOCKS))
+    # Blocks in the order of length take turns, by their number within and across partitions.
+    turn = F.pmod(F.col("block").bitwiseAND(F.lit(2 ** 32 - 1)) + F.shiftright("block", 32) * 8, F.lit(ranges))
+    cols = ["top", "uids", "ids", "vs"]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))
+    left = groups.select(F.col("block").alias("grp"), every.alias("rng"), F.lit(0).alias("side"), *cols)
+    names = groups.agg(F.sort_array(F.collect_list("block"))).first()[0]      # one number a group of queries
+    right = blocks.select(F.explode(F.lit(names).cast("array<long>")).alias("grp"), turn.cast("long").alias("rng"),
+                          F.lit(1).alias("side"), *cols)
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cells = left.unionByName(right).repartition(max(1, min(16 * width, len(names) * ranges)), "grp", "rng")
+    cells = cells.sortWithinPartitions("grp", "rng", "side", F.desc("top"))
+    found = cells.mapInArrow(_met(rotation, k), "uid long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -30,16 +30,48 @@ def brute_top(rows, k, scale, asks):
             continue
         v.append((i, [int(np.floor(scale * c)) for c in x] + [0] * (12 - len(x))))
     out = []
-    for q in sorted({i for i, _ in v if asks(i)}):
-        w = min(x for i, x in v if i == q)
-        best = sorted((-sum(a * b for a, b in zip(w, x)), i) for i, x in v if i != q)[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return out
-
-
-@pytest.mark.parametrize("scale,block", [(64.0, 4096), (64.0, 37), (3e7, 50)])
+    for n, (q, w) in enumerate(v):
+        if asks(q):
+            best = sorted((-sum(a * b for a, b in zip(w, x)), i) for m, (i, x) in enumerate(v) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_bounds_save_most_products():
+    """Blocks by falling length on the given vectors: under half of all products are computed."""
+    import pyarrow.parquet as pq
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    ids, v = np.array(t["vec_id"]), np.floor(64 * np.array(t["embedding"], np.float64))
+    norm = np.sqrt((v ** 2).sum(1))
+    order = np.argsort(-norm, kind="stable")
+    rotation = np.linalg.svd(v, full_matrices=True)[2].T
+    asks = ids % 20 == 0
+    group = topk.Group(ids[asks].tobytes(), ids[asks].tobytes(), v[asks].tobytes(), 20)
+    for k in range(0, len(order), topk.BLOCK):
+        at = order[k:k + topk.BLOCK]
+        group.meet(float(norm[at].max()), ids[at], ids[at], v[at], rotation)
+    assert group.products < 0.5 * asks.sum() * len(ids)
+    best = (v[asks] @ v.T).astype(int)
+    best[ids[asks][:, None] == ids] = -10 ** 9
+    assert np.array_equal(-np.sort(-best, axis=1)[:, :20].ravel(), group.score)
+
+
+def test_long_vectors_end_the_search_of_short_ones():
+    rng = np.random.default_rng(1)
+    v = np.floor(rng.normal(0, 1, (400, 8)) * np.array([1000] * 20 + [1] * 380)[:, None])
+    ids = np.arange(400)
+    group = topk.Group(ids[:50].tobytes(), ids[:50].tobytes(), v[:50].tobytes(), 3)
+    for k in range(0, 400, 20):
+        before = group.products
+        group.meet(float(np.sqrt((v[k:k + 20] ** 2).sum(1)).max()), ids[k:k + 20], ids[k:k + 20], v[k:k + 20], np.eye(8))
+    assert group.products == before
+
+
+@pytest.mark.parametrize("scale,block", [(64.0, 4096), (64.0, 7), (3e7, 50)])
 def test_top_products_equal_all_products(spark, monkeypatch, scale, block):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCKS", 3)
+    monkeypatch.setattr(topk, "QUERIES", 11)
     rows = vector_rows()
     df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, score int")
     got = topk.top_products(df, F.col("vec_id") % 4 == 0, 20, scale).collect()
