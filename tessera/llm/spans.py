@@ -22,7 +22,9 @@ Defined results.  Null and empty texts stay as they are; a text that only
 repeats others becomes empty.  A document is its doc_id with a hash of its
 text, so a row that occurs twice counts as one document and keeps its text,
 and one doc_id may have several texts.  Rows without doc_id come after all
-others.  Other columns pass through; a column n_chars is set anew.
+others.  Very long texts are cut whole; bytes that are no UTF-8 become U+FFFD.
+Other columns pass through; columns removed and ranges are replaced, a column
+n_chars is set anew.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, small_batches
+from tessera.llm.common import durable, small_batches, strings
 
 SENTENCES, WORDS = 2, 16        # of a run, at least
 CHUNK = 1_000_000               # runs a task settles at a time
@@ -187,7 +189,7 @@ def _runs(sentences: int, words: int):
         parts: tuple[list, ...] = ([], [], [], [], [])
         held = 0
         for batch in batches:
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
                 found = runs(text, sentences, words, powers, known) if text else None
                 if found is None:
                     continue
@@ -213,13 +215,14 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     """(doc, key, start, stop): every run of sentences that is not the first
     of its kind, named by doc_id (the largest long for null) and text hash."""
     d = docs.select(*_named(docs), F.col("text").cast("string").alias("text"))
-    found = durable(d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, start int, size int, later boolean"),
-                    "runs")
+    found = d.mapInArrow(_runs(sentences, words), "h long, doc long, key int, start int, size int, later boolean")
     place = F.shiftleft(F.col("start").cast("long"), LENGTH_BITS).bitwiseOR(F.col("size").cast("long"))
-    first = W.partitionBy("h").orderBy("doc", "key", "place")
-    across = found.where("not later").select("h", "doc", "key", place.alias("place"))
-    across = across.select("doc", "key", "place", F.rank().over(first).alias("r")).where("r > 1")
-    both = found.where("later").select("doc", "key", place.alias("place")).unionByName(across.drop("r"))
+    found = found.select("h", "doc", "key", place.alias("place"), "later")
+    # Runs that their task has settled go along to places of their own, so one
+    # shuffle carries all and a run found everywhere is still one row per task.
+    found = found.withColumn("h", F.when(F.col("later"), F.xxhash64("doc", "key", "place")).otherwise(F.col("h")))
+    first = W.partitionBy("h", "later").orderBy("doc", "key", "place")
+    both = found.select("doc", "key", "place", "later", F.rank().over(first).alias("r")).where("later or r > 1")
     start = F.shiftright("place", LENGTH_BITS).cast("int")
     size = F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
     return both.select("doc", "key", start.alias("start"), (start + size).alias("stop"))
@@ -242,7 +245,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t, g = batch.schema.get_field_index("text"), batch.schema.get_field_index("_gone")
         texts, counts = [], []
-        for text, gone in zip(batch.column(t).to_pylist(), batch.column(g).to_pylist()):
+        for text, gone in zip(strings(batch.column(t)), batch.column(g).to_pylist()):
             if text and gone:
                 at = [0, *cut(text, known)]
                 kept, last = [], 0
@@ -266,17 +269,21 @@ def _cut_out(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS,
-                   only_changed: bool = False) -> DataFrame:
+                   only_changed: bool = False, report: bool = True) -> DataFrame:
     """``docs`` with repeated runs of sentences cut out of ``text``, and
-    columns ``removed`` (sentences cut) and ``ranges`` (which).
+    columns ``removed`` (sentences cut) and ``ranges`` (which), in place of
+    columns of these names; without ``report`` just the columns of ``docs``.
     ``only_changed`` leaves out documents that keep all."""
     docs = small_batches(docs)
+    if report:
+        docs = docs.drop("removed", "ranges")
     gone = durable(covered(repeated(docs, sentences, words)), "gone")
     rows = docs.withColumn("text", F.col("text").cast("string")).select("*", *_named(docs))
     how = "inner" if only_changed else "left"
     rows = rows.join(gone.hint("merge"), (rows["_doc"] == gone["doc"]) & (rows["_key"] == gone["key"]), how).select(
         *(rows[c] for c in docs.columns), gone["gone"].alias("_gone"), gone["gone"].alias("_ranges"))
-    out = _cut_out(rows).withColumnsRenamed({"_removed": "removed", "_ranges": "ranges"})
+    out = _cut_out(rows)
+    out = out.withColumnsRenamed({"_removed": "removed", "_ranges": "ranges"}) if report else out.drop("_removed", "_ranges")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
