@@ -15,8 +15,8 @@ cells instead of ``s``; a key hot on one side only degenerates to splitting
 that side and copying the small side.  Cold keys get salt 0 and are not
 copied.
 
-Nothing here grows on the driver: the per-key table is written once, and the
-keys to split stay a DataFrame.  It is broadcast where its size, counted
+Nothing here grows on the driver: one aggregation tells whether any key is hot,
+and the keys to split are written once and stay a DataFrame.  It is broadcast where its size, counted
 first, fits the budget.  Beyond that it is joined in two steps that no key can
 skew: keys with more than 1/HEAVY of a side's cells, of which a side has at
 most HEAVY, are broadcast; all others meet the cells in a shuffle join, where
@@ -97,8 +97,7 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     broadcast of the table of hot keys.
     """
     spark = left.sparkSession
-    # Written once: read for the totals, for the hot keys and by the joins.
-    kp = materialize(key_pairs(left, right, key), "key-pairs")
+    kp = key_pairs(left, right, key)
     zero = F.lit(0).cast("bigint")
     r = kp.agg(*[F.coalesce(x, zero).alias(n) for x, n in (
         (F.sum("pairs"), "p"), (F.max("pairs"), "top"), (F.sum("ca"), "a"), (F.sum("cb"), "b"))]).first()
@@ -106,7 +105,8 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
         target_pairs = fair_target(r.p, spark.sparkContext.defaultParallelism)
     if r.top <= target_pairs:
         return left, right, [key]
-    hot = hot_keys_of(kp, key, target_pairs)
+    # Written once: read for the copies' number and by the joins of both sides.
+    hot = materialize(hot_keys_of(kp, key, target_pairs), "hot-keys")
     # Extra rows the grid adds: each hot A cell is copied c times, each hot B
     # cell r times.
     extra = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_c") - 1) * F.col("_ca") + (F.col("_r") - 1) * F.col("_cb")),
