@@ -25,7 +25,7 @@ WORDS, PERCENT = 5, 80
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids`` (column id)."""
-    return docs.join(ids, F.col("doc_id") == F.col("id"), "left_anti")
+    return docs.join(ids.withColumnRenamed("id", "_dropped_doc_id"), F.col("doc_id") == F.col("_dropped_doc_id"), "left_anti")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences in any but the first of equal spans are cut out."""
-    return spans.remove_repeats(docs).select(*docs.columns)
+    return spans.remove_repeats(docs, report=False).select(*docs.columns)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
