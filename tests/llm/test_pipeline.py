@@ -61,7 +61,33 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
-@pytest.mark.parametrize("name", ["op1_top_products", "op4_url_filter", "op8_warc", "op9_near_duplicates"])
+CLASHING = "id long, removed string, ranges int, doc long, key int, h string, gone int, y int, terms string, score string, label int"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_stand_odd_rows_and_clashing_columns(spark, name, stage):
+    """Nulls in every column, empty texts, repeated rows, other columns with the names the operators use."""
+    some = table(spark, SMALL, "documents").select("doc_id", "text").limit(12).collect()
+    rows = [(r.doc_id, r.text) for r in some]
+    rows += [rows[0], rows[0], (rows[1][0], "another text of this id"), (None, rows[2][1]), (None, None), (900_001, None),
+             (900_002, ""), (900_003, " \n\t"), (900_004, "word " * 30_000)]
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    df = spark.createDataFrame([(*r, *[None if k % 3 == 0 else str(k) if kind.endswith("string") else k
+                                       for kind in CLASHING.split(", ")]) for k, r in enumerate(rows)],
+                               "doc_id long, text string, " + CLASHING)
+    out = corpus_pipeline.durable(stage(spark, df, SMALL), name)
+    if name == "packing":
+        assert out.where("doc_id is null").count() >= 2 and {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+    else:
+        assert out.dtypes == df.dtypes
+        assert out.where("doc_id is null").count() == 2 and out.where("doc_id = 900002").count() == 1
+        assert out.select(*names).exceptAll(df.select(*names)).count() == 0
+    none = corpus_pipeline.durable(stage(spark, df.limit(0), SMALL), name)
+    assert none.count() == 0 and none.dtypes == out.dtypes
+
+
+@pytest.mark.parametrize("name", ["op1_top_products", "op4_url_filter", "op8_warc", "op9_near_duplicates", "op11_hard_negatives",
+                                  "op12_spelling_variants"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "pages", "documents"):
@@ -82,5 +108,5 @@ def test_substring_dedup_returns_every_document(spark):
 
 def test_every_operator_has_its_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
