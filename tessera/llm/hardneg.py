@@ -279,7 +279,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
     def grouped(df: DataFrame, count: int, per: int, name: str) -> DataFrame:
         """Groups of about ``per`` rows in the order of the labels, as blocks."""
         parts = max(1, -(-count // per))
-        dealt = df.repartitionByRange(parts, "label", "uid").withColumn("grp", F.spark_partition_id().cast("long"))
+        dealt = df.repartitionByRange(parts, "label", "uid")
+        # Never more groups than that, even if the session deals out more partitions.
+        dealt = dealt.withColumn("grp", F.pmod(F.spark_partition_id(), F.lit(parts)).cast("long"))
         return durable(dealt.select("grp", "uid", "vec_id", "label", "v", "norm", "limits")
                        .mapInArrow(_packed(most), BLOCKS), name)
 
