@@ -20,7 +20,9 @@ terms, gets the toxic rate of examples without such terms.  Ties among
 neighbours go to the smaller example id.  Null labels, and labels without a
 document, teach nothing; several labels of a document give their mean rounded
 up from a half.  Without any label the score is 0.25.  Repeated rows are
-scored each; other columns are ignored.
+scored each but teach once: a doc_id is one example, of several texts the one
+whose terms come first.  Very long texts are read whole; bytes that are no
+UTF-8 become U+FFFD.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,19 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of, durable, small_batches
+from tessera.llm.common import crc_of, durable, small_batches, strings
 
 POSITIVES, OTHERS = 6_000, 24_000   # bounds of the labelled sample, on average
 TERMS = 8_192                       # most terms of the vocabulary
 PREFIXES = range(3, 9)
 LEAST = 3            # toxic documents of a term
-PLACES = 2_000_000   # neighbourhoods a task gathers before it drops repeated ones
+PLACES = 500_000     # neighbourhoods a task gathers before it drops repeated ones
+NEIGHBOURHOODS = 1_024   # documents from which on a term's neighbourhoods are estimated from a share of them
+PART_BYTES = 1 << 20     # of the taught texts a task reads
 NEIGHBOURS = 15
 BLOCK = 64           # examples of a block
 FIRST = 8            # blocks of the first turn
 CALIBRATED = 1_500   # examples whose leave-one-out votes are taken
-CACHED_WORDS = 300_000
-CACHED_SCORES = 20_000
+CACHED_WORDS = 100_000
+CACHED_SCORES = 4_000
 MARKS = string.punctuation + "«»“”‘’„…–—¡¿"
 
 
@@ -63,7 +67,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition: term, toxic documents and other documents."""
     found: dict[str, list[int]] = {}
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, y in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
             for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)}:
                 if (f := found.get(t)) is None:
                     f = found[t] = [0, 0]
@@ -78,16 +82,18 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _places(terms):
     """Term number, label and 32-bit hash of a neighbourhood (words before and
-    after) in one long, each once per chunk of occurrences."""
+    after) in one long, each once per chunk of occurrences.  Of a term and
+    label only the hashes below its limit count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(terms.value)
+        names, limits = terms.value          # limits: a row of two (other, toxic) a term
+        look = _Lookup(names)
         ids, spots, held = [], [], 0
 
         def chunk():
             pairs = np.unique(np.concatenate(ids).astype(np.int64) << 33 | np.concatenate(spots))
             return pa.RecordBatch.from_arrays([pa.array(pairs)], ["place"])
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
                 words = (text or "").lower().split()
                 found = [look[w] for w in words]
                 n = np.array([len(f) for f in found], np.int64)
@@ -95,8 +101,10 @@ def _places(terms):
                     continue
                 spot = np.array([xxhash.xxh32_intdigest(a + " " + b) if f else 0 for a, b, f in
                                  zip(["", *words], [*words[1:], ""], found)], np.int64)
-                ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())))
-                spots.append(np.repeat(spot | (1 << 32 if y else 0), n))
+                term, spot = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), np.repeat(spot, n)
+                counts = spot < limits[term, 1 if y else 0]
+                ids.append(term[counts])
+                spots.append(spot[counts] | (1 << 32 if y else 0))
                 held += len(ids[-1])
                 if held >= PLACES:
                     yield chunk()
@@ -110,18 +118,26 @@ def term_evidence(texts: DataFrame) -> DataFrame:
     """term, pos, neg: the toxic and other documents of ``texts`` (text, y)
     with the term, on either side at most as many as the different
     neighbourhoods it has there.  Terms of fewer than LEAST toxic documents
-    are left out."""
+    are left out.
+
+    Neighbourhoods are counted by their hashes.  Where a side has more than
+    NEIGHBOURHOODS documents with the term, only the share of hashes counts
+    that leaves about one in each of so many documents, and the number is scaled up."""
     spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.repartition(1 + size // PART_BYTES, F.xxhash64("text"))
     counts = (texts.select("text", "y").mapInArrow(_term_counts, "term string, pos long, neg long")
               .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     counts = durable(counts.where(F.col("pos") >= LEAST), "term-counts")
     rows = counts.orderBy("term").collect()     # at most the words of the sample's toxic texts
-    terms = spark.sparkContext.broadcast([r.term for r in rows])
+    seen = np.array([(r.neg, r.pos) for r in rows], np.float64).reshape(-1, 2)
+    share = np.minimum(1.0, NEIGHBOURHOODS / np.maximum(seen, 1))
+    terms = spark.sparkContext.broadcast(([r.term for r in rows], (share * 2 ** 32).astype(np.int64)))
     places = texts.select("text", "y").mapInArrow(_places(terms), "place long").distinct()
     places = places.groupBy(F.shiftright("place", 32).alias("k")).count().collect()     # two rows a term
     differ = np.zeros(2 * len(rows), np.int64)
     for r in places:
-        differ[r["k"]] = r["count"]
+        differ[r["k"]] = round(r["count"] / share[r["k"] // 2, r["k"] % 2])
     return spark.createDataFrame([(r.term, min(r.pos, int(differ[2 * i + 1])), min(r.neg, int(differ[2 * i])))
                                   for i, r in enumerate(rows)], "term string, pos long, neg long")
 
@@ -162,7 +178,7 @@ def _features(vocabulary):
         look = _Lookup(vocabulary.value)
         for batch in batches:
             terms, counts = [], []
-            for text in batch.column(1).to_pylist():
+            for text in strings(batch.column(1)):
                 seen: Counter = Counter()
                 for w, n in Counter((text or "").lower().split()).items():
                     for t in look[w]:
@@ -335,7 +351,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int =
     for r in feats.select(F.explode("terms").alias("t")).groupBy("t").count().collect():   # one row a term
         df[r["t"]] = r["count"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    rows = feats.join(ids, feats.doc_id == ids.id).select("doc_id", "y", "terms", "counts").collect()
+    # One example per doc_id, however often it occurs: no more than the sample has rows.
+    rows = (feats.join(ids, feats.doc_id == ids.id).groupBy("doc_id").agg(F.min(F.struct("y", "terms", "counts")).alias("e"))
+            .select("doc_id", "e.*").collect())
     index = Examples([r.doc_id for r in rows], [r.y for r in rows], [(r.terms, r.counts) for r in rows], idf)
     model = spark.sparkContext.broadcast((index, *index.calibrate()))
     out = feats.mapInArrow(_scores(model, evidence), "doc_id long, score double, evidence array<long>, "
