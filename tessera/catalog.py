@@ -9,6 +9,7 @@ Matrix views (see ``tessera.sources.tables``):
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,12 @@ from tessera.functions import runs as rn
 from tessera.functions import sizes
 from tessera.session import apply_library_conf, shared_dir
 from tessera.sources import files as fl
+from tessera.sources import draws as dr
 from tessera.sources import generate as gen
 from tessera.operators import blocks as bl
 from tessera.operators import multiply as mm
 from tessera.operators import rows as rw
+from tessera.operators import threshold as th
 from tessera.plans import chooser as ch
 from tessera.sources import tables as tb
 from tessera.sources.store import MatrixStore
@@ -243,6 +246,25 @@ def q_prune_small(spark, d):
     return mm.matmul_abt(t, t, eps=1e-10, join="merge")
 
 
+# Suppliers whose products overlap more than by chance; by far most pairs fall below.
+ABOVE = 120_000
+ABOVE_LINES = 4_500
+
+
+@register("gram_above", with_views(
+    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM sp x JOIN sp y ON x.j = y.j GROUP BY 1, 2 "
+    f"HAVING abs(sum(x.v * y.v)) > {ABOVE}", "sp"))
+def q_gram_above(spark, d):
+    return th.gram_above(written(sp(spark, d), "sp"), ABOVE)
+
+
+@register("matmul_abt_above", with_views(
+    "SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM sp x JOIN sc y ON x.j = y.j GROUP BY 1, 2 "
+    f"HAVING abs(sum(x.v * y.v)) > {ABOVE_LINES}", "sp", "sc"))
+def q_matmul_abt_above(spark, d):
+    return th.matmul_abt_above(written(sp(spark, d), "sp"), written(sc(spark, d), "sc"), ABOVE_LINES)
+
+
 @register("mask_zero", with_views("SELECT i, j, v FROM sp WHERE v > 50", "sp"))
 def q_mask_zero(spark, d):
     return coo.mask_zero(sp(spark, d), F.col("v") > 50)
@@ -634,6 +656,48 @@ def q_gen_blocks_hash(spark, d):
     return bl.unblockify(gen.gen_blocks_hash(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
 
 
+_SPAN = dr.range_cells(GEN_DENSITY)
+_U = "((({draw}) >> 12)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+_JUMPS = (
+    f"(WITH s AS (SELECT n * m AS total, m FROM {_SHAPE}), "
+    f"r AS (SELECT t.range AS r, least({_SPAN}, total - t.range * {_SPAN}) AS size, m "
+    f"FROM s, range(CAST(ceil(total / {_SPAN}.0) AS BIGINT)) t), "
+    f"u AS (SELECT r, size, m, q.range AS q, {_U.format(draw=dr.draw_sql(GEN_SEED, 'r', 'q.range'))} AS u FROM r, range(size) q), "
+    f"p AS (SELECT r, size, m, sum(CAST(floor(ln(u) / {math.log1p(-GEN_DENSITY)!r}::DOUBLE) + 1 AS BIGINT)) "
+    f"OVER (PARTITION BY r ORDER BY q ROWS UNBOUNDED PRECEDING) - 1 AS place FROM u) "
+    f"SELECT CAST(r * {_SPAN} + place AS BIGINT) AS cell, m FROM p WHERE place < size)")
+
+
+@register("gen_bernoulli_gaps", f"SELECT cell // m AS i, cell % m AS j, {_val()} / 4294967296.0::DOUBLE AS v FROM {_JUMPS}")
+def q_gen_bernoulli_gaps(spark, d):
+    n, m = _shape_sp(spark, d)
+    return dr.gen_bernoulli_gaps(spark, n, m, GEN_DENSITY, GEN_SEED)
+
+
+@register("gen_rand_gaps",
+          f"SELECT cell // m AS i, cell % m AS j, -1.0 + ({_val()} / 4294967296.0::DOUBLE) * 2.0 AS v FROM {_JUMPS}")
+def q_gen_rand_gaps(spark, d):
+    n, m = _shape_sp(spark, d)
+    return dr.gen_rand_gaps(spark, n, m, GEN_DENSITY, -1.0, 1.0, GEN_SEED)
+
+
+@register("gen_blocks_drawn",
+          f"WITH s AS (SELECT n, m, (m + {TILE_BS} - 1) // {TILE_BS} AS nbc, (n + {TILE_BS} - 1) // {TILE_BS} AS nbr FROM {_SHAPE}), "
+          f"b AS (SELECT t.range AS b, t.range // nbc AS bi, t.range % nbc AS bj, n, m FROM s, range(nbr * nbc) t), "
+          f"z AS (SELECT b, bi, bj, least({TILE_BS}, n - bi * {TILE_BS}) * least({TILE_BS}, m - bj * {TILE_BS}) AS size, "
+          f"least({TILE_BS}, m - bj * {TILE_BS}) AS nc FROM b), "
+          f"d AS (SELECT b, bi, bj, nc, size, q.range AS q, "
+          f"CAST({dr.draw_sql(GEN_SEED, '(2 * b)', 'q.range')} % size::UHUGEINT AS BIGINT) AS place FROM z, range(size) q), "
+          f"f AS (SELECT b, bi, bj, nc, size, place, min(q) AS q FROM d GROUP BY ALL), "
+          f"k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY q) AS rn FROM f) "
+          f"SELECT bi * {TILE_BS} + place // nc AS i, bj * {TILE_BS} + place % nc AS j, "
+          f"{_U.format(draw=dr.draw_sql(GEN_SEED, '(2 * b + 1)', 'place'))} AS v FROM k "
+          f"WHERE rn <= floor(size * CAST({GEN_DENSITY} AS DOUBLE))")
+def q_gen_blocks_drawn(spark, d):
+    n, m = _shape_sp(spark, d)
+    return bl.unblockify(dr.gen_blocks_drawn(spark, n, m, GEN_DENSITY, TILE_BS, GEN_SEED), TILE_BS)
+
+
 # ---- files -------------------------------------------------------------------
 @register("csv_roundtrip", with_views("SELECT i, j, v FROM sp", "sp"))
 def q_csv_roundtrip(spark, d):
