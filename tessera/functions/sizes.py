@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # log2 of a sketch's registers: about 1.6 % of error for one row.
 LG_K = 12
+# Columns that a bitmap stands for, so that few stored columns take few bytes.
+SEGMENT = 512
 
 
 def _columns_met(a: DataFrame, b: DataFrame, held: Column, *segment: Column) -> DataFrame:
@@ -25,11 +27,15 @@ def _columns_met(a: DataFrame, b: DataFrame, held: Column, *segment: Column) ->
 def result_nnz(a: DataFrame, b: DataFrame) -> DataFrame:
     """nnz: the stored cells of A·B, computed zeros included.
 
-    B's columns are cut into segments of 32,768; a bitmap of 4 KiB stands for a
-    row's columns within one, so a group holds one bitmap however many
-    contraction indices it meets."""
-    segment = F.bitmap_bucket_number("j").alias("seg")
-    met = _columns_met(a, b, F.bitmap_construct_agg(F.bitmap_bit_position("j")), segment)
+    B's columns are cut into segments of SEGMENT; a bitmap stands for a row's
+    columns within one, so a group holds one bitmap however many contraction
+    indices it meets.  Spark aggregates bitmaps in buffers of 4 KiB: both sides
+    are dealt by their groups before, so that only the SEGMENT bits in use are
+    joined, sorted and shuffled."""
+    segment = F.expr(f"shiftright(j, {SEGMENT.bit_length() - 1})")
+    b = b.select(F.col("i"), segment.alias("seg"), F.pmod("j", F.lit(SEGMENT)).alias("j")).repartition("i", "seg")
+    bits = F.substring(F.bitmap_construct_agg("j"), 1, SEGMENT // 8)
+    met = _columns_met(a, b, bits, F.col("seg")).select("i", "seg", "held").repartition("i", "seg")
     rows = met.groupBy("i", "seg").agg(F.bitmap_count(F.bitmap_or_agg("held")).alias("n"))
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("nnz"))
 
