@@ -50,12 +50,15 @@ GRAM = 20
 PARTS = 8                   # shards of an input split
 BUCKET_BYTES = 2 << 20      # of text a bucket stands for
 HOT = 1 << 16               # windows' runs of one name that are still sent as strings
-CHUNK = 1 << 20             # positions worked on at a time
+CHUNK = 1 << 16             # positions worked on at a time: few enough for a core's cache
 POSITION = np.uint64((1 << 21) - 1)
+RANK_BITS = 21              # of a place, a rank and a group in one number
 LAST = 2 ** 63 - 1          # stands for a null doc_id
 _M = np.uint64(0x9E3779B97F4A7C15)
 # Masks of the first 0 to 7 of seven bytes.
 _HEADS = np.array([(1 << 56) - (1 << 8 * (7 - k)) for k in range(8)], np.uint64)
+# Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642F)
 
 
@@ -97,14 +100,20 @@ def runs_of(buf: np.ndarray, ends: np.ndarray, length: int):
     out = []
     total = len(buf) - length + 1
     wide = length - GRAM + 1
+    # Windows that begin in the last bytes of a document cross its end.
+    begin = np.append(0, ends[:-1])
+    short = np.maximum(begin, ends - length + 1)
+    inside = np.ones(len(buf) + 1, bool)
+    n = ends - short
+    inside[np.repeat(short, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = False
     for lo in range(0, max(0, total), CHUNK):
         part = buf[lo:min(lo + CHUNK, total) + length - 1]
         h = gram_hashes(part)
         spot = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
         at = (_least(spot, wide) & POSITION).astype(np.int64)
-        p = np.arange(len(at)) + lo
-        ok = p + length <= ends[np.searchsorted(ends, p, side="right")]
-        p, at = p[ok], at[ok]
+        p = np.flatnonzero(inside[lo:lo + len(at)])
+        at = at[p]
+        p += lo
         if not len(p):
             continue
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)]))
@@ -253,18 +262,17 @@ class Strings:
 
     @staticmethod
     def _marks(buf: np.ndarray, start: np.ndarray, size) -> np.ndarray:
-        """A hash of buf[start:start + size], by powers of a multiplier over
-        cumulative sums, which hold modulo 2^64."""
+        """A hash of buf[start:start + size], eight bytes a step."""
         if not len(start):
             return np.zeros(0, np.uint64)
         size = np.broadcast_to(np.asarray(size, np.int64), start.shape)
         h = np.zeros(len(start), np.uint64)
-        for k in range(int(size.max())):      # at most 2 * length steps over all strings at once
+        words = np.ndarray(len(buf), "<u8", np.append(buf, np.zeros(7, np.uint8)).tobytes(), strides=(1,))
+        for k in range(0, int(size.max()), 8):      # at most length / 4 steps over all strings at once
             on = k < size
-            at = np.minimum(start + k, len(buf) - 1)
-            h = np.where(on, (h + _BYTES[buf[at]]) * _M, h)
-            if k % 8 == 7:
-                h ^= h >> np.uint64(29)
+            w = words[np.minimum(start + k, len(buf) - 1)] & _FIRST[np.clip(size - k, 0, 8)]
+            x = (h ^ w) * _M
+            h = np.where(on, _mix(x ^ x >> np.uint64(29)), h)
         return _mix(h ^ size.astype(np.uint64))
 
 
@@ -288,27 +296,45 @@ def transform(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     left = np.minimum(rest, 7)
     ahead = (ahead & _HEADS[left]) << np.uint64(8) | left.astype(np.uint64)
 
-    def word(rows: np.ndarray, depth: int) -> np.ndarray:
-        """The word ``depth`` bytes on; past the end, that of the end itself."""
-        return ahead[rows + np.minimum(depth, rest[rows])]
-    order = np.argsort(ahead, kind="stable")
-    key = ahead
-    key, depth = key[order], 7
+    # Sorting numbers is faster than sorting places by them, so places, ranks
+    # and groups are sorted as one number where they fit.
+    fits = len(off) <= 1 << RANK_BITS
+    low = np.uint64(RANK_BITS)
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    order = np.argsort(ahead, kind="quicksort" if fits else "stable")
+    key = ahead[order]
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    if fits:                                  # equal ones in the order of their places
+        order = (np.sort(group.astype(np.uint64) << low | order.astype(np.uint64)) & mask).astype(np.int64)
+    rank = np.empty(len(order), np.int64)     # of a place's next seven bytes
+    rank[order] = group
+    more = left == 7                          # the string may go on behind them
+    place, depth = order, 7
     spots = np.arange(len(order))             # places in the order not settled yet
-    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
     while len(spots):
         same = group[1:] == group[:-1]
         tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        tied &= (key & np.uint64(255)) == 7    # whoever ended is settled
+        tied &= more[place]                   # whoever ended is settled
         spots, group = spots[tied], group[tied]
         if not len(spots):
             break
         rows = order[spots]
-        key = word(rows, depth)
-        by = np.lexsort((key, group))
+        place = rows + np.minimum(depth, rest[rows])    # past the end, the end itself
+        key = rank[place]
+        if fits:
+            group = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
+            both = (group << RANK_BITS | key).astype(np.uint64)
+            both = np.sort(both << low | np.arange(len(both), dtype=np.uint64))
+            by = (both & mask).astype(np.int64)
+            both >>= low
+            new = both[1:] != both[:-1]
+        else:
+            by = np.lexsort((key, group))
+            key, group = key[by], group[by]
+            new = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
         order[spots] = rows[by]
-        key, group = key[by], group[by]
-        group = np.cumsum(np.concatenate([[0], ((key[1:] != key[:-1]) | (group[1:] != group[:-1])).astype(np.int64)]))
+        place = place[by]
+        group = np.cumsum(np.concatenate([[False], new]))
         depth += 7
     whole = off[order] == 0
     return np.where(whole, 0, text[order - 1]), np.flatnonzero(whole).astype(np.int32)
@@ -367,14 +393,16 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
     two, pair = step[step], symbol[step].astype(np.uint16) << np.uint16(8) | symbol
     rounds = [(2, pair, two), (1, symbol, step)]
     there = np.bincount(pair, minlength=1 << 16) > 0
-    kinds, number = int(there.sum()), np.cumsum(there) - 1
+    kinds, number = int(there.sum()), np.cumsum(there, dtype=np.int32) - np.int32(1)
     if kinds <= 4096:
-        both = number[pair[two]] * kinds + number[pair]
+        own = number[pair]
+        both = own[two] * np.int32(kinds) + own
         there = np.zeros(kinds * kinds, bool)
         there[both] = True
         if there.sum() <= 1 << 16:       # else their numbers do not fit 16 bits
             rounds.insert(0, (4, (np.cumsum(there) - 1)[both].astype(np.uint16), two[two]))
-    at, group = np.arange(len(row)), np.zeros(len(row), np.int64)
+    kind = np.int32 if len(row) < 2 ** 31 else np.int64
+    at, group = np.arange(len(row), dtype=kind), np.zeros(len(row), kind)
     depth = checked = 0
     while depth < length:
         symbols, s, forward = next(r for r in rounds if depth + r[0] <= length)
@@ -382,7 +410,7 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
         by = np.argsort(s, kind="stable")
         s, group, at, row = s[by], group[by], at[by], forward[row[by]]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (group[1:] != group[:-1])]) if len(s) else np.zeros(0, bool)
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=kind)
         if depth >= checked + 10 or depth == length:          # what stands alone stays so
             checked = depth
             alone = new & np.append(new[1:], True) if len(new) else new

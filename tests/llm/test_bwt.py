@@ -134,3 +134,32 @@ def test_the_transform_sorts_whole_suffixes():
     rows = sorted((s[k:], n, k) for n, s in enumerate(strings) for k in range(len(s) + 1))
     assert out.tolist() == [strings[n][k - 1] if k else 0 for _, n, k in rows]
     assert whole.tolist() == [r for r, (_, _, k) in enumerate(rows) if not k]
+
+
+@pytest.mark.parametrize("bits", [bwt.RANK_BITS, 3])
+def test_transform_sorts_suffixes_as_one_number_or_by_keys(bits, monkeypatch):
+    """Equal suffixes stay in the order of their strings, whichever way they are sorted."""
+    monkeypatch.setattr(bwt, "RANK_BITS", bits)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab\x00") for _ in range(rng.choice([1, 6, 7, 8, 14, 60]))).encode() for _ in range(80)]
+    texts += texts[:9] + [b"a" * 50, b"a" * 57, b"\x00" * 21]
+    size = np.array([len(t) for t in texts])
+    out, whole = bwt.transform(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
+    rows = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+    assert out.tolist() == [texts[i][k - 1] if k else 0 for _, i, k in rows]
+    assert whole.tolist() == [at for at, (_, _, k) in enumerate(rows) if not k]
+
+
+def test_runs_do_not_depend_on_the_chunks(monkeypatch):
+    rng = np.random.RandomState(4)
+    ends = np.cumsum([0, 30, 50, 400, 0, 49, 51, 900])
+    buf = rng.randint(97, 100, ends[-1]).astype(np.uint8)
+
+    def windows():
+        first, last, name = bwt.runs_of(buf, ends, 50)
+        return {(p, n) for a, b, n in zip(first.tolist(), last.tolist(), name.tolist()) for p in range(a, b + 1)}
+    whole = windows()
+    inside = [p for a, b in zip([0, *ends], ends) for p in range(a, b - 49)]
+    assert sorted(p for p, _ in whole) == inside
+    monkeypatch.setattr(bwt, "CHUNK", 64)
+    assert windows() == whole
