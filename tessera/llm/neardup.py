@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, durable, small_batches
+from tessera.llm.common import components, durable, hand_back, small_batches
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
@@ -119,6 +119,7 @@ def hopeful(a, b, na, nb, percent: int) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         cache, orders = WordHashes(), _orders()
         for batch in batches:
             ns, fps, sigs = [], [], []
@@ -135,6 +136,7 @@ def _sketches(words: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         cache = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, small_batches, strings
+from tessera.llm.common import durable, hand_back, small_batches, strings
 
 SENTENCES, WORDS = 2, 16        # of a run, at least
-CHUNK = 1_000_000               # runs a task settles at a time
+CHUNK = 200_000                 # runs a task settles at a time
 CACHED_WORDS = 200_000
 LENGTH_BITS = 24                # a place is a run's start, then its length in these bits
 LAST = 2 ** 63 - 1              # stands for a null doc_id
@@ -185,6 +185,7 @@ def _settled(*parts) -> pa.RecordBatch:
 
 def _runs(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         powers, known = Powers(), Words()
         parts: tuple[list, ...] = ([], [], [], [], [])
         held = 0
@@ -241,6 +242,7 @@ def covered(spans: DataFrame) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hand_back()
     known = Words()
     for batch in batches:
         t, g = batch.schema.get_field_index("text"), batch.schema.get_field_index("_gone")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of, durable, small_batches, strings
+from tessera.llm.common import crc_of, durable, hand_back, small_batches, strings
 
 POSITIVES, OTHERS = 6_000, 24_000   # bounds of the labelled sample, on average
 TERMS = 8_192                       # most terms of the vocabulary
@@ -85,6 +85,7 @@ def _places(terms):
     after) in one long, each once per chunk of occurrences.  Of a term and
     label only the hashes below its limit count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         names, limits = terms.value          # limits: a row of two (other, toxic) a term
         look = _Lookup(names)
         ids, spots, held = [], [], 0
@@ -175,6 +176,7 @@ class _Lookup(dict):
 
 def _features(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         look = _Lookup(vocabulary.value)
         for batch in batches:
             terms, counts = [], []
@@ -296,6 +298,7 @@ def _logit(p: float) -> float:
 
 def _scores(model, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         index, slope, shift = model.value
         known: dict = {}
 

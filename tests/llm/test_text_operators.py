@@ -397,3 +397,36 @@ def test_word_runs_count_repeated_words():
     b = np.frombuffer(b"ab cd cd cd  cd x", np.uint8)
     r = quality.word_runs(b) * quality.RUN
     assert {m.start(): round(float(r[m.start()])) for m in re.finditer(rb"\S+", b.tobytes())} == {0: 0, 3: 0, 6: 1, 9: 2, 13: 3, 16: 0}
+
+
+def _own_mb():
+    rollup = open("/proc/self/smaps_rollup").read()
+    return int(re.search(r"\nAnonymous:\s+(\d+)", rollup).group(1)) / 1024
+
+
+def test_a_worker_hands_back_what_earlier_tasks_freed():
+    from tessera.llm.common import hand_back
+    # Small blocks with one kept after many freed: the allocator keeps them all.
+    before = _own_mb()
+    blocks = [bytearray(2000) for _ in range(100_000)]
+    last = bytearray(2000)
+    del blocks
+    hand_back()
+    assert _own_mb() < before + 50
+    assert len(last) == 2000
+
+
+def test_runs_are_settled_a_few_at_a_time():
+    """A task holds few runs, not all of its rows'; spans found do not depend on it."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    texts = [prose(rng, 400) for _ in range(40)]
+
+    def batches(times):
+        for t in range(times):
+            yield pa.RecordBatch.from_arrays([pa.array(range(40 * t, 40 * t + 40)), pa.array([7] * 40, pa.int32()),
+                                              pa.array(texts)], ["doc", "key", "text"])
+    per = sum(b.num_rows for b in spans._runs(2, 16)(batches(1)))
+    times = 250_000 // per + 1
+    sizes = [b.num_rows for b in spans._runs(2, 16)(batches(times))]
+    assert sum(sizes) == per * times and max(sizes) <= 210_000
