@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import runs as rn
+from tessera.operators import blocks as bl
 from tessera.sources import generate as gen
 
 
@@ -89,3 +90,19 @@ def test_batches_are_the_callers(spark):
     df = gen.gen_coo_batched_union(spark, 100, 100, 0.5, 5, batch=50)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 100
     assert df.exceptAll(gen.gen_coo_affine(spark, 100, 100, 0.5, 5)).count() == 0
+
+
+def test_gen_blocks_hash_ranks_in_place(spark):
+    """No cell is shuffled, and the kept ones are those with the smallest keys of their block."""
+    t = gen.gen_blocks_hash(spark, 11, 9, 0.4, 4, seed=5)
+    assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+    rows = gen.cells(spark, 11, 9).select("i", "j", "cell", gen.order_key(5, F.col("cell")).alias("h"),
+                                          gen.cell_value(5, F.col("cell")).alias("v")).collect()
+    want = set()
+    for bi in range(3):
+        for bj in range(3):
+            block = sorted((r.h, r.cell, r.i, r.j, r.v) for r in rows if (r.i // 4, r.j // 4) == (bi, bj))
+            want |= {x[2:] for x in block[:int(len(block) * 0.4)]}
+    assert {tuple(r) for r in bl.unblockify(t, 4).collect()} == want
+    full = gen.gen_blocks_hash(spark, 5, 5, 1.0, 4, seed=5)
+    assert sum(r.nnz for r in full.collect()) == 25
