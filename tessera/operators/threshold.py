@@ -9,7 +9,8 @@ pass are never multiplied:
    Two rows that share no column before the tail of either cannot pass
    (Cauchy-Schwarz), so only the cells before the tails meet.  Frequent columns,
    which make most pairs, go first into the tails.
-2. What two rows share there is their partial sum.  The rest of their product
+2. What two rows share there is their partial sum, made in the task of one of
+   them (:func:`_sums`).  The rest of their product
    is at most the norm of one's tail times the norm of the other; pairs whose
    sum cannot pass with it are dropped.
 3. The pairs left multiply the levels not yet counted, and the complete sums
@@ -27,13 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.plans import skew
+from tessera.plans import guard, skew
+from tessera.plans.partitions import COO_ROW_BYTES, pinned_partitions
 from tessera.sources.files import materialize
 
 SLACK = 1e-9
 # Columns of about the same number of pairs (half a power of two) share OF levels, dealt by a hash.
 OF = 16
 LEVELS = 127 * OF
+# Cells of a list that travels to a row's task.
+LIST = 1024
+# Pairs of cells that one task multiplies.
+PAIRS = 2_000_000
 
 
 def _rows(df: DataFrame, row: str, value: str) -> DataFrame:
@@ -107,26 +113,85 @@ def heads(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x, y
 
 
+def _narrow(y: DataFrame) -> tuple[str, str]:
+    """Smallest types that hold every j and bv of ``y`` exactly."""
+    kinds = {c: y.schema[c].dataType.simpleString() for c in ("j", "bv")}
+    size = F.abs(F.col("bv").cast("double"))
+    r = y.agg(F.max(F.abs("j")).alias("j"), F.max(size).alias("v"), F.max(size != F.rint(size)).alias("part")).first()
+    if r.j is not None and r.j < 1 << 31:
+        kinds["j"] = "int"
+    # NaN and infinities are larger than any bound.
+    if kinds["bv"] in ("bigint", "double") and r.v is not None and not r.part and r.v < 1 << 31:
+        kinds["bv"] = "smallint" if r.v < 1 << 15 else "int"
+    return kinds["j"], kinds["bv"]
+
+
+def _lists(y: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, js, bvs): the cells of a key as lists of at most LIST of them,
+    by ascending j."""
+    jtype, vtype = _narrow(y)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("j")) - 1
+    cell = F.struct(F.col("j").cast(jtype).alias("j"), F.col("bv").cast(vtype).alias("bv"))
+    per = (y.select(*keys, "j", "bv").withColumn("part", F.floor(place / LIST))
+           .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(cell)).alias("cells")))
+    return per.select(*keys, F.col("cells.j").alias("js"), F.col("cells.bv").alias("bvs"))
+
+
+def _sums(x: DataFrame, y: DataFrame, upper: bool) -> DataFrame:
+    """(i, j, v): the sums of all pairs of cells that meet.
+
+    Each cell of ``x`` takes the lists of its column to the task of its row,
+    where the row's products are made and summed: what is shuffled is a list's
+    few bytes a pair, and no partial sum.  Tasks are as many as the pairs need;
+    a row with more than PAIRS of them is dealt to several by j."""
+    kp = materialize(skew.key_pairs(x, y, "k"), "pairs")
+    zero = F.lit(0).cast("bigint")
+    r = kp.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("pairs", "ca", "cb")]).first()
+    spark = x.sparkSession
+    parts = max(pinned_partitions(spark), -(-r.pairs // PAIRS))
+    few = pinned_partitions(spark, (r.ca + r.cb) * COO_ROW_BYTES)
+    per_row = x.join(kp, "k").groupBy("i").agg(F.sum("cb").alias("n")).where(F.col("n") > PAIRS)
+    # At most pairs / PAIRS rows.
+    split = per_row.select("i", F.ceil(F.col("n") / PAIRS).cast("int").alias("of"))
+    vtype = y.schema["bv"].dataType
+    left, right, keys = skew.salt_join(x.select("i", "k", "av"), y.select("j", "k", "bv"), "k", ["i"], ["j"])
+    if keys == ["k"]:
+        left, right = left.repartition(few, "k"), right.repartition(few, "k")
+    met = left.join(_lists(right, keys).hint("merge"), keys).join(F.broadcast(split), "i", "left")
+    if upper:
+        # js ascend: from the first j >= i on.
+        skip = F.size(F.filter("js", lambda j: j < F.col("i")))
+        met = met.withColumns({c: F.slice(c, skip + 1, F.size("js")) for c in ("js", "bvs")}).where(F.size("js") > 0)
+    met = met.withColumn("t", F.explode(F.when(F.col("of").isNull(), F.array(F.lit(0)))
+                                        .otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
+    dealt = met.select("i", "av", "js", "bvs", "of", "t").repartition(parts, "i", "t")
+    pair = dealt.select("i", "av", "bvs", "of", "t", F.posexplode("js").alias("at", "j"))
+    pair = pair.where(F.col("of").isNull() | (F.pmod(F.xxhash64("j"), F.col("of")) == F.col("t")))
+    bv = F.get(F.col("bvs"), F.col("at")).cast(vtype)
+    return (pair.select("i", "t", F.col("j").cast("bigint").alias("j"), (F.col("av") * bv).alias("p"))
+            .groupBy("i", "t", "j").agg(F.sum("p").alias("v")).drop("t"))
+
+
 def candidates(left: DataFrame, right: DataFrame, eps: float, upper: bool = False) -> DataFrame:
     """(i, j, v, cut): pairs that may pass, with their sum over the levels
     before ``cut``.  ``upper`` keeps i <= j only."""
-    x, y, keys = skew.salt_join(*heads(left, right), "k", ["i"], ["j"])
-    met = x.join(y, keys)
-    if upper:
-        met = met.where("i <= j")
+    x, y = heads(left, right)
+    rows = x.groupBy("i").agg(*[F.max(f"a_{c}").alias(f"a_{c}") for c in ("cut", "tail", "norm")])
+    cols = y.groupBy("j").agg(*[F.max(f"b_{c}").alias(f"b_{c}") for c in ("cut", "tail", "norm")])
+    cols = materialize(cols, "rows")
+    sums = _sums(x, y, upper).join(materialize(rows, "rows"), "i").join(guard.checked_broadcast(cols)[0], "j")
     # What is left begins at the smaller cut: a tail there, at most the whole row on the other side.
     rest = (F.when(F.col("a_cut") < F.col("b_cut"), F.col("a_tail") * F.col("b_norm"))
             .when(F.col("a_cut") > F.col("b_cut"), F.col("a_norm") * F.col("b_tail"))
             .otherwise(F.col("a_tail") * F.col("b_tail")))
     bound = rest * (1 + SLACK) + F.col("a_norm") * F.col("b_norm") * SLACK
-    sums = met.groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"), F.max(bound).alias("bound"),
-                                     F.max(F.least("a_cut", "b_cut")).alias("cut"))
-    return sums.where(F.abs("v") + F.col("bound") > F.lit(float(eps))).drop("bound")
+    return sums.where(F.abs("v") + bound > F.lit(float(eps))).select("i", "j", "v", F.least("a_cut", "b_cut").alias("cut"))
 
 
 def rest_products(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
     """(i, j, v) of the candidates' cells from their cut on.  Rows with very
     many candidates or cells are split like any hot key."""
+    found = found.where(F.col("cut") < LEVELS)        # the others have no tail
     c, x, keys = skew.salt_join(found.select("i", "j", "cut"), left.select("i", "k", "av", "lv"), "i", ["j"], ["k"])
     wanted = c.join(x, keys).where("lv >= cut").select("i", "j", "k", "av")
     return (wanted.join(right.select("j", "k", "bv"), ["j", "k"])

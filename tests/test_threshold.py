@@ -78,3 +78,31 @@ def test_doubles_near_the_threshold_are_candidates(spark):
         got = to_dense(th.matmul_abt_above(a, a, eps), (20, 20))
         sure = np.abs(np.abs(full) - eps) > 1e-9
         assert np.allclose(got[sure], np.where(np.abs(full) > eps, full, 0)[sure])
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_sums_are_made_in_the_task_of_their_row(spark, monkeypatch, upper):
+    """No partial sum is shuffled, lists are cut and busy rows are dealt to several tasks."""
+    monkeypatch.setattr(th, "LIST", 3)
+    monkeypatch.setattr(th, "PAIRS", 50)
+    cells = random_cells(5, 12, 40, 0.3) + [(12, j, 2) for j in range(40)]
+    a = coo_df(spark, cells, "long")
+    x = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
+    y = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    got = th._sums(x, y, upper)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i" in plan and "hashpartitioning(i#" not in plan.split("Generate posexplode")[0]
+    want = mm.matmul_abt(a, a).where("i <= j" if upper else "true")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 13
+
+
+def test_lists_hold_values_exactly(spark):
+    def kinds(cells, vtype="double"):
+        return th._narrow(coo_df(spark, cells, vtype).select("j", F.col("v").alias("bv")))
+    assert kinds([(0, 5, 3.0), (0, 7, -32767.0)]) == ("int", "smallint")
+    assert kinds([(0, 5, 40000), (0, 1 << 31, 2)], "long") == ("bigint", "int")
+    assert kinds([(0, 5, 0.5), (0, 6, 1.0)]) == ("int", "double")
+    assert kinds([(0, 5, float("nan")), (0, 6, 1.0)])[1] == "double"
+    assert kinds([(0, 5, float("inf"))])[1] == "double"
+    assert kinds([(0, 5, 1 << 40)], "long")[1] == "bigint"
