@@ -53,6 +53,8 @@ MARKS = ".!?,;:\"'()"
 # Thai, Lao, Tibetan, Burmese, Khmer, Chinese and Japanese letters and marks.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff00-\uff9f"
                       "\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+# No smaller character is, or has a lower case, that UNSPACED matches.
+FIRST_UNSPACED = 0xe00
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _STOP = np.array([chr(c) in ".!?,;:" for c in range(128)])
 _P = 0x9E3779B97F4A7C15
@@ -104,15 +106,22 @@ def parted(text: str, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if not tokens:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
-    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
-    turn = np.concatenate([turn if space[0] else [0, *turn], [] if space[-1] else [len(text)]]).astype(np.int64)
+    space = _SPACE.take(codes, mode="clip")
+    # Where words and white space begin, and the end: a word, then the space after it.
+    turn = np.empty(2 * len(tokens), np.int64)
+    inner = (space[1:] != space[:-1]).nonzero()[0]
+    first = int(not space[0])
+    turn[0], turn[-1] = 0, len(text)
+    turn[first:first + len(inner)] = inner + 1
     start, over = turn[::2], turn[1::2]
-    stop = np.append(start[1:], len(text))
-    lines = np.flatnonzero(codes == 10)
-    last = _STOP[np.minimum(codes[over - 1], 127)] & (over < len(text))
-    last |= np.searchsorted(lines, stop) > np.searchsorted(lines, over)
-    if (over - start).max() > LONG or UNSPACED.search(low):
+    stop = np.empty_like(start)
+    stop[:-1], stop[-1] = start[1:], len(text)
+    last = _STOP.take(codes[over - 1], mode="clip")
+    last[-1] &= over[-1] < len(text)
+    lines = (codes == 10).nonzero()[0]
+    if len(lines):
+        last |= lines.searchsorted(stop) > lines.searchsorted(over)
+    if (over - start).max() > LONG or codes.max() >= FIRST_UNSPACED and UNSPACED.search(low):
         some, ends, flags = [], [], []
         for t, a, b, e in zip(tokens, start.tolist(), stop.tolist(), last.tolist()):
             p = pieces(t) if len(t) > LONG or UNSPACED.search(t) else [t]
@@ -121,16 +130,24 @@ def parted(text: str, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             flags += [True] * (len(p) - 1) + [e]
         tokens, stop, last = some, np.array(ends), np.array(flags)
     ids = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    at = np.flatnonzero(ids)
+    at = ids.nonzero()[0]
     real = ids[at]
-    chosen = np.flatnonzero((real >> np.uint64(40)) % np.uint64(EVERY) == 0)
+    chosen = ((real >> np.uint64(40)) % np.uint64(EVERY) == 0).nonzero()[0]
     last[at[chosen]] = True
-    edges = np.concatenate([[-1], chosen, [len(real)]])
-    for k in np.flatnonzero(np.diff(edges) > GAP).tolist():
-        a = edges[k] + 1
-        views = np.lib.stride_tricks.sliding_window_view(real[a:edges[k + 1]], NEAR)
-        least = NEAR - 1 - views[:, ::-1].argmin(axis=1)         # the last of equal ones
-        last[at[a + np.arange(len(views)) + least]] = True
+    edges = np.empty(len(chosen) + 2, np.int64)
+    edges[0], edges[1:-1], edges[-1] = -1, chosen, len(real)
+    size = edges[1:] - edges[:-1]
+    wide = (size > GAP).nonzero()[0]
+    if len(wide):
+        # The first words of all places of NEAR words between two ends.
+        n = size[wide] - NEAR
+        near = np.arange(n.sum()) + np.repeat(edges[wide] + 1 - (n.cumsum() - n), n)
+        least, place = real[near], near
+        for k in range(1, NEAR):
+            x = real[near + k]
+            place = np.where(x <= least, near + k, place)        # the last of equal ones
+            least = np.minimum(x, least)
+        last[at[place]] = True
     return ids, stop, last
 
 
@@ -172,12 +189,17 @@ def _settled(*parts) -> pa.RecordBatch:
     """The runs of a chunk, in the order of its documents, which compresses
     well; ``later`` marks those with an earlier equal run in the chunk."""
     doc, key, start, stop, h = (np.concatenate(x) for x in parts)
-    order = np.lexsort((start, key, doc, h))
-    d, k, s, x = doc[order], key[order], start[order], h[order]
-    same = np.concatenate([[False], x[1:] == x[:-1]])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
-    later = np.zeros(len(x), bool)
-    later[order] = same & ((d != d[head]) | (k != k[head]) | (s != s[head]))
+    later = np.zeros(len(h), bool)
+    # Most hashes occur once; only the others need the order of their places.
+    order = h.argsort()
+    same = h[order[1:]] == h[order[:-1]]
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    if len(some):
+        some = some[np.lexsort((start[some], key[some], doc[some], h[some]))]
+        d, k, s, x = doc[some], key[some], start[some], h[some]
+        same = np.concatenate([[False], x[1:] == x[:-1]])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+        later[some] = same & ((d != d[head]) | (k != k[head]) | (s != s[head]))
     return pa.RecordBatch.from_arrays(
         [pa.array(h), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)),
          pa.array((stop - start).astype(np.int32)), pa.array(later)], ["h", "doc", "key", "start", "size", "later"])

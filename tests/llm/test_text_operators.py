@@ -3,6 +3,7 @@ quality on small fixtures: hand-made cases and brute-force versions."""
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -219,6 +220,36 @@ def test_any_words_have_ends():
         assert all(len(text[a:b].split()) <= spans.GAP + spans.NEAR for a, b in zip([0, *ends], ends))
 
 
+def calls_of(f, *args):
+    """Functions called, in Python or from it."""
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        f(*args)
+    finally:
+        sys.setprofile(None)
+    return len(calls)
+
+
+def test_ends_cost_no_call_a_gap_and_equal_a_plain_rule():
+    rng, known = random.Random(8), spans.Words()
+    plain = [w for w in (f"w{k}" for k in range(400)) if (known[w] >> 40) % spans.EVERY]     # no end by hash
+    ender = next(w for w in (f"e{k}" for k in range(400)) if not (known[w] >> 40) % spans.EVERY)
+    per_text = []
+    for gaps in (3, 60):
+        words = [w for _ in range(gaps) for w in [*(rng.choice(plain[:9]) for _ in range(rng.randrange(9, 40))), ender]]
+        ids, _, last = spans.parted(" ".join(words), known)
+        want, at = [w == ender for w in words], 0
+        for k in [*(k for k, w in enumerate(words) if w == ender), len(words)]:
+            if k - at >= spans.GAP:
+                for a in range(at, k - spans.NEAR + 1):
+                    want[max(range(a, a + spans.NEAR), key=lambda x: (-int(ids[x]), x))] = True
+            at = k + 1
+        assert last.tolist() == want
+        per_text.append(calls_of(spans.parted, " ".join(words), known))
+    assert per_text[0] == per_text[1]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert spans.remove_repeats(docs_df(spark, [])).count() == 0
 
