@@ -97,7 +97,9 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     broadcast of the table of hot keys.
     """
     spark = left.sparkSession
-    kp = key_pairs(left, right, key)
+    kp, given = key_pairs(left, right, key), target_pairs is not None
+    if given:       # Keys are meant to be split, so their table is needed again: cells are counted once.
+        kp = materialize(kp, "key-pairs")
     zero = F.lit(0).cast("bigint")
     r = kp.agg(*[F.coalesce(x, zero).alias(n) for x, n in (
         (F.sum("pairs"), "p"), (F.max("pairs"), "top"), (F.sum("ca"), "a"), (F.sum("cb"), "b"))]).first()
@@ -106,7 +108,9 @@ def salt_join(left: DataFrame, right: DataFrame, key: str, left_spread: list[str
     if r.top <= target_pairs:
         return left, right, [key]
     # Written once: read for the copies' number and by the joins of both sides.
-    hot = materialize(hot_keys_of(kp, key, target_pairs), "hot-keys")
+    hot = hot_keys_of(kp, key, target_pairs)
+    if not given:
+        hot = materialize(hot, "hot-keys")
     # Extra rows the grid adds: each hot A cell is copied c times, each hot B
     # cell r times.
     extra = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_c") - 1) * F.col("_ca") + (F.col("_r") - 1) * F.col("_cb")),

@@ -431,6 +431,19 @@ def test_heavy_and_other_hot_keys_meet_their_grid(spark):
     assert most < 400 * 400 / 50
 
 
+def test_split_keys_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    a = coo_df(spark, [(i, k, 1) for i in range(20) for k in range(10)], "long")
+    left = a.select("i", F.col("j").alias("k")).mapInArrow(count, "i long, k long")
+    skew.salt_join(left, a.select(F.col("i").alias("j"), F.col("j").alias("k")), "k", ["i"], ["j"], 16)
+    assert seen.value == 200
+
+
 def test_products_split_hot_keys_by_default(spark):
     cells = [(i, 0, 1.0) for i in range(700)] + [(i, 1 + i, 2.0) for i in range(50)]
     a = coo_df(spark, cells)
