@@ -8,10 +8,10 @@ aggregation so partial products are combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import exact
+from tessera.functions import exact, whole
 from tessera.plans import guard, partitions, skew
 
 JOIN_HINTS = ("shuffle_hash", "merge")
@@ -118,10 +118,12 @@ def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
     """A·Bᵀ: dot products of A's rows with B's rows over shared columns (M7).
 
     ``eps`` drops results with |v| <= eps; ``salt`` splits hot shared columns
-    as in :func:`matmul_coo`.
+    as in :func:`matmul_coo`.  Sums of whole numbers that no bigint holds are
+    decimal(38,0) (see :mod:`tessera.functions.whole`).
     """
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    wide = whole.may_overflow(left, right, same=a is b)
     ok = False
     if join == "broadcast":
         right, ok = guard.checked_broadcast(right)
@@ -130,12 +132,18 @@ def matmul_abt(a: DataFrame, b: DataFrame, eps: float | None = None,
         left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
     if join in JOIN_HINTS:
         right = right.hint(join)
-    out = left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
+    out = left.join(right, keys).groupBy("i", "j").agg(F.sum(_term("av", "bv", wide)).alias("v"))
+    if wide:
+        out = whole.narrowed(out)
     if eps is not None:
         out = out.where(F.abs("v") > F.lit(eps))
     return out
 
 
+def _term(a: str, b: str, wide: bool) -> Column:
+    return whole.product(F.col(a), F.col(b)) if wide else F.col(a) * F.col(b)
+
+
 def gram(a: DataFrame, eps: float | None = None, salt: bool = True,
          target_pairs: int | None = None, join: str | None = None) -> DataFrame:
     """A·Aᵀ using symmetry: only pairs with i <= i' are multiplied and summed,
@@ -143,9 +151,11 @@ def gram(a: DataFrame, eps: float | None = None, salt: bool = True,
     input and the shuffle of the product.  ``salt`` splits hot columns; a
     column is hot on both sides of a Gram matrix, so the grid split copies
     its cells about ``2*sqrt(s)`` times, not ``s`` times.  ``join`` pins the
-    kind of join, where Catalyst's estimate of a side would be wrong."""
+    kind of join, where Catalyst's estimate of a side would be wrong.  Sums of
+    whole numbers are as wide as in :func:`matmul_abt`."""
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("av"))
     right = a.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("bv"))
+    wide = whole.may_overflow(left, right, same=True)
     keys = ["k"]
     if salt:
         left, right, keys = skew.salt_join(left, right, "k", ["i"], ["j"], target_pairs)
@@ -154,7 +164,9 @@ def gram(a: DataFrame, eps: float | None = None, salt: bool = True,
     x, y = left.alias("x"), right.alias("y")
     cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [F.col("x.i") <= F.col("y.j")]
     upper = (x.join(y, cond).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j"))
-              .agg(F.sum(F.col("x.av") * F.col("y.bv")).alias("v")))
+              .agg(F.sum(_term("x.av", "y.bv", wide)).alias("v")))
+    if wide:
+        upper = whole.narrowed(upper)
     if eps is not None:
         upper = upper.where(F.abs("v") > F.lit(eps))
     me = F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.col("v").alias("v"))
