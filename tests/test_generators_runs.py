@@ -1,6 +1,7 @@
 """Generators: exact nnz, distinct cells, determinism across partitionings;
 run analytics edge cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,25 @@ def test_gen_blocks_hash_ranks_in_place(spark):
     assert {tuple(r) for r in bl.unblockify(t, 4).collect()} == want
     full = gen.gen_blocks_hash(spark, 5, 5, 1.0, 4, seed=5)
     assert sum(r.nnz for r in full.collect()) == 25
+
+
+def test_cells_are_hashed_in_ranges(spark, monkeypatch):
+    """Not a row of Spark's for each cell of the grid, of which most are dropped."""
+    g = [gen.gen_bernoulli(spark, 600, 1000, 0.01, 9), gen.gen_rand_range(spark, 600, 1000, 0.01, -1.0, 1.0, 9),
+         gen.gen_coo_exact(spark, 600, 1000, 0.01, 9)]
+    for df in g:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Range (0, 3," in plan and "md5" not in plan
+    c = gen.cells(spark, 600, 1000)
+    mask = F.conv(F.substring(gen._digest(9, ":m", F.col("cell")), 1, 8), 16, 10).cast("bigint") / F.lit(gen.TWO32)
+    want = c.where(mask < 0.01).select("i", "j", gen.cell_value(9, F.col("cell")).alias("v"))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, g[0].collect()))
+    first = c.select("i", "j", gen.cell_value(9, F.col("cell")).alias("v"), gen.order_key(9, F.col("cell")).alias("h"), "cell")
+    want = first.orderBy("h", "cell").limit(6000).select("i", "j", "v")
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, g[2].collect()))
+
+
+def test_smallest_keys_and_ties():
+    keys = np.array([5, 1, 5, 0, 5, 1, 9])
+    for k in range(1, len(keys) + 2):
+        assert gen._smallest(keys, k).tolist() == sorted(np.argsort(keys, kind="stable")[:k].tolist())
